@@ -5,12 +5,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 #: A row without an id counts as later than every row with one.
 NO_ID = (1 << 63) - 1
@@ -41,25 +39,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_schema(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to dicts of columns in the order of `schema`."""
-    struct = T.StructType.fromDDL(schema)
-    target = arrow_schema(struct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cols in fn(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, struct)
-
-
 def ids_of(column: pa.Array) -> np.ndarray:
     """An id column as int64, nulls as NO_ID."""
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -96,8 +75,6 @@ def hash_words(words: list) -> np.ndarray:
 
     if not words:
         return np.empty(0, np.uint64)
-    if isinstance(words[0], bytes):
-        words = [w.decode("latin-1") for w in words]
     values = np.empty(len(words), object)
     values[:] = words
     return mix64(pd.util.hash_array(values, categorize=True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate
+from . import byte_bpe, decontaminate, secrets, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(_table(spark, sf_dir, "documents"), path, tokenizers.PATTERN, lone_space=True)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_byte_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_byte_bpe, op8_substring_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
