@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, near_join, secrets, substring_dedup
+from . import byte_bpe, decontaminate, near_join, quality, secrets, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_secret_scan, op5_byte_bpe, op6_near_join, op8_substring_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_byte_bpe, op6_near_join, op7_quality, op8_substring_dedup, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
