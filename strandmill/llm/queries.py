@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, near_join, quality, secrets, substring_dedup
+from . import ann, byte_bpe, chat, decontaminate, lm_score, near_join, quality, secrets, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(_table(spark, sf_dir, "documents"), path, tokenizers.PATTERN, lone_space=True)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
+#: The conversation that every template must survive: conv_id, turn, role, text.
+PROBE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    values = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in PROBE)
+    probe = spark.sql(f"select * from values {values} as t(conv_id, turn, role, text)")
+    return chat.report(chat.format_conversations(rows.unionByName(probe)))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -34,13 +54,74 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+#: host, path, verdict
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    rules = spark.sql(f"select * from values {values} as t(host, path, verdict)")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+_ALL = (
+    op1_lm_score,
+    op2_chat_format,
+    op3_ann,
+    op4_secret_scan,
+    op5_byte_bpe,
+    op6_near_join,
+    op7_quality,
+    op8_substring_dedup,
+    op9_url_filter,
+    op10_decontaminate,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_secret_scan, op5_byte_bpe, op6_near_join, op7_quality, op8_substring_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in _ALL}
+
+
+_ESCAPED = r"regexp_replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\[(/?INST)', '&lsqb;\1', 'g')"
+_OP2 = """
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values {values}) as t(conv_id, turn, role, text)
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('<|turn|>') + length(replace({role}, chr(10), '&nl;')) + 1 + length({text}) + length('<|end|>') + 1) as bigint) as formatted_chars
+from rows group by conv_id
+"""
+_OP9 = r"""
+with rest as (
+  select page_id, case when url is not null and position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as r from pages
+), places as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(r, '^[^?#]*(\?[^#]*)', 1) as query from rest
+), rules as (
+  select * from (values {rules}) as t(rule_host, rule_path, own)
+), fits as (
+  select page_id, host, path, rule_host || rule_path as rule, own,
+    row_number() over (partition by host, path, page_id order by length(rule_host || rule_path) desc, own) as k
+  from places join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.own, 'allow') as verdict, case when f.own is null then 'default' else 'rule' end as "by"
+from places p left join (select distinct page_id, host, path, rule, own from fits where k = 1) f using (page_id, host, path)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Chat formatting and, for pages without links between each other (as in the test tables), the URL filter."""
+    values = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PROBE)
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return {
+        "op2_chat_format": _OP2.format(values=values, role=_ESCAPED.format("role"), text=_ESCAPED.format("text")),
+        "op9_url_filter": _OP9.format(rules=rules),
+    }
