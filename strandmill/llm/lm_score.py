@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, rolling, shuffle_partitions, texts_of
+from .common import hash_words, pack, rolling, shuffle_partitions, texts_of, unpack
 
 ALPHA = 0.4
-_CODEC = pa.Codec("zstd", 1)
 
 
 def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -43,18 +42,6 @@ def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, first
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers, byte by byte, compressed."""
-    raw = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(numbers).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = _CODEC.decompress(data[8:], n * 8, asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel()
-
-
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams by bucket, then hash; their counts; where each bucket begins."""
     unique, count = np.unique(hashes[hashes > 0], return_counts=True)

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hash_words, ids_of, mix64, rolling, shuffle_partitions, texts_of
+from .common import NO_ID, hash_words, ids_of, mix64, pack, rolling, shuffle_partitions, texts_of, unpack
 
 SLICE_BYTES = 4 << 20
-_CODEC = pa.Codec("zstd", 3)
+_CODEC = pa.Codec("zstd", 6)
 
-_SENT = "bucket int, size long, packed binary, words binary, doc binary, tag binary, at binary, which binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("size", pa.int64()), *((n, pa.binary()) for n in ("packed", "words", "doc", "tag", "at", "which"))])
+#: strings and places: how many; text: the packed strings; numbers: words of each string, then doc, tag, first word
+#: and string of each place.
+_SENT = "bucket int, strings int, places int, size long, text binary, numbers binary"
+_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.int32()), ("places", pa.int32()), ("size", pa.int64()), ("text", pa.binary()), ("numbers", pa.binary())])
 _FOUND = "doc long, tag int, starts array<int>, stops array<int>"
 _FOUND_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
 
@@ -92,32 +94,43 @@ def _send(texts: list[str], docs: np.ndarray, tags: np.ndarray, buckets: int, wi
         ids, local = np.unique(which[own], return_inverse=True)
         raw = b"\n".join([unique[i] for i in ids.tolist()])
         first = own[np.unique(local, return_index=True)[1]]
-        rows.append((
-            int(home[own[0]]), len(raw), _CODEC.compress(raw, asbytes=True), size[first].astype("<u4").tobytes(), docs[text[own]].astype("<i8").tobytes(),
-            tags[text[own]].astype("<i4").tobytes(), at[own].astype("<u4").tobytes(), local.astype("<u4").tobytes(),
-        ))
+        # Ids as steps from one to the next: they rise with the strings, which are numbered as they were met.
+        steps = np.diff(docs[text[own]], prepend=0), tags[text[own]].astype(np.int64), at[own], np.diff(local, prepend=0)
+        numbers = np.concatenate([size[first].astype(np.uint64), *(zigzag(x) for x in steps)])
+        rows.append((int(home[own[0]]), len(ids), len(own), len(raw), _CODEC.compress(raw, asbytes=True), pack(numbers)))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SENT_ARROW)], schema=_SENT_ARROW)
 
 
+def zigzag(x: np.ndarray) -> np.ndarray:
+    """Signed numbers as unsigned ones, small ones small."""
+    return (x << 1 ^ x >> 63).astype(np.uint64)
+
+
+def unzigzag(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
+
+
 def _answer(group: pa.Table, window: int) -> pa.Table:
     """Stretches of words that are covered by windows of documents with smaller ids."""
     words: list[bytes] = []
     sizes, doc, tag, at, string, local_min = [], [], [], [], [], []
     seen = 0
-    for row in group.select(["size", "packed", "words", "doc", "tag", "at", "which"]).to_pylist():
-        raw = _CODEC.decompress(row["packed"], row["size"], asbytes=True)
+    for row in group.to_pylist():
+        raw = _CODEC.decompress(row["text"], row["size"], asbytes=True)
         words += raw.replace(b"\n", b" ").split(b" ")
-        n, ids = np.frombuffer(row["words"], "<u4").astype(np.int64), np.frombuffer(row["doc"], "<i8")
-        which = np.frombuffer(row["which"], "<u4").astype(np.int64)
-        low = np.full(len(n), np.iinfo(np.int64).max)
+        m, n = row["strings"], row["places"]
+        numbers = unpack(row["numbers"])
+        ids, tags, places, which = (unzigzag(numbers[m + k * n : m + (k + 1) * n]) for k in range(4))
+        ids, which = np.cumsum(ids), np.cumsum(which)
+        low = np.full(m, np.iinfo(np.int64).max)
         np.minimum.at(low, which, ids)
-        sizes.append(n)
+        sizes.append(numbers[:m].astype(np.int64))
         doc.append(ids)
-        tag.append(np.frombuffer(row["tag"], "<i4"))
-        at.append(np.frombuffer(row["at"], "<u4").astype(np.int64))
+        tag.append(tags)
+        at.append(places)
         string.append(which + seen)
         local_min.append(low)
-        seen += len(n)
+        seen += m
     if not words:
         return _FOUND_ARROW.empty_table()
     size, doc, tag, at, string, low = (np.concatenate(x) for x in (sizes, doc, tag, at, string, local_min))
