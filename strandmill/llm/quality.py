@@ -27,6 +27,8 @@ from .decontaminate import words_of
 
 LABELLED, POOL, ROUNDS, SURE = 12_000, 8_000, 3, 0.97
 HEADS = ("quality", "toxic")
+#: Heads whose content view reads the layout besides the words.
+BY_LAYOUT = ("quality",)
 #: Hash places of the metadata view for sources and languages.
 PLACES = 64
 
@@ -52,6 +54,7 @@ def layout(text: str, words: list[bytes], distinct: int) -> list[float]:
 
 
 N_LAYOUT = 11
+N_META = 1 + 2 * PLACES + 12
 
 
 def _place(value: str | None, salt: int) -> int:
@@ -62,7 +65,7 @@ def _place(value: str | None, salt: int) -> int:
 
 def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
     """A one, one place for the language, one for the source, and the length in steps of its logarithm."""
-    out = np.zeros(1 + 2 * PLACES + 12)
+    out = np.zeros(N_META)
     out[0] = 1
     out[1 + _place(lang, 1)] = 1
     out[1 + PLACES + _place(source, 2)] = 1
@@ -128,13 +131,20 @@ def word_features(words: list[bytes], weights: dict[bytes, float]) -> list[float
 
 @dataclass
 class Head:
+    by_layout: bool = True
     words: dict[bytes, float] = field(default_factory=dict)
     mean: np.ndarray = field(default_factory=lambda: np.zeros(N_LAYOUT + N_WORDS))
     spread: np.ndarray = field(default_factory=lambda: np.ones(N_LAYOUT + N_WORDS))
     content: np.ndarray = field(default_factory=lambda: np.zeros(N_LAYOUT + N_WORDS))
-    meta: np.ndarray = field(default_factory=lambda: np.zeros(1 + 2 * PLACES + 12))
+    meta: np.ndarray = field(default_factory=lambda: np.zeros(N_META))
     mixing: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
+    def rows(self, words: list[list[bytes]], lay: np.ndarray, weights: dict[bytes, float]) -> np.ndarray:
+        found = np.array([word_features(w, weights) for w in words]).reshape(len(words), N_WORDS)
+        if not self.by_layout:
+            lay = np.where(np.arange(N_LAYOUT) == 0, lay, 0)
+        return np.concatenate([lay, found], axis=1)
+
     def content_logit(self, rows: np.ndarray) -> np.ndarray:
         return ((rows - self.mean) / self.spread) @ self.content
 
@@ -142,10 +152,6 @@ class Head:
         return sigmoid(np.stack([np.ones(len(content)), content, meta], 1) @ self.mixing)
 
 
-def _content_rows(words: list[list[bytes]], lay: np.ndarray, weights: dict[bytes, float]) -> np.ndarray:
-    return np.concatenate([lay, np.array([word_features(w, weights) for w in words]).reshape(len(words), N_WORDS)], axis=1)
-
-
 def _fit_content(head: Head, words: list, lay: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
     """Each half's rows use the words of the other half, so that weights aren't judged on what made them."""
     half = np.arange(len(y)) % 2 == 0
@@ -153,16 +159,16 @@ def _fit_content(head: Head, words: list, lay: np.ndarray, y: np.ndarray, weight
     for own in (half, ~half):
         weights = word_weights(words, y, weight * ~own)
         at = np.flatnonzero(own)
-        rows[at] = _content_rows([words[k] for k in at], lay[at], weights)
+        rows[at] = head.rows([words[k] for k in at], lay[at], weights)
     head.mean, head.spread = rows.mean(0), rows.std(0) + 1e-3
     head.mean[0], head.spread[0] = 0, 1
     head.content = logistic((rows - head.mean) / head.spread, y, weight)
     head.words = word_weights(words, y, weight)
 
 
-def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Head:
+def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_layout: bool = True, rounds: int = ROUNDS, sure: float = SURE) -> Head:
     """y: 0, 1, or -1 for the unlabelled pool. Without both labels the head knows only how frequent they are."""
-    head = Head()
+    head = Head(by_layout)
     known = np.flatnonzero(y >= 0)
     if len(known) < 20 or len(set(y[known])) < 2:
         share = (float((y[known] == 1).sum()) + 0.5) / (len(known) + 1)
@@ -182,11 +188,11 @@ def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, roun
             else:
                 head.meta = logistic(meta[at], target, weight, ridge=3.0)
         if k + 1 < rounds and len(pool):
-            content = sigmoid(head.content_logit(_content_rows([words[i] for i in pool], lay[pool], head.words)))
+            content = sigmoid(head.content_logit(head.rows([words[i] for i in pool], lay[pool], head.words)))
             for giver, taker, p in (("content", "meta", content), ("meta", "content", sigmoid(meta[pool] @ head.meta))):
                 certain = (p >= sure) | (p <= 1 - sure)
                 extra[taker] = (pool[certain], (p[certain] > 0.5).astype(float))
-    z = np.stack([np.ones(len(held)), head.content_logit(_content_rows([words[i] for i in held], lay[held], head.words)), meta[held] @ head.meta], 1)
+    z = np.stack([np.ones(len(held)), head.content_logit(head.rows([words[i] for i in held], lay[held], head.words)), meta[held] @ head.meta], 1)
     head.mixing = logistic(z, y[held].astype(float), np.ones(len(held)), ridge=0.1)
     return head
 
@@ -227,16 +233,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     got = rows.mapInArrow(run, schema).toPandas().sort_values(["id", "words"], kind="stable")
     words = [w.split() for w in got["words"]]
     lay = np.array(got["layout"].tolist(), float).reshape(len(got), N_LAYOUT)
-    meta = np.array([metadata(*(None if v != v else v for v in r)) for r in zip(got["lang"], got["source"], got["n_chars"], strict=True)]).reshape(len(got), -1)
-    return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float)) for h in HEADS}
+    meta = np.array([metadata(*(None if v != v else v for v in r)) for r in zip(got["lang"], got["source"], got["n_chars"], strict=True)]).reshape(len(got), N_META)
+    return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float), h in BY_LAYOUT) for h in HEADS}
 
 
 def _score_batch(batch: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.ndarray]:
     seen = [_views(t) for t in texts_of(batch.column("text"))]
     words, lay = [w for w, _ in seen], np.array([x for _, x in seen]).reshape(len(seen), N_LAYOUT)
     cols = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-    meta = np.array([metadata(*r) for r in zip(*cols, strict=True)]).reshape(len(seen), -1)
-    return {h: m.probability(m.content_logit(_content_rows(words, lay, m.words)), meta @ m.meta) for h, m in heads.items()}
+    meta = np.array([metadata(*r) for r in zip(*cols, strict=True)]).reshape(len(seen), N_META)
+    return {h: m.probability(m.content_logit(m.rows(words, lay, m.words)), meta @ m.meta) for h, m in heads.items()}
 
 
 def keeps(quality: np.ndarray, toxic: np.ndarray, least: float = 0.5, most: float = 0.5) -> np.ndarray:

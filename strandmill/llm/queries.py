@@ -83,7 +83,9 @@ _ALL = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _ALL}
+    from corpus_pipeline import run
+
+    return {f.__name__: f for f in _ALL} | {"pipeline": run}
 
 
 _ESCAPED = r"regexp_replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '\[(/?INST)', '&lsqb;\1', 'g')"
