@@ -26,6 +26,8 @@ from .common import texts_of
 from .decontaminate import words_of
 
 LABELLED, POOL, ROUNDS, SURE = 12_000, 8_000, 3, 0.97
+#: Share of the good held-out documents that a head must keep at its threshold, where that rejects more than 0.5 does.
+KEEP = 0.995
 HEADS = ("quality", "toxic")
 #: Heads whose content view reads the layout besides the words.
 BY_LAYOUT = ("quality",)
@@ -101,8 +103,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return beta
 
 
-def word_weights(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray, least: float = 4.0) -> dict[bytes, float]:
-    """Log odds of presence, of words that are `least` standard deviations away from none."""
+def word_weights(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray, least: float = 16.0) -> dict[bytes, float]:
+    """Log odds of presence, of words whose likelihood ratio against independence of the label is high."""
     ones, zeros = Counter(), Counter()
     for words, label, w in zip(docs, y, weight, strict=True):
         if w:
@@ -111,10 +113,11 @@ def word_weights(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray, lea
     out = {}
     for word in ones.keys() | zeros.keys():
         a, b = ones[word], zeros[word]
-        if a + b >= 5:
-            odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5)) if a < n1 and b < n0 else 0.0
-            if abs(odds) >= least * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)):
-                out[word] = odds
+        if a + b >= 4 and a < n1 and b < n0:
+            share = n1 / (n1 + n0)
+            ratio = 2 * sum(o * math.log(o / ((a + b) * e)) for o, e in ((a, share), (b, 1 - share)) if o)
+            if ratio >= least:
+                out[word] = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
     return out
 
 
@@ -138,6 +141,8 @@ class Head:
     content: np.ndarray = field(default_factory=lambda: np.zeros(N_LAYOUT + N_WORDS))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(N_META))
     mixing: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    #: A document counts as 1 from here on.
+    threshold: float = 0.5
 
     def rows(self, words: list[list[bytes]], lay: np.ndarray, weights: dict[bytes, float]) -> np.ndarray:
         found = np.array([word_features(w, weights) for w in words]).reshape(len(words), N_WORDS)
@@ -166,7 +171,7 @@ def _fit_content(head: Head, words: list, lay: np.ndarray, y: np.ndarray, weight
     head.words = word_weights(words, y, weight)
 
 
-def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_layout: bool = True, rounds: int = ROUNDS, sure: float = SURE) -> Head:
+def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_layout: bool = True, one_is_bad: bool = False, rounds: int = ROUNDS, sure: float = SURE) -> Head:
     """y: 0, 1, or -1 for the unlabelled pool. Without both labels the head knows only how frequent they are."""
     head = Head(by_layout)
     known = np.flatnonzero(y >= 0)
@@ -194,6 +199,11 @@ def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_l
                 extra[taker] = (pool[certain], (p[certain] > 0.5).astype(float))
     z = np.stack([np.ones(len(held)), head.content_logit(head.rows([words[i] for i in held], lay[held], head.words)), meta[held] @ head.meta], 1)
     head.mixing = logistic(z, y[held].astype(float), np.ones(len(held)), ridge=0.1)
+    p = sigmoid(z @ head.mixing)
+    if one_is_bad:
+        head.threshold = float(np.clip(np.quantile(p[y[held] == 0], KEEP) + 1e-6, 0.1, 0.5)) if (y[held] == 0).any() else 0.5
+    else:
+        head.threshold = float(np.clip(np.quantile(p[y[held] == 1], 1 - KEEP), 0.5, 0.9)) if (y[held] == 1).any() else 0.5
     return head
 
 
@@ -234,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     words = [w.split() for w in got["words"]]
     lay = np.array(got["layout"].tolist(), float).reshape(len(got), N_LAYOUT)
     meta = np.array([metadata(*(None if v != v else v for v in r)) for r in zip(got["lang"], got["source"], got["n_chars"], strict=True)]).reshape(len(got), N_META)
-    return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float), h in BY_LAYOUT) for h in HEADS}
+    return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float), h in BY_LAYOUT, h == "toxic") for h in HEADS}
 
 
 def _score_batch(batch: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.ndarray]:
@@ -245,8 +255,8 @@ def _score_batch(batch: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.
     return {h: m.probability(m.content_logit(m.rows(words, lay, m.words)), meta @ m.meta) for h, m in heads.items()}
 
 
-def keeps(quality: np.ndarray, toxic: np.ndarray, least: float = 0.5, most: float = 0.5) -> np.ndarray:
-    return (quality >= least) & (toxic < most)
+def keeps(p: dict[str, np.ndarray], heads: dict[str, Head]) -> np.ndarray:
+    return (p["quality"] >= heads["quality"].threshold) & (p["toxic"] < heads["toxic"].threshold)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,7 +274,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 500)
                 p = _score_batch(part, heads.value)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(keeps(p["quality"], p["toxic"]))],
+                    [part.column("doc_id"), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(keeps(p, heads.value))],
                     names=["doc_id", "p_quality", "p_toxic", "keep"],
                 )
 
@@ -281,6 +291,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 p = _score_batch(part, heads.value)
-                yield part.filter(pa.array(keeps(p["quality"], p["toxic"])))
+                yield part.filter(pa.array(keeps(p, heads.value)))
 
     return docs.mapInArrow(run, docs.schema)

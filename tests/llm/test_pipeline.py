@@ -5,7 +5,7 @@ from strandmill.llm import decontaminate as dc
 from strandmill.llm import quality, secrets
 
 
-def corpus(n=260, seed=8):
+def corpus(n=500, seed=8):
     rng = random.Random(seed)
     vocab = [f"{a}{b}{c}" for a in "abcde" for b in "aeiou" for c in ("n", "st", "r")]
     rows, labels = [], []
