@@ -129,16 +129,6 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("node", "key", "sketch").mapInArrow(run, "node long, key binary")
 
 
-def _alike(pairs: DataFrame, least: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = (_sketches(batch.column("sketch_a")) == _sketches(batch.column("sketch_b"))).sum(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(same)), batch.column("b").filter(pa.array(same))], names=["a", "b"])
-
-    return pairs.mapInArrow(run, "a binary, b binary")
-
-
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links between n things."""
     up = list(range(n))
@@ -157,6 +147,31 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
     return out
 
 
+def _small_links(small: DataFrame, least: int) -> DataFrame:
+    """Spanning links of nodes that are compared by brute force; many nodes share a group, each is compared alone."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("node")
+        keys, x, node = group["key"].combine_chunks(), _sketches(group["sketch"].combine_chunks()), group["node"].to_numpy()
+        begin = np.flatnonzero(np.diff(node, prepend=node[0] - 1 if len(node) else 0))
+        size = np.diff(np.append(begin, len(node)))
+        pairs = begin[size == 2]
+        pairs = pairs[(x[pairs] == x[pairs + 1]).sum(axis=1) >= least] if len(pairs) else pairs
+        left, right = [pairs], [pairs + 1]
+        for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            own = x[b : b + n]
+            link = np.triu((own[:, None] == own[None]).sum(axis=2) >= least, 1)
+            if link.any():
+                edges = np.array(_forest(n, *np.nonzero(link))) + b
+                left.append(edges[:, 0])
+                right.append(edges[:, 1])
+        return pa.table([keys.take(pa.array(np.concatenate(c).astype(np.int64))) for c in (left, right)], names=["a", "b"])
+
+    bins = 4 * shuffle_partitions(small.sparkSession)
+    binned = small.select(F.pmod(F.col("node"), F.lit(bins)).alias("bin"), "node", "key", "sketch")
+    return binned.groupBy("bin").applyInArrow(run, "a binary, b binary")
+
+
 def in_blocks(members: DataFrame, group: str, size: str, key: str, block: int) -> DataFrame:
     """Deals the members of large groups to pairs of blocks (i, j), i <= j; `side` is the member's own block."""
     blocks = F.ceil(F.col(size) / block).cast("int")
@@ -269,16 +284,13 @@ def near_join(
         sizes = state.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = written(state.join(sizes, "node"), "nodes")
         small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
-        left, right = small.select("node", F.col("key").alias("a")), small.select("node", F.col("key").alias("b"))
-        pairs = left.join(right, "node").where("a < b").select("a", "b").distinct()
         drawn = reps.select("key", "sketch")
-        pairs = pairs.join(drawn.toDF("a", "sketch_a"), "a").join(drawn.toDF("b", "sketch_b"), "b").select("a", "b", "sketch_a", "sketch_b")
-        found = found.union(_alike(pairs, least))
+        found = found.union(written(_small_links(small.join(drawn, "key"), least).distinct(), "met"))
         if large.isEmpty():
             break
         large = large.join(drawn, "key")
         if depth == DEPTH:
-            found = found.union(_dense_links(large, least))
+            found = found.union(written(_dense_links(large, least).distinct(), "met"))
         else:
             rows = _split(large, threshold)
 
