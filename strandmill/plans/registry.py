@@ -1,9 +1,11 @@
 """All queries of the genomics side by name."""
 
+from . import relational
+
 
 def queries() -> dict:
-    return {}
+    return dict(relational.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(relational.SQL)
