@@ -1,10 +1,10 @@
 """All queries of the genomics side by name."""
 
-from . import relational
+from . import kernels, relational
 
 
 def queries() -> dict:
-    return dict(relational.QUERIES)
+    return dict(relational.QUERIES) | dict(kernels.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

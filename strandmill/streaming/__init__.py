@@ -1,0 +1 @@
+"""The genomics side has no streams; nothing lives here yet."""
