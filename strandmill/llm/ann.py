@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, BLOCK, RERANK, SLICE, CENTRES = 8192, 1024, 96, 8192, 16
+SAMPLE, BLOCK, RERANK, SLICE, CENTRES = 8192, 1024, 256, 8192, 16
 
 
 
