@@ -4,7 +4,9 @@ Documents are dealt to batches by a hash of id and text. A batch counts its n-gr
 distinct one once, with its count, to the bucket of its hash; that combining keeps a frequent n-gram down to one
 entry for each batch. A bucket adds the counts up and answers every batch in the order it was asked, so the join of
 count tables and exploded n-grams needs neither the n-grams sent back nor a row for each. The batch, joined with its
-answers, sums the scores of its documents. Batches and buckets follow spark.sql.shuffle.partitions.
+answers, sums the scores of its documents. There are as many buckets as batches, a number that follows the words of
+the corpus: what is sent is a row for each pair of them, as in any shuffle, so raise `batch_words` with the memory
+of a worker where the corpus is very large.
 
 A word w after context c scores count(c w) / count(c) if c w occurs, else ALPHA times its score after the context
 less its first word; a word of no other count scores as one in all words and one. With `held_out`, a document's own
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import hash_words, pack, rolling, shuffle_partitions, texts_of, unpack
 
 ALPHA = 0.4
+BATCH_WORDS, LEAST_WORDS = 600_000, 50_000
 
 
 def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -82,22 +85,24 @@ def scores(orders: list[np.ndarray], first: np.ndarray, counts: list[np.ndarray]
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA, held_out: bool = True, batches: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA, held_out: bool = True, batches: int | None = None, batch_words: int = BATCH_WORDS
 ) -> DataFrame:
     """doc_id, n_words, n_backoffs, log_score (sum over the words) and mean_log_score of every document.
 
     Words are what stands between white space, unchanged. Null and empty texts score 0 over no words, their mean is
     null. Repeated rows are documents of their own: each counts for the others. Equal results for equal rows.
     """
-    n = batches or 4 * shuffle_partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def count_words(parts):
         for part in parts:
             yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(t.split()) for t in texts_of(part.column("text")))], pa.int64())})
 
     total = base.select("text").mapInArrow(count_words, "n long").agg(F.sum("n")).first()[0] or 0
+    # A batch and a bucket hold BATCH_WORDS words; fewer where the cluster has more partitions than that makes.
+    least = min(shuffle_partitions(docs.sparkSession), math.ceil(total / LEAST_WORDS))
+    n = batches or max(1, least, math.ceil(total / batch_words))
+    dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     asked = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("order", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
     def ask(group: pa.Table) -> pa.Table:
