@@ -716,7 +716,7 @@ def mdl_19(s, d):
     return r.select("rid").join(hit, "rid", "left").select("rid", F.coalesce("n", F.lit(0)).alias("n_snps"))
 
 
-@query("mth_09", "select rid, case when mate = 1 then -0.01 else -1000.0 end as p1, case when mate = 1 then -1000.0 else -0.01 end as p2 from reads where library <> 'N'")
+@query("mth_09", "select rid, cast(case when mate = 1 then -0.01 else -1000.0 end as double) as p1, cast(case when mate = 1 then -1000.0 else -0.01 end as double) as p2 from reads where library <> 'N'")
 def mth_09(s, d):
     near, far = F.lit(-0.01), F.lit(-1000.0)
     one = F.col("mate") == 1
