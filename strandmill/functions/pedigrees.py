@@ -1,0 +1,62 @@
+"""Small family graphs on the driver: order, cycles, pruning to sequenced lineages, nuclear families."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+
+def in_order(rows: Iterable[tuple]) -> list[tuple]:
+    """(family, child, father, mother) with parents before children; a cycle or two families of one child are errors."""
+    rows = list(rows)
+    family: dict = {}
+    for f, child, *_ in rows:
+        if family.setdefault(child, f) != f:
+            raise ValueError(f"{child} is in two families")
+    parents = {r[1]: [p for p in r[2:4] if p is not None] for r in rows}
+    done, out, by_child = set(), [], {r[1]: r for r in rows}
+    for child in parents:
+        stack, open_ = [(child, iter(parents[child]))], {child}
+        while stack and child not in done:
+            node, rest = stack[-1]
+            up = next((p for p in rest if p in parents and p not in done), None)
+            if up is None:
+                stack.pop()
+                open_.discard(node)
+                done.add(node)
+                out.append(by_child[node])
+            elif up in open_:
+                raise ValueError(f"{up} is its own ancestor")
+            else:
+                open_.add(up)
+                stack.append((up, iter(parents[up])))
+    return out
+
+
+def sequenced_lineage(rows: Iterable[tuple], sequenced: set) -> list[tuple]:
+    """Rows of people who are sequenced or have both a sequenced ancestor and a sequenced descendant."""
+    rows = in_order(rows)
+    above, below = {}, {}
+    for _, child, father, mother in rows:
+        above[child] = child in sequenced or any(above.get(p, p in sequenced) for p in (father, mother) if p is not None)
+    for _, child, father, mother in reversed(rows):
+        below[child] = below.get(child, False) or child in sequenced
+        for p in (father, mother):
+            if p is not None:
+                below[p] = below.get(p, False) or below[child]
+    kept = {c for c in above if above[c] and (below.get(c, False) or c in sequenced)}
+    parent = lambda p: p if p in kept or p in sequenced else None
+    return [(f, c, parent(a), parent(b)) for f, c, a, b in rows if c in kept]
+
+
+def nuclear_families(rows: Iterable[tuple], sequenced: set) -> list[tuple]:
+    """(family, mother, father, children) where parents and at least one child are sequenced and the family has no
+    third generation among them."""
+    groups: dict = {}
+    rows = sequenced_lineage(rows, sequenced)
+    for f, child, father, mother in rows:
+        if father in sequenced and mother in sequenced and child in sequenced:
+            groups.setdefault((f, mother, father), []).append(child)
+    per_family: dict = {}
+    for f, *_ in groups:
+        per_family[f] = per_family.get(f, 0) + 1
+    return [(*key, sorted(children)) for key, children in groups.items() if per_family[key[0]] == 1]
