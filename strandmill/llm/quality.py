@@ -224,7 +224,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     others = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*by_hash).limit(pool + labelled)
     others = others.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_anti").orderBy(*by_hash).limit(pool)
     sample = chosen.unionByName(others.select(F.col("doc_id").alias("id")), allowMissingColumns=True)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", *HEADS, "text", "lang", "source", "n_chars")
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    # One row for each id, the smallest, however often an id is repeated.
+    rows = rows.groupBy("id", *HEADS).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("id", *HEADS, "d.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -158,3 +158,11 @@ def test_bpe_equals_library(spark):
     raw = bytes(rng.randrange(256) for _ in range(4000))
     one_byte = [ranks[bytes((b,))] for b in raw]
     assert decoder.feed(one_byte) + decoder.finish() == raw.decode("utf-8", "replace")
+
+
+def test_repeated_ids_give_one_training_row(spark):
+    rows, labels = corpus(120, 4)
+    docs = spark.createDataFrame(rows + [rows[0]] * 50, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels + labels[:5], "doc_id long, quality int, toxic int")
+    got = quality.score(docs, known).collect()
+    assert len(got) == 170 and len({r.p_quality for r in got if r.doc_id == 0}) == 1
