@@ -254,7 +254,8 @@ def _score_batch(batch: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.
     words, lay = [w for w, _ in seen], np.array([x for _, x in seen]).reshape(len(seen), N_LAYOUT)
     cols = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
     meta = np.array([metadata(*r) for r in zip(*cols, strict=True)]).reshape(len(seen), N_META)
-    return {h: m.probability(m.content_logit(m.rows(words, lay, m.words)), meta @ m.meta) for h, m in heads.items()}
+    # Rounded, as the order of sums in a product of matrices may depend on where a row stands.
+    return {h: np.round(m.probability(m.content_logit(m.rows(words, lay, m.words)), meta @ m.meta), 9) for h, m in heads.items()}
 
 
 def keeps(p: dict[str, np.ndarray], heads: dict[str, Head]) -> np.ndarray:
