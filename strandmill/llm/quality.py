@@ -103,7 +103,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return beta
 
 
-def word_weights(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray, least: float = 16.0) -> dict[bytes, float]:
+LEAST_DOCUMENTS = 4
+
+
+def word_weights(docs: list[list[bytes | None]], y: np.ndarray, weight: np.ndarray, least: float = 16.0) -> dict[bytes, float]:
     """Log odds of presence, of words whose likelihood ratio against independence of the label is high."""
     ones, zeros = Counter(), Counter()
     for words, label, w in zip(docs, y, weight, strict=True):
@@ -113,7 +116,7 @@ def word_weights(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray, lea
     out = {}
     for word in ones.keys() | zeros.keys():
         a, b = ones[word], zeros[word]
-        if a + b >= 4 and a < n1 and b < n0:
+        if word is not None and a + b >= LEAST_DOCUMENTS and a < n1 and b < n0:
             share = n1 / (n1 + n0)
             ratio = 2 * sum(o * math.log(o / ((a + b) * e)) for o, e in ((a, share), (b, 1 - share)) if o)
             if ratio >= least:
@@ -243,7 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *HEADS, "lang", "source", "n_chars")) + ", words binary, layout array<double>"
     got = rows.mapInArrow(run, schema).toPandas().sort_values(["id", "words"], kind="stable")
-    words = [w.split() for w in got["words"]]
+    # Words in fewer than four documents can't get a weight; as None they only count. The others are kept once.
+    seen = Counter()
+    for data in got["words"]:
+        seen.update(data.split())
+    frequent = {w: w for w, n in seen.items() if n >= LEAST_DOCUMENTS}
+    del seen
+    words = [[frequent.get(w) for w in data.split()] for data in got.pop("words")]
     lay = np.array(got["layout"].tolist(), float).reshape(len(got), N_LAYOUT)
     meta = np.array([metadata(*(None if v != v else v for v in r)) for r in zip(got["lang"], got["source"], got["n_chars"], strict=True)]).reshape(len(got), N_META)
     return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float), h in BY_LAYOUT, h == "toxic") for h in HEADS}
