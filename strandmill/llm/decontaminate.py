@@ -255,7 +255,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def cut(text: str, spans: list) -> str:
         data = text.encode()
-        at = [m.span() for m in _WORD.finditer(data)]
+        at = [m.span() for m in _WORD.finditer(data.translate(_FOLD))]
         out, last = [], 0
         for start, end in spans:
             out.append(data[last : at[start][0]])
