@@ -99,6 +99,7 @@ def align(read: str, ref: str, match: float = 2.0, mismatch: float = -2.0, gap_o
     else:
         best[2, 0, 1:] = -gap_open - gap_extend * np.arange(m)
         come[2, 0, 2:] = 2
+    slope = gap_extend * np.arange(m)
     for i in range(1, n + 1):
         gain = np.where((b == a[i - 1]) | (a[i - 1] == 78) | (b == 78), match, mismatch)
         stack = best[:, i - 1, :-1]
@@ -107,10 +108,9 @@ def align(read: str, ref: str, match: float = 2.0, mismatch: float = -2.0, gap_o
         up = np.stack([best[0, i - 1] - gap_open, best[1, i - 1] - gap_extend, best[2, i - 1] - gap_open])
         come[1, i] = up.argmax(0)
         best[1, i] = up.max(0)
-        for j in range(1, m + 1):
-            options = (best[0, i, j - 1] - gap_open, best[1, i, j - 1] - gap_open, best[2, i, j - 1] - gap_extend)
-            k = max(range(3), key=options.__getitem__)
-            best[2, i, j], come[2, i, j] = options[k], k
+        opened = best[:2, i, :-1].max(0) - gap_open
+        best[2, i, 1:] = np.maximum.accumulate(opened + slope) - slope
+        come[2, i, 1:] = np.stack([best[0, i, :-1] - gap_open, best[1, i, :-1] - gap_open, best[2, i, :-1] - gap_extend]).argmax(0)
     j = int(best[:2, n].max(0).argmax()) if free_ref_ends else m
     state = int(best[:, n, j].argmax()) if not free_ref_ends else int(best[:2, n, j].argmax())
     score, i, ops = float(best[state, n, j]), n, []

@@ -32,11 +32,18 @@ def mdl_16(s, d):
 
 
 def scl_11(s, d):
-    """Alignments of parts of sequences to their neighbourhood."""
-    q = F.col("seq")
-    part = F.concat(F.substring(q, 21, 30), F.substring(q, 54, 30))
-    rows = pj.sequences(s, d).where(F.length("seq") >= 120).select("doc_id", part.alias("read"), F.substring(q, 11, 90).alias("ref"))
-    return models.align_reads(rows, "read").select("doc_id", "score", "cigar")
+    """Alignments of reads to their neighbourhood. The reads lie end to end over the whole sequence, 63 bases each (the
+    last one fewer) less the middle three; pos is a read's first base, from 0. The neighbourhood has 10 bases before
+    and 17 after."""
+    pieces = pj.sequences(s, d).select("doc_id", F.regexp_extract_all("seq", F.lit("(.{1,63})"), 1).alias("p"))
+
+    def tile(x, i):
+        read = F.concat(F.substring(x, 1, 30), F.substring(x, 34, 30))
+        before = F.when(i > 0, F.right(F.get("p", i - 1), F.lit(10))).otherwise("")
+        after = F.coalesce(F.left(F.get("p", i + 1), F.lit(17)), F.lit(""))
+        return F.struct((i * 63).alias("pos"), read.alias("read"), F.concat(before, x, after).alias("ref"))
+
+    return models.align_reads(pieces.select("doc_id", F.inline(F.transform("p", tile))), "read").select("doc_id", "pos", "score", "cigar")
 
 
 QUERIES = {f.__name__: f for f in (mdl_01, mdl_16, scl_11)}
