@@ -46,10 +46,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def het_snps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    span = F.lit(8000)
-    return o.select(
-        F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("sample"), _chrom(F.col("o_orderkey")).alias("chrom"), (F.col("o_orderkey") * 7 % span).alias("pos")
+    """SNPs over the whole range of the loci, which have 40 places for each part."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    span = table(spark, sf_dir, "part").agg(F.greatest(F.max("p_partkey") + 1, F.lit(1)).cast("long").alias("n")).select((F.col("n") * 40).alias("span"))
+    return o.crossJoin(F.broadcast(span)).select(
+        F.concat(F.lit("s"), (F.col("o_custkey") % 5).cast("string")).alias("sample"), _chrom(F.col("o_orderkey")).alias("chrom"), (F.col("o_orderkey").cast("long") * 7 % F.col("span")).alias("pos")
     ).distinct()
 
 
