@@ -1,7 +1,8 @@
 """Secret scan: three fixed patterns, and a character convolutional network over every other candidate.
 
 A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ = - that holds a digit and a letter. The network reads the
-candidate with what stands before and after it, is trained in numpy on labelled findings (`labelled_findings`, made
+candidate with what stands before and after it; a long one it reads in overlapping windows, and the most suspicious
+window decides, so that a key at the end of a path is seen whole. It is trained in numpy on labelled findings (`labelled_findings`, made
 by a seeded generator: keys and tokens of common forms in common settings, against identifiers, paths, dates,
 serial numbers and other harmless runs), calibrated on held-out findings, and accepts what lies above the highest
 threshold that keeps the required recall there. Documents are scanned where they lie; nothing is shuffled.
@@ -31,6 +32,8 @@ _WORDS = ("passw", "secret", "token", "api")
 
 BEFORE, INSIDE, AFTER = 28, 40, 4
 LENGTH = BEFORE + INSIDE + AFTER
+#: Windows follow each other at this distance, so INSIDE - STEP characters in a row are always whole in one.
+STEP = 8
 
 
 def base_findings(text: str) -> list[tuple[str, int, int]]:
@@ -72,7 +75,7 @@ N_CLASSES = int(_CLASS.max()) + 1
 
 
 def features(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes: BEFORE characters, the first INSIDE of the candidate, AFTER characters."""
+    """Character classes: BEFORE characters, the first INSIDE of the span, AFTER characters behind it."""
     out = np.zeros(LENGTH, np.int64)
 
     def put(at: int, piece: str) -> None:
@@ -86,6 +89,12 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of INSIDE characters that cover a candidate, the last one at its end; a short candidate is one span."""
+    last = max(start, end - INSIDE)
+    return [(s, min(end, s + INSIDE)) for s in (*range(start, last, STEP), last)]
+
+
 class CharCnn:
     """Embedding, one convolution, maxima and means over the context and over the candidate, a logistic layer."""
 
@@ -230,15 +239,52 @@ def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, int
     return rows, y
 
 
+def long_findings(n: int = 2000, seed: int = 5) -> tuple[list[tuple[str, int, int]], np.ndarray, list[tuple[int, int] | None]]:
+    """(text, start, end), 1 for a run with a secret in it, and where that secret is: harmless runs of `labelled_findings`
+    joined to long ones, half of them with a secret joined in."""
+    rng = np.random.default_rng(seed)
+    made, kinds = labelled_findings(4 * n, seed + 100)
+    keys, plain = ([t[s:e] for (t, s, e), k in zip(made, kinds, strict=True) if k == want] for want in (1, 0))
+    rows, y, where = [], np.zeros(n), []
+    for k in range(n):
+        y[k] = k % 2
+        parts = [plain[int(i)] for i in rng.integers(len(plain), size=int(rng.integers(2, 6)))]
+        at = int(rng.integers(len(parts) + 1)) if y[k] else None
+        if at is not None:
+            parts.insert(at, keys[int(rng.integers(len(keys)))])
+        join = "/_-="[int(rng.choice(4, p=(0.7, 0.1, 0.1, 0.1)))]
+        lead, run = made[int(rng.integers(len(made)))][0].split()[0] + " ", join.join(parts)
+        rows.append((lead + run + " end", len(lead), len(lead) + len(run)))
+        begin = len(lead) + sum(len(p) + 1 for p in parts[:at]) if at is not None else 0
+        where.append((begin, begin + len(parts[at])) if at is not None else None)
+    return rows, y, where
+
+
 @lru_cache(maxsize=2)
 def trained(recall: float = 0.98, n: int = 4000) -> CharCnn:
-    """The network, trained on two thirds of the findings and calibrated on the rest."""
+    """The network, trained on the windows of two thirds of the findings and calibrated on the rest as `scan` judges them.
+
+    A window of a long run counts as a secret if it holds 16 of the secret's characters, as harmless if it holds none.
+    """
     rows, y = labelled_findings(n)
-    x = np.stack([features(*r) for r in rows])
-    held = np.arange(n) // 2 % 3 == 0
+    more, z, where = long_findings(n // 2)
+    runs = [(r, (r[1], r[2]) if k else None) for r, k in zip(rows, y, strict=True)] + list(zip(more, where, strict=True))
+    labels = np.concatenate([y, z])
+    held = np.concatenate([np.arange(n) // 2 % 3 == 0, np.arange(len(more)) // 2 % 3 == 0])
+    x, known = [], []
+    for (text, start, end), key in (r for r, h in zip(runs, held, strict=True) if not h):
+        for s, e in windows(start, end):
+            shared = min(e, key[1]) - max(s, key[0]) if key else 0
+            if shared >= 16 or shared <= 0:
+                x.append(features(text, s, e))
+                known.append(float(shared > 0))
     model = CharCnn()
-    model.fit(x[~held], y[~held])
-    model.calibrate(x[held], y[held], recall)
+    model.fit(np.stack(x), np.array(known))
+    best = []
+    for (text, start, end), _ in (r for r, h in zip(runs, held, strict=True) if h):
+        seen = np.stack([features(text, s, e) for s, e in windows(start, end)])
+        best.append(seen[model.logits(seen).argmax()])
+    model.calibrate(np.stack(best), labels[held], recall)
     return model
 
 
@@ -252,7 +298,9 @@ def scan(text: str, model: CharCnn) -> list[tuple[str, int, int, float]]:
     runs = candidates(text, base)
     out = [(*b, 1.0) for b in base]
     if runs:
-        p = model.probability(np.stack([features(text, s, e) for s, e in runs]))
+        parts = [windows(s, e) for s, e in runs]
+        seen = model.probability(np.stack([features(text, s, e) for spans in parts for s, e in spans]))
+        p = np.maximum.reduceat(seen, np.cumsum([0, *map(len, parts[:-1])]))
         out += [("model", s, e, float(q)) for (s, e), q in zip(runs, p, strict=True) if q >= model.threshold]
     return sorted(out, key=_order)
 
