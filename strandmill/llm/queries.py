@@ -19,7 +19,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_table(spark, sf_dir, "documents"))
+    return lm_score.score(_table(spark, sf_dir, "documents"), order=3)
 
 
 #: The conversation that every template must survive: conv_id, turn, role, text.
