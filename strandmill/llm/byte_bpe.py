@@ -11,7 +11,9 @@ tokens; what lies before it can't change any more and is emitted, so lookahead a
 Decoding. A machine over UTF-8 lead and continuation bytes, lifted from bytes to tokens: what a token's bytes do to
 the bytes still pending is worked out once. Invalid bytes become U+FFFD, one for each maximal broken part.
 
-All tables live in the Python worker and are bounded: when one is full it is started anew.
+All tables live in the Python worker. What follows from the vocabulary is held in arrays; what is learnt from texts
+is bounded (`MAX_TRANSITIONS` and `MAX_PAIRS` entries, `MEMO_BYTES` for looked-up texts): when a table is full it is
+started anew, so a worker takes some 80 MB on any corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import hashlib
 import re
 import sys
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import bounded_batches, byte_slices, texts_of
 
 NEVER = 1 << 40
-MAX_TRANSITIONS, MAX_PAIRS, MAX_PIECES, LONG_PIECE, LOOKAHEAD = 500_000, 500_000, 250_000, 48, 1024
+MAX_TRANSITIONS, MAX_PAIRS, LONG_PIECE, LOOKAHEAD = 100_000, 300_000, 48, 1024
+#: Of each generation of looked-up texts: whole ones, and matches of the pattern. An entry takes ENTRY bytes besides its own.
+MEMO_BYTES, PIECE_BYTES, ENTRY = 24 << 20, 6 << 20, 160
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,40 +44,65 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def by_rank(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each id, None for ids that stand for nothing."""
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for word, rank in ranks.items():
+        out[rank] = word
+    return out
+
+
 class Transducer:
     """Encodes one piece of bytes at a time."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        #: token -> the tokens that its last byte (first byte) was part of, one after the other, up to itself.
-        self.at_end: dict[int, list[int]] = {}
-        self.at_start: dict[int, list[int]] = {}
-        #: A trie of the vocabulary: (node, byte) -> node, and for each node its token, depth and parent.
-        self.children: dict[int, int] = {}
-        self.token, self.depth, self.above = [-1], [0], [(0, 0)]
+        self.bytes_of = by_rank(ranks)
+        n = len(self.bytes_of)
+        #: token -> the token that its last (first) byte was part of before the last merge; -1 for single bytes.
+        self.right, self.left = array("i", [-1]) * n, array("i", [-1]) * n
+        children: dict[int, int] = {}
+        #: A trie of the vocabulary: (node, byte) -> node, and for each node its token, depth, parent and byte.
+        self.token, self.depth, self.parent, self.byte = array("i", [-1]), array("i", [0]), array("i", [0]), bytearray(1)
         for word, rank in sorted(ranks.items(), key=lambda x: x[1]):
             parts, halves = self.merge(word)
             if parts != [rank]:
                 continue  # no sequence of merges makes it; it only stands for a whole piece
-            left, right = halves or (None, None)
-            self.at_end[rank] = [*self.at_end.get(right, ()), rank]
-            self.at_start[rank] = [*self.at_start.get(left, ()), rank]
+            if halves:
+                self.left[rank], self.right[rank] = halves
             node = 0
             for b in word:
                 key = node << 8 | b
-                if key not in self.children:
-                    self.children[key] = len(self.token)
+                if key not in children:
+                    children[key] = len(self.token)
                     self.token.append(-1)
                     self.depth.append(self.depth[node] + 1)
-                    self.above.append((node, b))
-                node = self.children[key]
+                    self.parent.append(node)
+                    self.byte.append(b)
+                node = children[key]
             self.token[node] = rank
+        self.keys = array("q", sorted(children))
+        self.targets = array("i", [children[k] for k in self.keys])
         self.pairs = _Pairs(self)
         self.moves = _Moves(self)
-        self.suffix: list[int | None] = [0, *[None] * (len(self.token) - 1)]
+        self.suffix = array("i", [-1]) * len(self.token)
+        self.suffix[0] = 0
         self.ends: list[tuple | None] = [(), *[None] * (len(self.token) - 1)]
 
+    def child(self, key: int) -> int:
+        """The node that a node << 8 | byte leads to in the trie, or -1."""
+        at = bisect_left(self.keys, key)
+        return self.targets[at] if at < len(self.keys) and self.keys[at] == key else -1
+
+    @staticmethod
+    def chain(token: int, below: array) -> list[int]:
+        """What a token was before its merges, at one of its ends, up to itself."""
+        out = []
+        while token >= 0:
+            out.append(token)
+            token = below[token]
+        return out[::-1]
+
     def merge(self, data: bytes) -> tuple[list[int], tuple[int, int] | None]:
         """The merges as defined: the pair of lowest rank first, the leftmost of equals. Also the last pair merged."""
         parts, halves, ranks = [data[i : i + 1] for i in range(len(data))], None, self.ranks
@@ -90,7 +120,7 @@ class Transducer:
         Merges run in the order of ranks, so the bytes beside the seam grow by their own tokens' steps; the seam
         closes if at some time the two that stand there have a rank before the next step of either.
         """
-        left, right, i, j = self.at_end[a], self.at_start[b], 0, 0
+        left, right, i, j = self.chain(a, self.right), self.chain(b, self.left), 0, 0
         while True:
             grown = left[i + 1] if i + 1 < len(left) else NEVER
             grows = right[j + 1] if j + 1 < len(right) else NEVER
@@ -107,9 +137,9 @@ class Transducer:
     def back(self, node: int) -> int:
         """The state of the longest proper suffix."""
         known = self.suffix[node]
-        if known is None:
-            parent, byte = self.above[node]
-            known = self.suffix[node] = self.moves[self.back(parent) << 8 | byte] if parent else 0
+        if known < 0:
+            parent = self.parent[node]
+            known = self.suffix[node] = self.moves[self.back(parent) << 8 | self.byte[node]] if parent else 0
         return known
 
     def endings(self, node: int) -> tuple[tuple[int, int], ...]:
@@ -182,30 +212,32 @@ class _Moves(dict):
         if len(self) >= MAX_TRANSITIONS:
             self.clear()
         node = key >> 8
-        to = self.machine.children.get(key)
-        if to is None:
+        to = self.machine.child(key)
+        if to < 0:
             to = self[self.machine.back(node) << 8 | key & 0xFF] if node else 0
         self[key] = to
         return to
 
 
 class _Packed(dict):
-    """A bounded memo of two generations: text -> its ids as little-endian unsigned 32-bit integers.
+    """A memo of two generations, each of `limit` bytes: text -> its ids as little-endian unsigned 32-bit integers.
 
     What is used again while the younger one fills moves into it, so frequent texts are kept.
     """
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit, self.old, self.size = encode, limit, {}, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.old.get(text)
         if ids is None:
             ids = self.encode(text)
         if len(text) <= LONG_PIECE:
-            if len(self) >= MAX_PIECES:
+            self.size += ENTRY + 2 * len(text) + len(ids)
+            if self.size > self.limit:
                 self.old = dict(self)
                 self.clear()
+                self.size = 0
             self[text] = ids
         return ids
 
@@ -231,8 +263,8 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
         self.lone_space = lone_space
-        self.pieces = _Packed(lambda x: _pack(self.machine.encode(x.encode())))
-        self.after_space = _Packed(lambda x: self._matches(" " + x))
+        self.pieces = _Packed(lambda x: _pack(self.machine.encode(x.encode())), PIECE_BYTES if lone_space else MEMO_BYTES)
+        self.after_space = _Packed(lambda x: self._matches(" " + x), MEMO_BYTES)
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
@@ -287,12 +319,14 @@ class Decoder:
     """Turns ids into text as they come; `finish` ends the text."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.whole: list[str | None] = [None] * (max(self.bytes_of, default=-1) + 1)
-        for token, data in self.bytes_of.items():
-            text, rest = utf8_step(b"", data)
-            if not rest and text.encode() == data:
-                self.whole[token] = text
+        bytes_of = by_rank(ranks)
+        self.bytes_of = bytes_of
+        self.whole: list[str | None] = [None] * len(bytes_of)
+        for token, data in enumerate(bytes_of):
+            if data is not None:
+                text, rest = utf8_step(b"", data)
+                if not rest and text.encode() == data:
+                    self.whole[token] = text
         self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
         self.pending = b""
 
@@ -323,20 +357,24 @@ def coders(ranks_path: str, pattern: str, lone_space: bool) -> tuple[Encoder, De
     """The two machines of this worker; they are built once and grow as texts come."""
     key = (ranks_path, pattern, lone_space)
     if key not in _LOADED:
+        _LOADED.clear()
         ranks = read_ranks(ranks_path)
         _LOADED[key] = Encoder(ranks, pattern, lone_space), Decoder(ranks)
     return _LOADED[key]
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, lone_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids array<int>; null texts have no ids. Repeated rows are encoded alike, each for itself."""
+    """doc_id and ids array<int> of every row; null and empty texts have no ids.
+
+    Repeated rows are encoded alike, each for itself; an empty table gives no rows; other columns are not read.
+    """
+    bounded_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = coders(ranks_path, pattern, lone_space)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in byte_slices(batch):
                 packed = [encoder.encode(t) for t in texts_of(part.column("text"))]
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
                 flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
@@ -347,14 +385,19 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, lone_space:
 
 
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, lone_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes every whole text, decodes the ids again, and returns the digests of both."""
+    """Encodes every whole text, decodes the ids again, and returns their number and the digests of both.
+
+    Null and empty texts have no ids and the digests of nothing. Repeated rows are judged alike, each for itself; an
+    empty table gives no rows; other columns are not read.
+    """
+    bounded_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coders(ranks_path, pattern, lone_space)
-        for batch in batches:
+        for part in (p for batch in batches for p in byte_slices(batch)):
             counts, ids_hex, text_hex = [], [], []
-            for text in texts_of(batch.column("text")):
+            for text in texts_of(part.column("text")):
                 packed = encoder.encode(text)
                 counts.append(len(packed) // 4)
                 ids_hex.append(hashlib.sha256(packed).hexdigest())
@@ -365,7 +408,7 @@ def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, lone_space:
                 back.update(decoder.finish().encode())
                 text_hex.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

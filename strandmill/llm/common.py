@@ -5,23 +5,52 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A row without an id counts as later than every row with one.
 NO_ID = (1 << 63) - 1
 
 
+#: Bytes of an Arrow batch between the JVM and Python, however long the rows are (one row at least).
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, as their bound by rows lets long texts pile up."""
+    if spark.conf.get(_BATCH_CONF, "64m") != str(BATCH_BYTES):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES // 2) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts take up `limit` bytes together, or of one longer text."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for k, n in enumerate(sizes.tolist()):
+        if total + n > limit and k > start:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Without one, a local session (as in tests) gets a
+    folder of its own; a cluster is refused, as its machines could not read each other's files."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_here.isDefined():
         return str(set_here.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="strandmill-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -35,6 +64,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing reads any more: no plan that is still to run may use them."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """A column name that none of `names` has, whatever the case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
