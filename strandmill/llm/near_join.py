@@ -4,9 +4,12 @@
    for all. A set is sketched by `COORDS` minima.
 2. Chosen paths: at a node of the tree every coordinate is taken with chance 1 / (threshold * COORDS), by a hash of
    the node, and the sets at the node go to a child for each value of a taken coordinate. Sets of the threshold share
-   one child on average, unlike sets hardly any. Nodes with up to `SMALL` sets are compared by brute force, larger
-   ones are split further, and what is still large at `DEPTH` is compared in blocks. Runs are repeated until a pair
-   at the threshold is met with the target recall.
+   one child on average, unlike sets hardly any. Nodes with up to `SMALL` sets are compared by brute force. Larger
+   ones are dealt to blocks, in each of which all pairs are compared and one leader then stands for all whose
+   sketches are as alike as the threshold asks; leaders and sets without one are split further, and what is still
+   large at `DEPTH` is compared in pairs of blocks. So a large group of near copies does not travel down the tree as
+   a whole. Runs, each with other nodes and leaders, are repeated until a pair at the threshold is met with the
+   target recall.
 3. Pairs whose sketches agree well enough are joined to provisional groups, within which all pairs are compared
    exactly, groups beyond one block in pairs of blocks. So each set travels once, links within a group are complete,
    and no list of all pairs is ever made.
@@ -17,13 +20,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hash_words, ids_of, mix64, rolling, shuffle_partitions, texts_of, written
+from .common import NO_ID, bounded_batches, byte_slices, discard, hash_words, ids_of, mix64, rolling, shuffle_partitions, texts_of, unused, written
 from .components import connected_components
 
 COORDS, SMALL, DEPTH, BLOCK = 64, 48, 4, 512
@@ -86,8 +90,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in byte_slices(batch):
                 sets = shingle_sets(texts_of(part.column("text")), words)
                 cols = [
                     pa.array(ids_of(part.column("doc"))),
@@ -147,31 +150,96 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
     return out
 
 
-def _small_links(small: DataFrame, least: int) -> DataFrame:
+#: Sets in one Python group, beside the least that spreads them over all partitions.
+GROUPED = 16_384
+
+
+def _bins(df: DataFrame, n: int, each: int = GROUPED) -> int:
+    """How many groups n rows are dealt to, so that a group is bounded however many there are."""
+    return max(4 * shuffle_partitions(df.sparkSession), math.ceil(n / each))
+
+
+def _runs(group: pa.Table, by: list[str]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The group in order of `by`, and where each run of equal values begins and how long it is."""
+    group = group.combine_chunks().sort_by([(c, "ascending") for c in by])
+    new = np.zeros(group.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        value = group[c].to_numpy()
+        new[1:] |= value[1:] != value[:-1]
+    begin = np.flatnonzero(new)
+    return group, begin, np.diff(np.append(begin, group.num_rows))
+
+
+def agreement(x: np.ndarray) -> np.ndarray:
+    """Of all pairs of sketches, in how many places they agree."""
+    same = np.zeros((len(x), len(x)), np.uint8)
+    for c in range(COORDS):
+        same += x[:, c][:, None] == x[:, c][None]
+    return same
+
+
+def leaders(close: np.ndarray) -> np.ndarray:
+    """Which of n things stay, in their order, if each that stays stands for all later ones close to it."""
+    stays = np.ones(len(close), bool)
+    for k in range(len(close)):
+        if stays[k]:
+            stays[k + 1 :] &= ~close[k, k + 1 :]
+    return stays
+
+
+def _small_links(small: DataFrame, least: int, bins: int) -> DataFrame:
     """Spanning links of nodes that are compared by brute force; many nodes share a group, each is compared alone."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("node")
-        keys, x, node = group["key"].combine_chunks(), _sketches(group["sketch"].combine_chunks()), group["node"].to_numpy()
-        begin = np.flatnonzero(np.diff(node, prepend=node[0] - 1 if len(node) else 0))
-        size = np.diff(np.append(begin, len(node)))
+        group, begin, size = _runs(group, ["node"])
+        keys, x = group["key"].combine_chunks(), _sketches(group["sketch"].combine_chunks())
         pairs = begin[size == 2]
         pairs = pairs[(x[pairs] == x[pairs + 1]).sum(axis=1) >= least] if len(pairs) else pairs
         left, right = [pairs], [pairs + 1]
         for b, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = x[b : b + n]
-            link = np.triu((own[:, None] == own[None]).sum(axis=2) >= least, 1)
+            link = np.triu(agreement(x[b : b + n]) >= least, 1)
             if link.any():
                 edges = np.array(_forest(n, *np.nonzero(link))) + b
                 left.append(edges[:, 0])
                 right.append(edges[:, 1])
         return pa.table([keys.take(pa.array(np.concatenate(c).astype(np.int64))) for c in (left, right)], names=["a", "b"])
 
-    bins = 4 * shuffle_partitions(small.sparkSession)
     binned = small.select(F.pmod(F.col("node"), F.lit(bins)).alias("bin"), "node", "key", "sketch")
     return binned.groupBy("bin").applyInArrow(run, "a binary, b binary")
 
 
+def _led(large: DataFrame, least: int, close: int, bins: int) -> DataFrame:
+    """(a, b, node, key): spanning links of all pairs within a block of a node, and (node, key) of those that stay.
+
+    A block is dealt by a hash of node and key, so other sets share it, and others lead, at every node.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks)).withColumn("bin", F.pmod(F.xxhash64("node", "block"), F.lit(bins)))
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("node", pa.int64()), ("key", pa.binary())])
+
+    def run(group: pa.Table) -> pa.Table:
+        group, begin, size = _runs(group, ["node", "block"])
+        keys, nodes, x = group["key"].to_pylist(), group["node"].to_pylist(), _sketches(group["sketch"].combine_chunks())
+        head = np.array([int.from_bytes(k[:8], "little") for k in keys], np.uint64)
+        rows: list[tuple] = []
+        for b, n in zip(begin.tolist(), size.tolist(), strict=True):
+            order = b + np.argsort(mix64(head[b : b + n] ^ np.uint64(nodes[b] & 0xFFFFFFFF)), kind="stable")
+            same = agreement(x[order])
+            link = np.triu(same >= least, 1)
+            rows += [(keys[order[p]], keys[order[q]], None, None) for p, q in _forest(n, *np.nonzero(link))]
+            rows += [(None, None, nodes[b], keys[k]) for k in order[leaders(same >= close)].tolist()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return dealt.select("bin", "block", "node", "key", "sketch").groupBy("bin").applyInArrow(run, "a binary, b binary, node long, key binary")
+
+
+def _with_sizes(state: DataFrame) -> DataFrame:
+    """(node, key, size) of nodes with two sets or more."""
+    sizes = state.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    return state.join(sizes, "node").select("node", "key", "size")
+
+
 def in_blocks(members: DataFrame, group: str, size: str, key: str, block: int) -> DataFrame:
     """Deals the members of large groups to pairs of blocks (i, j), i <= j; `side` is the member's own block."""
     blocks = F.ceil(F.col(size) / block).cast("int")
@@ -188,10 +256,7 @@ def _dense_links(large: DataFrame, least: int) -> DataFrame:
         group = group.combine_chunks()
         keys, x = group["key"].to_pylist(), _sketches(group["sketch"].combine_chunks())
         side, i, j = group["side"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
-        same = np.zeros((len(x), len(x)), np.uint8)
-        for c in range(COORDS):
-            same += x[:, c][:, None] == x[:, c][None]
-        link = np.triu(same >= least, 1)
+        link = np.triu(agreement(x) >= least, 1)
         if i != j:
             link &= side[:, None] != side[None]
         out = _forest(len(x), *np.nonzero(link))
@@ -272,27 +337,36 @@ def near_join(
     after all others. Repeated rows share a class and count as one set.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     marked = written(_sketched(base, words), "sketches")
     reps = written(marked.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "sets")
-    least = math.ceil(COORDS * (threshold - SLACK))
+    least, close = math.ceil(COORDS * (threshold - SLACK)), math.ceil(COORDS * threshold)
 
-    found = spark.createDataFrame([], "a binary, b binary")
+    drawn = reps.select("key", "sketch")
+    links: list[DataFrame] = []
     rows = _roots(reps, runs_for(recall, threshold), threshold)
     for depth in range(1, DEPTH + 1):
         state = written(rows, "paths")
-        sizes = state.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(state.join(sizes, "node"), "nodes")
-        small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
-        drawn = reps.select("key", "sketch")
-        found = found.union(written(_small_links(small.join(drawn, "key"), least).distinct(), "met"))
-        if large.isEmpty():
-            break
-        large = large.join(drawn, "key")
-        if depth == DEPTH:
-            found = found.union(written(_dense_links(large, least).distinct(), "met"))
-        else:
+        sized = written(_with_sizes(state), "nodes")
+        n_small, n_large = (sized.where(c).count() for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
+        if n_small:
+            links.append(written(_small_links(sized.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))
+        if n_large:
+            led = written(_led(sized.where(F.col("size") > SMALL).join(drawn, "key"), least, close, _bins(state, n_large)), "led")
+            links.append(led.where("a is not null").select("a", "b").distinct())
+            rest = written(_with_sizes(led.where("node is not null").select("node", "key")), "nodes")
+            n_small, n_large = (rest.where(c).count() for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
+            if n_small:
+                links.append(written(_small_links(rest.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))
+            large = rest.where(F.col("size") > SMALL).join(drawn, "key")
+            if n_large and depth == DEPTH:
+                links.append(written(_dense_links(large, least).distinct(), "met"))
             rows = _split(large, threshold)
+        discard(state, sized)
+        if not n_large:
+            break
+    found = reduce(DataFrame.union, links, spark.createDataFrame([], "a binary, b binary"))
 
     groups = written(connected_components(found).withColumnRenamed("node", "key"), "groups")
     members = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")
@@ -309,7 +383,7 @@ def near_join(
 
     texts = base.join(members, "doc").select("key", "component", "size", "text")
     sets = written(texts.mapInArrow(to_sets, "key binary, component binary, size long, shingles binary").dropDuplicates(["key"]), "members")
-    bins = 4 * shuffle_partitions(spark)
+    bins = _bins(sets, sets.count(), 4096)
     few = sets.where(F.col("size") <= BLOCK).select(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "component", "key", "shingles")
     many = in_blocks(sets.where(F.col("size") > BLOCK), "component", "size", "key", BLOCK)
     many = many.select(F.xxhash64("component").alias("bin"), "i", "j", "side", "component", "key", "shingles")
@@ -335,14 +409,16 @@ def near_join(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which no other of the same class has a smaller id; all columns stay.
+    """The documents of which no other of the same class has a smaller id; all columns stay, whatever their names.
 
-    Of rows with the kept id one stays where they have equal texts. Null and empty texts all stay.
+    Of rows with the kept id one stays where they have equal texts. Null and empty texts all stay, and so do rows
+    without an id where no other of their class has one. An empty table gives no rows.
     """
+    kept_id, n_rows, text_hash = (unused(docs.columns, c) for c in ("kept_id", "n_rows", "text_hash"))
     found = near_join(docs, id_col, text_col, **options)
-    kept = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_kept_id_")).agg(F.count("*").alias("_rows_"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id_")), "inner").drop("_kept_id_")
+    kept = found.where(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias(n_rows))
+    rows = docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]), "inner").drop(kept_id)
     empty = F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) == 0
-    single = (F.col("_rows_") == 1) | empty
-    twice = rows.where(~single).withColumn("_text_hash_", F.xxhash64(text_col)).dropDuplicates([id_col, "_text_hash_"])
-    return rows.where(single).drop("_rows_").unionByName(twice.drop("_rows_", "_text_hash_"))
+    single = (F.col(n_rows) == 1) | empty
+    twice = rows.where(~single).withColumn(text_hash, F.xxhash64(text_col)).dropDuplicates([id_col, text_hash])
+    return rows.where(single).drop(n_rows).unionByName(twice.drop(n_rows, text_hash))
