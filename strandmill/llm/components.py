@@ -3,7 +3,7 @@
 Each round turns every node's neighbours to the smallest one it knows, first the larger neighbours, then the smaller
 ones. Only smallest values are aggregated, which combine before the shuffle, and the joins back are plain equi-joins
 that adaptive execution splits when a hub has many edges. Each round is a table in the shared folder, so a lost
-executor costs a part of one round. The number of rounds grows with the logarithm of the longest path.
+executor costs a part of one round; the tables of earlier rounds are deleted. The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = written(_stars(both, True).distinct(), "stars")
         down = wide.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = written(_stars(down, False).distinct(), "edges")
+        before, now = now, written(_stars(down, False).distinct(), "edges")
+        discard(wide, before)
         was, seen = seen, _print(now)
         if seen == was:
             break

@@ -3,8 +3,8 @@ documents stream through it, the longest match at each word is tracked, and span
 share of an item are removed.
 
 No row is shuffled: the automaton of a block of items travels to the documents. A benchmark beyond one block
-(`BLOCK_WORDS` words) is cut into several, and the documents pass each block in turn, so what is sent at once
-is bounded however large the benchmark is.
+(`BLOCK_WORDS` words) is cut into several, and the documents pass each block in turn and are written in between, so
+one automaton is held at a time, however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hex256, texts_of
+from .common import bounded_batches, byte_slices, hex256, texts_of, unused, written
 
 #: Words of items in one automaton.
 BLOCK_WORDS = 200_000
@@ -171,40 +171,41 @@ def automata(
     yield SuffixAutomaton(items, window, coverage)
 
 
-_COLS = ["_hit_spans_", "_hit_items_"]
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """`docs` with `_hit_spans_` (array of [start, end) word positions, merged) and `_hit_items_` (array of item ids).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", spans_col: str = "_hit_spans_", items_col: str = "_hit_items_", **limits) -> DataFrame:
+    """`docs` with `spans_col` (array of [start, end) word positions, merged) and `items_col` (array of item ids).
 
     Null and empty texts have no words and no hits. Items without words make no window; an item with a null id
     hits words but is not listed. Repeated documents are judged alike, repeated items count once. With an empty
-    benchmark nothing is hit. Columns of `docs` under these two names are replaced.
+    benchmark nothing is hit, an empty table stays empty. Columns of `docs` under these two names are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*_COLS)
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_hit_spans_ array<array<int>>, _hit_items_ array<string>").fields])
+    bounded_batches(spark)
+    docs = docs.drop(spans_col, items_col)
+    plain = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans_col, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(items_col, T.ArrayType(T.StringType()))])
+    last = None
     for block in automata(benchmark, **limits):
-        shared = spark.sparkContext.broadcast(block)
+        if last is not None:
+            docs = written(docs, "matched")
+            last.unpersist()
+        last = shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             automaton = shared.value
-            for batch in batches:
-                names = batch.schema.names
-                old_spans = batch.column(names.index(_COLS[0])).to_pylist() if _COLS[0] in names else None
-                old_items = batch.column(names.index(_COLS[1])).to_pylist() if _COLS[0] in names else None
+            for part in (p for batch in batches for p in byte_slices(batch, text_col)):
+                seen = spans_col in part.schema.names
+                old_spans, old_items = (part.column(c).to_pylist() if seen else None for c in (spans_col, items_col))
                 spans_out, items_out = [], []
-                for k, text in enumerate(texts_of(batch.column(names.index(text_col)))):
+                for k, text in enumerate(texts_of(part.column(text_col))):
                     spans, items = automaton.scan(words_of(text))
-                    if old_spans:
+                    if seen:
                         spans = merged([*old_spans[k], *spans])
                         items = items | set(old_items[k])
                     spans_out.append(spans)
                     items_out.append(sorted(x for x in items if x is not None))
-                kept = [n for n in names if n not in _COLS]
-                cols = [batch.column(names.index(n)) for n in kept]
+                cols = [part.column(n) for n in plain]
                 cols += [pa.array(spans_out, pa.list_(pa.list_(pa.int32()))), pa.array(items_out, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept, *_COLS])
+                yield pa.RecordBatch.from_arrays(cols, names=[*plain, spans_col, items_col])
 
         docs = docs.mapInArrow(run, schema)
     return docs
@@ -227,8 +228,8 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     def run(batches):
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            spans = batch.column(_COLS[0]).to_pylist()
-            items = batch.column(_COLS[1]).to_pylist()
+            spans = batch.column("_hit_spans_").to_pylist()
+            items = batch.column("_hit_items_").to_pylist()
             hit = [sum(b - a for a, b in x) for x in spans]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -249,9 +250,12 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **limits) -> DataFrame:
     """The documents without the words of occurring windows; all columns stay, the length column follows the text.
 
-    Documents without a hit pass unchanged. What stands between two removed words goes with them.
+    Documents without a hit, null and empty ones among them, pass unchanged. What stands between two removed words
+    goes with them. Repeated rows are judged alike, each for itself; with an empty benchmark nothing changes.
     """
-    found = find_contamination(docs, benchmark, text_col, **limits)
+    spans_col, items_col = (unused(docs.columns, c) for c in ("hit_spans", "hit_items"))
+    found = find_contamination(docs, benchmark, text_col, spans_col, items_col, **limits)
+    names = docs.columns
 
     def cut(text: str, spans: list) -> str:
         data = text.encode()
@@ -264,9 +268,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            names = [n for n in batch.schema.names if n not in _COLS]
-            spans = batch.column(_COLS[0]).to_pylist()
-            cols = {n: batch.column(batch.schema.names.index(n)) for n in names}
+            spans = batch.column(spans_col).to_pylist()
+            cols = {n: batch.column(n) for n in names}
             if any(spans):
                 old = cols[text_col].to_pylist()
                 new = [cut(t, s) if s else t for t, s in zip(old, spans, strict=True)]
@@ -276,4 +279,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     cols[length_col] = pa.array([len(n) if s else z for n, s, z in zip(new, spans, sizes, strict=True)], cols[length_col].type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
 
-    return found.mapInArrow(run, docs.drop(*_COLS).schema)
+    return found.mapInArrow(run, docs.schema)

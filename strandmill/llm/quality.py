@@ -1,13 +1,17 @@
 """Quality classifier by co-training of two views.
 
 The content view sees a document's words and its layout, the metadata view its other columns (language, source,
-length). For each head (quality, toxicity) both views are fitted on labelled documents; over some rounds each labels
-those documents of an unlabelled pool that it is sure of, for the other one to learn from. Held-out labels then
-calibrate the views and combine them, and every document is scored where it lies.
-
-What is fitted sees at most `LABELLED` labelled and `POOL` unlabelled documents, chosen by the smallest hashes of
-their ids; scoring covers all documents. Word weights are log odds of a word's presence, kept only where they are
-many standard deviations from nothing, so a model is small whatever the vocabulary is.
+length). For each head (quality, toxicity) both views are fitted on labelled documents. Between rounds each view judges
+every other document of the table where it lies, and what it is sure of teaches the other view: the metadata view gets
+counts of its cells (language, source, length) by pseudo-label, the content view counts of words by pseudo-label. Only
+such counts travel, combined before the shuffle. A view is sure where its probability is beyond `SURE` and `LIFT` times
+the odds that any document has, so a view that knows nothing teaches nothing; all pseudo-labels together weigh `EXTRA`
+times the labelled documents at most. Held-out labels then calibrate the views and combine them, and every document
+is scored where it lies.
+
+What is fitted sees at most `LABELLED` labelled documents, chosen by the smallest hashes of their ids; pseudo-labels
+and scores cover all documents. Word weights are log odds of a word's presence, kept only where they are many standard
+deviations from nothing; of the words that only pseudo-labels speak for, a model takes the `MODEL_WORDS` strongest.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import bounded_batches, byte_slices, texts_of, written
 from .decontaminate import words_of
 
-LABELLED, POOL, ROUNDS, SURE = 12_000, 8_000, 3, 0.97
+LABELLED, ROUNDS, SURE, LIFT, EXTRA, MODEL_WORDS = 12_000, 3, 0.97, 3.0, 0.5, 20_000
+#: Words that a task counts before it hands its counts on.
+COUNTED = 200_000
 #: Share of the good held-out documents that a head must keep at its threshold, where that rejects more than 0.5 does.
 KEEP = 0.995
 HEADS = ("quality", "toxic")
@@ -65,13 +71,18 @@ def _place(value: str | None, salt: int) -> int:
     return zlib.crc32(f"{salt}:{value if value is not None else ''}".encode()) % PLACES
 
 
-def metadata(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """A one, one place for the language, one for the source, and the length in steps of its logarithm."""
-    out = np.zeros(N_META)
-    out[0] = 1
-    out[1 + _place(lang, 1)] = 1
-    out[1 + PLACES + _place(source, 2)] = 1
-    out[1 + 2 * PLACES + min(11, int(math.log1p(max(0, n_chars or 0))))] = 1
+def cell(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
+    """Places of the language and the source, and the length in steps of its logarithm."""
+    return _place(lang, 1), _place(source, 2), min(11, int(math.log1p(max(0, n_chars or 0))))
+
+
+def metadata(cells: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each cell a one, and a one at each of its places."""
+    out = np.zeros((len(cells), N_META))
+    if cells:
+        lang, source, step = np.array(cells).T
+        rows = np.arange(len(cells))
+        out[:, 0] = out[rows, 1 + lang] = out[rows, 1 + PLACES + source] = out[rows, 1 + 2 * PLACES + step] = 1
     return out
 
 
@@ -106,18 +117,38 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 LEAST_DOCUMENTS = 4
 
 
-def word_weights(docs: list[list[bytes | None]], y: np.ndarray, weight: np.ndarray, least: float = 16.0) -> dict[bytes, float]:
+@dataclass
+class Taught:
+    """What pseudo-labels of all unlabelled documents say: counts of words and of cells by label, and their weight."""
+
+    words: dict[bytes, tuple[float, float]] = field(default_factory=dict)
+    documents: tuple[float, float] = (0.0, 0.0)
+    cells: dict[tuple[int, int, int], tuple[float, float]] = field(default_factory=dict)
+
+
+def _weigh(labelled: int, documents: tuple[float, float]) -> float:
+    """The weight of a pseudo-label."""
+    return min(EXTRA, EXTRA * labelled / max(1.0, sum(documents)))
+
+
+def word_weights(docs: list[list[bytes | None]], y: np.ndarray, weight: np.ndarray, least: float = 16.0, taught: Taught | None = None) -> dict[bytes, float]:
     """Log odds of presence, of words whose likelihood ratio against independence of the label is high."""
     ones, zeros = Counter(), Counter()
     for words, label, w in zip(docs, y, weight, strict=True):
         if w:
             (ones if label > 0.5 else zeros).update(words)
     n1, n0 = float((weight * (y > 0.5)).sum()) + 1, float((weight * (y <= 0.5)).sum()) + 1
+    if taught is not None and taught.words:
+        each = _weigh(int((weight > 0).sum()), taught.documents)
+        n1, n0 = n1 + each * taught.documents[0], n0 + each * taught.documents[1]
+        for word, (a, b) in taught.words.items():
+            ones[word] += each * a
+            zeros[word] += each * b
     out = {}
+    share = n1 / (n1 + n0)
     for word in ones.keys() | zeros.keys():
         a, b = ones[word], zeros[word]
         if word is not None and a + b >= LEAST_DOCUMENTS and a < n1 and b < n0:
-            share = n1 / (n1 + n0)
             ratio = 2 * sum(o * math.log(o / ((a + b) * e)) for o, e in ((a, share), (b, 1 - share)) if o)
             if ratio >= least:
                 out[word] = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
@@ -146,6 +177,8 @@ class Head:
     mixing: np.ndarray = field(default_factory=lambda: np.zeros(3))
     #: A document counts as 1 from here on.
     threshold: float = 0.5
+    #: Log odds of any document.
+    prior: float = 0.0
 
     def rows(self, words: list[list[bytes]], lay: np.ndarray, weights: dict[bytes, float]) -> np.ndarray:
         found = np.array([word_features(w, weights) for w in words]).reshape(len(words), N_WORDS)
@@ -160,54 +193,73 @@ class Head:
         return sigmoid(np.stack([np.ones(len(content)), content, meta], 1) @ self.mixing)
 
 
-def _fit_content(head: Head, words: list, lay: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+def _fit_content(head: Head, words: list, lay: np.ndarray, y: np.ndarray, taught: Taught | None) -> None:
     """Each half's rows use the words of the other half, so that weights aren't judged on what made them."""
     half = np.arange(len(y)) % 2 == 0
     rows = np.zeros((len(y), N_LAYOUT + N_WORDS))
     for own in (half, ~half):
-        weights = word_weights(words, y, weight * ~own)
+        weights = word_weights(words, y, (~own).astype(float), taught=taught)
         at = np.flatnonzero(own)
         rows[at] = head.rows([words[k] for k in at], lay[at], weights)
     head.mean, head.spread = rows.mean(0), rows.std(0) + 1e-3
     head.mean[0], head.spread[0] = 0, 1
-    head.content = logistic((rows - head.mean) / head.spread, y, weight)
-    head.words = word_weights(words, y, weight)
+    head.content = logistic((rows - head.mean) / head.spread, y, np.ones(len(y)))
+    head.words = word_weights(words, y, np.ones(len(y)), taught=taught)
+
 
+class Learner:
+    """One head's labelled documents; every round fits both views with what pseudo-labels teach them."""
 
-def co_train(words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_layout: bool = True, one_is_bad: bool = False, rounds: int = ROUNDS, sure: float = SURE) -> Head:
-    """y: 0, 1, or -1 for the unlabelled pool. Without both labels the head knows only how frequent they are."""
-    head = Head(by_layout)
-    known = np.flatnonzero(y >= 0)
-    if len(known) < 20 or len(set(y[known])) < 2:
+    def __init__(self, words: list, lay: np.ndarray, meta: np.ndarray, y: np.ndarray, by_layout: bool = True, one_is_bad: bool = False):
+        """y: 0, 1, or -1 for a document without this label."""
+        self.words, self.lay, self.meta, self.y, self.one_is_bad = words, lay, meta, y, one_is_bad
+        self.head = Head(by_layout)
+        known = np.flatnonzero(y >= 0)
         share = (float((y[known] == 1).sum()) + 0.5) / (len(known) + 1)
-        head.mixing = np.array([math.log(share / (1 - share)), 0, 0])
+        self.head.prior = math.log(share / (1 - share))
+        #: Without both labels the head knows only how frequent they are.
+        self.knows = len(known) >= 20 and len(set(y[known])) == 2
+        self.head.mixing = np.array([self.head.prior, 0, 0])
+        self.held = known[np.arange(len(known)) % 10 >= 7]
+        self.fit_on = np.setdiff1d(known, self.held)
+
+    def fit(self, taught: Taught | None = None) -> None:
+        at = self.fit_on
+        if not self.knows or len(set(self.y[at])) < 2:
+            self.knows = False
+            return
+        _fit_content(self.head, [self.words[i] for i in at], self.lay[at], self.y[at], taught)
+        x, y, weight = [self.meta[at]], [self.y[at]], [np.ones(len(at))]
+        if taught is not None and taught.cells:
+            counts = np.array(list(taught.cells.values()), float)
+            each = _weigh(len(at), (counts[:, 0].sum(), counts[:, 1].sum()))
+            rows = metadata(list(taught.cells))
+            for label in (1, 0):
+                x.append(rows)
+                y.append(np.full(len(rows), float(label)))
+                weight.append(each * counts[:, 1 - label])
+        self.head.meta = logistic(np.concatenate(x), np.concatenate(y), np.concatenate(weight), ridge=3.0)
+
+    def finish(self) -> Head:
+        """Calibrates, combines and sets the threshold on the held-out documents."""
+        head, held = self.head, self.held
+        if not self.knows:
+            return head
+        y = self.y[held]
+        z = np.stack([np.ones(len(held)), head.content_logit(head.rows([self.words[i] for i in held], self.lay[held], head.words)), self.meta[held] @ head.meta], 1)
+        head.mixing = logistic(z, y.astype(float), np.ones(len(held)), ridge=0.1)
+        p = sigmoid(z @ head.mixing)
+        if self.one_is_bad:
+            head.threshold = float(np.clip(np.quantile(p[y == 0], KEEP) + 1e-6, 0.1, 0.5)) if (y == 0).any() else 0.5
+        else:
+            head.threshold = float(np.clip(np.quantile(p[y == 1], 1 - KEEP), 0.5, 0.9)) if (y == 1).any() else 0.5
         return head
-    held = known[np.arange(len(known)) % 10 >= 7]
-    fit = np.setdiff1d(known, held)
-    pool = np.flatnonzero(y < 0)
-    extra: dict[str, tuple] = {"content": ((), ()), "meta": ((), ())}
-    for k in range(rounds):
-        for view in ("content", "meta"):
-            at = np.concatenate([fit, np.array(extra[view][0], np.int64)]).astype(np.int64)
-            target = np.concatenate([y[fit], np.array(extra[view][1])])
-            weight = np.concatenate([np.ones(len(fit)), np.full(len(at) - len(fit), 0.5)])
-            if view == "content":
-                _fit_content(head, [words[i] for i in at], lay[at], target, weight)
-            else:
-                head.meta = logistic(meta[at], target, weight, ridge=3.0)
-        if k + 1 < rounds and len(pool):
-            content = sigmoid(head.content_logit(head.rows([words[i] for i in pool], lay[pool], head.words)))
-            for giver, taker, p in (("content", "meta", content), ("meta", "content", sigmoid(meta[pool] @ head.meta))):
-                certain = (p >= sure) | (p <= 1 - sure)
-                extra[taker] = (pool[certain], (p[certain] > 0.5).astype(float))
-    z = np.stack([np.ones(len(held)), head.content_logit(head.rows([words[i] for i in held], lay[held], head.words)), meta[held] @ head.meta], 1)
-    head.mixing = logistic(z, y[held].astype(float), np.ones(len(held)), ridge=0.1)
-    p = sigmoid(z @ head.mixing)
-    if one_is_bad:
-        head.threshold = float(np.clip(np.quantile(p[y[held] == 0], KEEP) + 1e-6, 0.1, 0.5)) if (y[held] == 0).any() else 0.5
-    else:
-        head.threshold = float(np.clip(np.quantile(p[y[held] == 1], 1 - KEEP), 0.5, 0.9)) if (y[held] == 1).any() else 0.5
-    return head
+
+
+def sure_of(logit: np.ndarray, prior: float, sure: float = SURE, lift: float = LIFT) -> np.ndarray:
+    """1 and 0 where a view is sure of it, else -1."""
+    edge, shift = math.log(sure / (1 - sure)), math.log(lift)
+    return np.where((logit >= edge) & (logit >= prior + shift), 1, np.where((logit <= -edge) & (logit <= prior - shift), 0, -1))
 
 
 def _views(text: str) -> tuple[list[bytes], list[float]]:
@@ -219,32 +271,36 @@ def _views(text: str) -> tuple[list[bytes], list[float]]:
 _COLS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, Head]:
-    """Heads fitted on a bounded sample; what comes to the driver is a row of distinct words for each sampled document."""
+def _seen(part: pa.RecordBatch) -> tuple[list[list[bytes]], np.ndarray, list[tuple[int, int, int]]]:
+    seen = [_views(t) for t in texts_of(part.column("text"))]
+    cols = [part.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
+    return [w for w, _ in seen], np.array([x for _, x in seen]).reshape(len(seen), N_LAYOUT), [cell(*r) for r in zip(*cols, strict=True)]
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple:
+    """Distinct words, layout, cells and labels of the labelled sample, and its ids."""
     by_hash = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(h).alias(h) for h in HEADS)).orderBy(*by_hash).limit(labelled)
     chosen = chosen.select(F.col("doc_id").alias("id"), *HEADS)
-    others = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*by_hash).limit(pool + labelled)
-    others = others.join(F.broadcast(chosen.select("id")), F.col("doc_id") == F.col("id"), "left_anti").orderBy(*by_hash).limit(pool)
-    sample = chosen.unionByName(others.select(F.col("doc_id").alias("id")), allowMissingColumns=True)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     # One row for each id, the smallest, however often an id is repeated.
     rows = rows.groupBy("id", *HEADS).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("id", *HEADS, "d.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [_views(t) for t in texts_of(batch.column("text"))]
+        for part in (p for batch in batches for p in byte_slices(batch)):
+            words, lay, cells = _seen(part)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("id", *HEADS, "lang", "source", "n_chars")),
-                    pa.array([b" ".join(w) for w, _ in seen], pa.binary()),
-                    pa.array([x for _, x in seen], pa.list_(pa.float64())),
+                    *(part.column(c) for c in ("id", *HEADS)),
+                    pa.array([b" ".join(w) for w in words], pa.binary()),
+                    pa.array(lay.tolist(), pa.list_(pa.float64())),
+                    pa.array([list(c) for c in cells], pa.list_(pa.int32())),
                 ],
-                names=["id", *HEADS, "lang", "source", "n_chars", "words", "layout"],
+                names=["id", *HEADS, "words", "layout", "cell"],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *HEADS, "lang", "source", "n_chars")) + ", words binary, layout array<double>"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *HEADS)) + ", words binary, layout array<double>, cell array<int>"
     got = rows.mapInArrow(run, schema).toPandas().sort_values(["id", "words"], kind="stable")
     # Words in fewer than four documents can't get a weight; as None they only count. The others are kept once.
     seen = Counter()
@@ -254,15 +310,94 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     del seen
     words = [[frequent.get(w) for w in data.split()] for data in got.pop("words")]
     lay = np.array(got["layout"].tolist(), float).reshape(len(got), N_LAYOUT)
-    meta = np.array([metadata(*(None if v != v else v for v in r)) for r in zip(got["lang"], got["source"], got["n_chars"], strict=True)]).reshape(len(got), N_META)
-    return {h: co_train(words, lay, meta, np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float), h in BY_LAYOUT, h == "toxic") for h in HEADS}
+    y = {h: np.where(got[h].isna(), -1, got[h].fillna(0) > 0).astype(float) for h in HEADS}
+    return words, lay, metadata([tuple(c) for c in got["cell"]]), y, frozenset(got["id"].tolist())
+
 
+def _judged(docs: DataFrame, heads: dict[str, Head], known: frozenset) -> DataFrame:
+    """(head, view, key, ones, zeros): counts of all documents outside the sample by what the other view is sure of.
 
-def _score_batch(batch: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.ndarray]:
-    seen = [_views(t) for t in texts_of(batch.column("text"))]
-    words, lay = [w for w, _ in seen], np.array([x for _, x in seen]).reshape(len(seen), N_LAYOUT)
-    cols = [batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]
-    meta = np.array([metadata(*r) for r in zip(*cols, strict=True)]).reshape(len(seen), N_META)
+    View `cell`: key is lang,source,length places. View `word`: key is a word, or empty for the documents themselves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((heads, known))
+
+    def rows_of(counts: dict) -> pa.RecordBatch:
+        rows = [(h, v, k, a, b) for (h, v), own in counts.items() for k, (a, b) in own.items()]
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["head", "view", "key", "ones", "zeros"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, known = shared.value
+        counts: dict[tuple[str, str], dict[bytes, list[int]]] = {(h, v): {} for h in heads for v in ("cell", "word")}
+        for part in (p for batch in batches for p in byte_slices(batch)):
+            others = [k for k, i in enumerate(part.column("doc_id").to_pylist()) if i not in known]
+            words, lay, cells = _seen(part.take(pa.array(others, pa.int64())))
+            meta = metadata(cells)
+            for h, m in heads.items():
+                by_content = sure_of(m.content_logit(m.rows(words, lay, m.words)), m.prior)
+                by_meta = sure_of(meta @ m.meta, m.prior)
+                own = counts[h, "cell"]
+                for k in np.flatnonzero(by_content >= 0).tolist():
+                    own.setdefault(b",".join(b"%d" % x for x in cells[k]), [0, 0])[1 - by_content[k]] += 1
+                own = counts[h, "word"]
+                for k in np.flatnonzero(by_meta >= 0).tolist():
+                    at = 1 - by_meta[k]
+                    for w in (b"", *words[k]):
+                        own.setdefault(w, [0, 0])[at] += 1
+            if sum(map(len, counts.values())) > COUNTED:
+                yield rows_of(counts)
+                counts = {k: {} for k in counts}
+        yield rows_of(counts)
+
+    each = docs.mapInArrow(run, "head string, view string, key binary, ones long, zeros long")
+    return each.groupBy("head", "view", "key").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+
+
+def _taught(docs: DataFrame, learners: dict[str, Learner], known: frozenset, least: float = 16.0) -> dict[str, Taught]:
+    heads = {h: x.head for h, x in learners.items() if x.knows}
+    out = {h: Taught() for h in learners}
+    if not heads:
+        return out
+    counts = written(_judged(docs, heads, known), "taught")
+    for r in counts.where("view = 'cell'").collect():  # at most 64 * 64 * 12 for each head
+        out[r["head"]].cells[tuple(map(int, bytes(r["key"]).split(b",")))] = (r["ones"], r["zeros"])
+    for r in counts.where("view = 'word' and key = X''").collect():
+        out[r["head"]].documents = (r["ones"], r["zeros"])
+    for h, head in heads.items():
+        n1, n0 = out[h].documents
+        if not n1 and not n0:
+            continue
+        each, share = _weigh(len(learners[h].fit_on), (n1, n0)), (n1 + 1) / (n1 + n0 + 2)
+        a, b = F.col("ones"), F.col("zeros")
+        ratio = sum(F.when(o > 0, o * F.log(o / ((a + b) * F.lit(e)))).otherwise(F.lit(0.0)) for o, e in ((a, share), (b, 1 - share)))
+        words = counts.where((F.col("head") == h) & (F.col("view") == "word") & (F.col("key") != F.lit(b""))).withColumn("ratio", 2 * each * ratio)
+        strong = words.where((F.col("ratio") >= least) & (each * (a + b) >= LEAST_DOCUMENTS)).orderBy(F.desc("ratio"), "key").limit(MODEL_WORDS)
+        in_model = docs.sparkSession.createDataFrame([(bytearray(w),) for w in head.words], "key binary")
+        both = strong.select("key", "ones", "zeros").union(words.join(F.broadcast(in_model), "key", "left_semi").select("key", "ones", "zeros"))
+        out[h].words = {bytes(r["key"]): (r["ones"], r["zeros"]) for r in both.collect()}
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, Head]:
+    """Heads fitted on a bounded labelled sample and on the counts that all other documents give.
+
+    What comes to the driver: a row of distinct words for each sampled document; cells; the words of the models.
+    """
+    bounded_batches(docs.sparkSession)
+    words, lay, meta, y, known = _labelled(docs, labels, labelled)
+    learners = {h: Learner(words, lay, meta, y[h], h in BY_LAYOUT, h == "toxic") for h in HEADS}
+    taught: dict[str, Taught | None] = dict.fromkeys(HEADS)
+    for k in range(rounds):
+        for h, learner in learners.items():
+            learner.fit(taught[h])
+        if k + 1 < rounds:
+            taught = _taught(docs, learners, known)
+    return {h: learner.finish() for h, learner in learners.items()}
+
+
+def _score_batch(part: pa.RecordBatch, heads: dict[str, Head]) -> dict[str, np.ndarray]:
+    words, lay, cells = _seen(part)
+    meta = metadata(cells)
     # Rounded, as the order of sums in a product of matrices may depend on where a row stands.
     return {h: np.round(m.probability(m.content_logit(m.rows(words, lay, m.words)), meta @ m.meta), 9) for h, m in heads.items()}
 
@@ -281,28 +416,27 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     heads = docs.sparkSession.sparkContext.broadcast(train(picked, labels.select("doc_id", *HEADS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                p = _score_batch(part, heads.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(keeps(p, heads.value))],
-                    names=["doc_id", "p_quality", "p_toxic", "keep"],
-                )
+        for part in (p for batch in batches for p in byte_slices(batch)):
+            p = _score_batch(part, heads.value)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(p["quality"]), pa.array(p["toxic"]), pa.array(keeps(p, heads.value))],
+                names=["doc_id", "p_quality", "p_toxic", "keep"],
+            )
 
     kind = picked.schema["doc_id"].dataType.simpleString()
     return picked.mapInArrow(run, f"doc_id {kind}, p_quality double, p_toxic double, keep boolean")
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject; all columns stay."""
+    """The documents that the classifier doesn't reject; all columns stay, whatever their names.
+
+    Null and empty texts are judged by their metadata and an empty layout; repeated rows are judged alike and all stay
+    or go; without labels of both kinds only their share decides. An empty table gives no rows.
+    """
     heads = docs.sparkSession.sparkContext.broadcast(train(docs.select(*_COLS), labels.select("doc_id", *HEADS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                p = _score_batch(part, heads.value)
-                yield part.filter(pa.array(keeps(p, heads.value)))
+        for part in (p for batch in batches for p in byte_slices(batch)):
+            yield part.filter(pa.array(keeps(_score_batch(part, heads.value), heads.value)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import bounded_batches, byte_slices, texts_of
 
 # The patterns of the base findings.
 _ASSIGN = re.compile(
@@ -317,16 +317,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
-        for batch in batches:
-            found = [[dict(zip(("kind", "start", "end", "score"), f, strict=True)) for f in scan(t, model.value)] for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
+        for part in (p for batch in batches for p in byte_slices(batch)):
+            found = [[dict(zip(("kind", "start", "end", "score"), f, strict=True)) for f in scan(t, model.value)] for t in texts_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mask: str = "[SECRET]", recall: float = 0.98) -> DataFrame:
-    """The documents with every finding (overlapping ones together) replaced by `mask`; all columns stay."""
+    """The documents with every finding (overlapping ones together) replaced by `mask`; all columns stay, and the
+    length column follows a text that changed.
+
+    Null and empty texts pass unchanged; repeated rows are judged alike, each for itself.
+    """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained(recall))
 
     def cut(text: str) -> str:
@@ -343,8 +350,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         return "".join([*out, text[last:]]) if spans else text
 
     def run(batches):
-        for batch in batches:
-            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for part in (p for batch in batches for p in byte_slices(batch, text_col)):
+            cols = dict(zip(part.schema.names, part.columns, strict=True))
             old = cols[text_col].to_pylist()
             new = [t if t is None else cut(t) for t in old]
             cols[text_col] = pa.array(new, pa.string())
