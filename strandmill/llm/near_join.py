@@ -6,7 +6,7 @@
    the node, and the sets at the node go to a child for each value of a taken coordinate. Sets of the threshold share
    one child on average, unlike sets hardly any. Nodes with up to `SMALL` sets are compared by brute force. Larger
    ones are dealt to blocks, in each of which all pairs are compared and one leader then stands for all whose
-   sketches are as alike as the threshold asks; leaders and sets without one are split further, and what is still
+   sketches are about as alike as the threshold asks (`LED`); leaders and sets without one are split further, and what is still
    large at `DEPTH` is compared in pairs of blocks. So a large group of near copies does not travel down the tree as
    a whole. Runs, each with other nodes and leaders, are repeated until a pair at the threshold is met with the
    target recall.
@@ -33,6 +33,9 @@ from .components import connected_components
 COORDS, SMALL, DEPTH, BLOCK = 64, 48, 4, 512
 #: Sketches of pairs at 0.8 agree in 51 of 64 places, give or take 3.2; fewer than this is five deviations less.
 SLACK = 0.25
+#: How much less alike than the threshold a leader and those that it stands for may be: what is as alike as the
+#: threshold to one of them is then still alike enough to the leader to be met, and other nodes have other leaders.
+LED = 0.1
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
@@ -180,12 +183,13 @@ def agreement(x: np.ndarray) -> np.ndarray:
 
 
 def leaders(close: np.ndarray) -> np.ndarray:
-    """Which of n things stay, in their order, if each that stays stands for all later ones close to it."""
-    stays = np.ones(len(close), bool)
+    """Of n things in their order: the first that stays and is close to it, itself for one that stays."""
+    of = np.full(len(close), -1)
     for k in range(len(close)):
-        if stays[k]:
-            stays[k + 1 :] &= ~close[k, k + 1 :]
-    return stays
+        if of[k] < 0:
+            of[k + np.flatnonzero(close[k, k:] & (of[k:] < 0))] = k
+            of[k] = k
+    return of
 
 
 def _small_links(small: DataFrame, least: int, bins: int) -> DataFrame:
@@ -210,13 +214,13 @@ def _small_links(small: DataFrame, least: int, bins: int) -> DataFrame:
 
 
 def _led(large: DataFrame, least: int, close: int, bins: int) -> DataFrame:
-    """(a, b, node, key): spanning links of all pairs within a block of a node, and (node, key) of those that stay.
+    """(a, b, node): spanning links of all pairs within a block of a node; with its node where a now stands for b.
 
     A block is dealt by a hash of node and key, so other sets share it, and others lead, at every node.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks)).withColumn("bin", F.pmod(F.xxhash64("node", "block"), F.lit(bins)))
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("node", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("node", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
         group, begin, size = _runs(group, ["node", "block"])
@@ -226,12 +230,14 @@ def _led(large: DataFrame, least: int, close: int, bins: int) -> DataFrame:
         for b, n in zip(begin.tolist(), size.tolist(), strict=True):
             order = b + np.argsort(mix64(head[b : b + n] ^ np.uint64(nodes[b] & 0xFFFFFFFF)), kind="stable")
             same = agreement(x[order])
-            link = np.triu(same >= least, 1)
-            rows += [(keys[order[p]], keys[order[q]], None, None) for p, q in _forest(n, *np.nonzero(link))]
-            rows += [(None, None, nodes[b], keys[k]) for k in order[leaders(same >= close)].tolist()]
+            of = leaders(same >= close)
+            led = np.flatnonzero(of != np.arange(n))
+            p, q = np.nonzero(np.triu(same >= least, 1))
+            links = _forest(n, np.concatenate([of[led], p]), np.concatenate([led, q]))
+            rows += [(keys[order[i]], keys[order[j]], nodes[b] if k < len(led) else None) for k, (i, j) in enumerate(links)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return dealt.select("bin", "block", "node", "key", "sketch").groupBy("bin").applyInArrow(run, "a binary, b binary, node long, key binary")
+    return dealt.select("bin", "block", "node", "key", "sketch").groupBy("bin").applyInArrow(run, "a binary, b binary, node long")
 
 
 def _with_sizes(state: DataFrame) -> DataFrame:
@@ -341,7 +347,7 @@ def near_join(
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     marked = written(_sketched(base, words), "sketches")
     reps = written(marked.where("key is not null").groupBy("key").agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch")), "sets")
-    least, close = math.ceil(COORDS * (threshold - SLACK)), math.ceil(COORDS * threshold)
+    least, close = math.ceil(COORDS * (threshold - SLACK)), math.ceil(COORDS * (threshold - LED))
 
     drawn = reps.select("key", "sketch")
     links: list[DataFrame] = []
@@ -354,8 +360,9 @@ def near_join(
             links.append(written(_small_links(sized.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))
         if n_large:
             led = written(_led(sized.where(F.col("size") > SMALL).join(drawn, "key"), least, close, _bins(state, n_large)), "led")
-            links.append(led.where("a is not null").select("a", "b").distinct())
-            rest = written(_with_sizes(led.where("node is not null").select("node", "key")), "nodes")
+            links.append(led.select("a", "b").distinct())
+            stay = sized.where(F.col("size") > SMALL).select("node", "key").join(led.where("node is not null").select("node", F.col("b").alias("key")), ["node", "key"], "left_anti")
+            rest = written(_with_sizes(stay), "nodes")
             n_small, n_large = (rest.where(c).count() for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
             if n_small:
                 links.append(written(_small_links(rest.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))

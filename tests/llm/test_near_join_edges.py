@@ -33,7 +33,8 @@ def test_leaders_stand_for_those_close_to_them():
     x[3, :5] = 9
     same = nj.agreement(x)
     assert same[0, 1] == nj.COORDS and same[0, 2] == 0 and same[2, 3] == nj.COORDS - 5
-    assert nj.leaders(same >= nj.COORDS).tolist() == [True, False, True, True]
+    assert nj.leaders(same >= nj.COORDS).tolist() == [0, 0, 2, 3]
+    assert nj.leaders(same >= nj.COORDS - 5).tolist() == [0, 0, 2, 2]
 
 
 def test_names_of_its_own_in_the_table(spark):
