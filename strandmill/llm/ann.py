@@ -5,15 +5,17 @@ extended are cut into subspaces of two dimensions with sixteen centres each (fou
 loss that weighs the part of the residual along the vector `parallel` times as much as the rest, since that part
 shifts high inner products: codes by coordinate descent over the subspaces, centres by the weighted normal equations.
 
-The codebook is fitted on at most `SAMPLE` vectors (smallest hashes of their ids); every vector is coded and scanned.
-Queries are sent in blocks of `BLOCK`; each block passes over all vectors once. A task scans its rows through the
-tables, reranks the best `RERANK` of each slice exactly in double precision, and keeps k a query, so what is shuffled
-is k rows for each query and task, whatever the number of vectors. Equal vectors in a slice are scanned as one, with
-the k + 1 smallest ids, so ties are exact.
+The codebook is fitted on at most `SAMPLE` vectors (smallest hashes of their ids). Every vector is coded once, two
+codes a byte, and kept with its codes as a table in the shared folder. Queries are sent in blocks of `BLOCK`; each
+block passes over that table once and its findings are written, so the plan does not grow with the queries. A task
+scans its codes through the tables, reranks the best `RERANK` of each slice exactly in double precision, and keeps k a
+query, so what is shuffled is k rows for each query and task, whatever the number of vectors. Equal vectors in a slice
+are scanned as one, with the k + 1 smallest of their distinct ids, so ties are exact.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, BLOCK, RERANK, SLICE, CENTRES = 8192, 1024, 256, 8192, 16
-
+from .common import bounded_batches, discard, shared_dir, written
 
+SAMPLE, BLOCK, RERANK, SLICE, CENTRES = 8192, 1024, 256, 8192, 16
 
 
 def _matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,40 +103,53 @@ class Quantiser:
         return np.einsum("qmc,mkc->mkq", q, self.centres).astype(np.float32)
 
 
-def scan(codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Approximate inner products (n, q): for each subspace the table's row of the code."""
-    out = np.zeros((len(codes), tables.shape[2]), np.float32)
-    for s in range(codes.shape[1]):
-        out += tables[s][codes[:, s]]
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes a byte, the first one low."""
+    codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return codes[:, 0::2] | codes[:, 1::2] << 4
+
+
+def scan(pairs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Approximate inner products (n, q) of packed codes: for each byte the sum of its two codes' rows of the tables."""
+    out = np.zeros((len(pairs), tables.shape[2]), np.float32)
+    for s in range(tables.shape[0]):
+        out += tables[s][pairs[:, s // 2] >> 4 if s % 2 else pairs[:, s // 2] & 15]
     return out
 
 
-def _search_slice(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, quantiser: Quantiser, tables: np.ndarray, k: int) -> tuple:
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    _, first, inverse = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by_group = np.argsort(inverse, kind="stable")
-    begin = np.searchsorted(inverse[by_group], np.arange(len(first) + 1))
-    near = scan(quantiser.encode(extend(x[first])), tables)
+def _search_slice(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int) -> tuple:
+    """The k nearest distinct ids of a slice for each query: (query, id, distance)."""
+    _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    # Rows by vector, then id, each id once for a vector.
+    order = np.lexsort((ids, group))
+    new = np.ones(len(ids), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[new]
+    ids, group = ids[order], group[order]
+    begin = np.searchsorted(group, np.arange(group[-1] + 2))
+    first = order[begin[:-1]]
+    near = scan(codes[first], tables)
     best = min(RERANK, len(first))
     top = np.argpartition(-near, best - 1, axis=0)[:best] if best < len(first) else np.broadcast_to(np.arange(len(first))[:, None], near.shape)
-    rows_q, rows_id, rows_d = [], [], []
+    rows = []
     for c in range(len(q)):
         groups = top[:, c]
         dist = np.sqrt(((x[first[groups]] - q[c]) ** 2).sum(1))
-        members = [by_group[begin[g] : min(begin[g + 1], begin[g] + k + 1)] for g in groups.tolist()]
-        all_ids = ids[np.concatenate(members)]
-        all_d = np.repeat(dist, [len(z) for z in members])
-        other = all_ids != qids[c]
-        all_ids, all_d = all_ids[other], all_d[other]
-        keep = np.lexsort((all_ids, all_d))[:k]
-        rows_q.append(np.full(len(keep), qids[c]))
-        rows_id.append(all_ids[keep])
-        rows_d.append(all_d[keep])
-    return np.concatenate(rows_q), np.concatenate(rows_id), np.concatenate(rows_d)
+        members = [np.arange(begin[g], min(begin[g + 1], begin[g] + k + 1)) for g in groups.tolist()]
+        near_ids = ids[np.concatenate(members)]
+        near_d = np.repeat(dist, [len(z) for z in members])
+        other = near_ids != qids[c]
+        rows.append((np.full(int(other.sum()), qids[c]), near_ids[other], near_d[other]))
+    return _best(*(np.concatenate(p) for p in zip(*rows, strict=True)), k)
 
 
 def _best(q: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple:
+    """Of each query the k nearest distinct ids, an id at its smallest distance, ties to the smaller id."""
+    order = np.lexsort((d, i, q))
+    q, i, d = q[order], i[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+    q, i, d = q[new], i[new], d[new]
     order = np.lexsort((i, d, q))
     q, i, d = q[order], i[order], d[order]
     new = np.ones(len(q), bool)
@@ -143,29 +158,52 @@ def _best(q: np.ndarray, i: np.ndarray, d: np.ndarray, k: int) -> tuple:
     return q[rank < k], i[rank < k], d[rank < k]
 
 
+def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v) of the rows that take part, whatever their dimension."""
+    plain = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    return plain.where(F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0))
+
+
+def _coded(clean: DataFrame, quantiser: Quantiser, dim: int) -> DataFrame:
+    """Every vector with its packed codes, written to the shared folder."""
+    shared = clean.sparkSession.sparkContext.broadcast(quantiser)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, x = _matrix(batch.column("v"), dim)
+            for lo in range(0, len(rows), SLICE):
+                pairs = packed(shared.value.encode(extend(x[lo : lo + SLICE])))
+                own = batch.take(pa.array(rows[lo : lo + SLICE]))
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["vec_id", "v", "codes"])
+
+    kind = clean.schema["v"].dataType.simpleString()
+    return written(clean.mapInArrow(run, f"vec_id long, v {kind}, codes binary"), "codes")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by Euclidean distance, ties to the smaller id.
 
     Null ids and vectors that are null, zero, of another dimension than most, or that hold null or non-finite
-    components take no part, on either side. A query's own id is no candidate for it; repeated rows of one id count
-    once. No usable vector or query gives no rows.
+    components take no part, on either side. A query's own id is no candidate for it. An id counts once however often
+    it is repeated: as a candidate at the smallest distance of its vectors, as a query with the first of them in
+    order of their components. No usable vector or query gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    plain = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    clean = plain.where(F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0))
+    bounded_batches(spark)
     schema = "query_id long, vec_id long, score double"
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    clean = _usable(vectors, id_col, vector_col)
     dims = clean.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return none
     dim = dims["d"]
     clean = clean.where(F.size("v") == dim)
-    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
+    sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"]
     quantiser = Quantiser().fit(extend(np.stack([np.asarray(v, np.float64) for v in sample])))
-    ask = queries.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    ask = ask.where((F.size("v") == dim) & F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0))
-    found = None
+    ask = _usable(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    coded, path = None, f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     for qids, q in _blocks(ask, dim):
+        coded = coded or _coded(clean, quantiser, dim)
         shared = spark.sparkContext.broadcast((quantiser, qids, q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -173,29 +211,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             tables = quantiser.tables(np.pad(np.concatenate([q, np.ones((len(q), 1))], 1), ((0, 0), (0, (q.shape[1] + 1) % 2))))
             kept = None
             for batch in batches:
-                rows, x = _matrix(batch.column("v"), q.shape[1])
-                ids = batch.column("vec_id").take(pa.array(rows)).to_numpy()
+                x = batch.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                ids = batch.column("vec_id").to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 for lo in range(0, len(ids), SLICE):
-                    new = _search_slice(ids[lo : lo + SLICE], x[lo : lo + SLICE], qids, q, quantiser, tables, k)
+                    own = slice(lo, lo + SLICE)
+                    new = _search_slice(ids[own], x[own], codes[own], qids, q, tables, k)
                     kept = new if kept is None else _best(*(np.concatenate(p) for p in zip(kept, new, strict=True)), k)
             if kept is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
 
-        part = clean.mapInArrow(run, schema)
-        found = part if found is None else found.union(part)
-    if found is None:
+        best = coded.mapInArrow(run, schema).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.unpersist()
+    if coded is None:
         return none
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    once = found.dropDuplicates(["query_id", "vec_id"])
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    discard(coded)
+    return spark.read.schema(none.schema).parquet(path)
 
 
 def _blocks(ask: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct query ids with their vectors, BLOCK at a time; the driver holds one block."""
+    """Query ids with their vectors, BLOCK at a time; the driver holds one block."""
     ids: list[int] = []
     rows: list = []
-    for row in ask.dropDuplicates(["vec_id"]).toLocalIterator():
+    for row in ask.toLocalIterator():
         ids.append(row[0])
         rows.append(row[1])
         if len(ids) == BLOCK:
