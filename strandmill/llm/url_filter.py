@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence, with DataFrame functions only.
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest wins.
-Pages that name another address for themselves (canonical links, refresh redirects) or that a table of redirects
+Pages that name other addresses for themselves (any canonical links, refresh redirects) or that a table of redirects
 joins are aliases: connected components over these edges. A page without a rule of its own is blocked if any address
 of its component is blocked by a rule; an explicit allow on the page's own address always holds.
 
@@ -71,21 +71,53 @@ def _verdict(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(judged, ["host", "path"], "left").select(*rows.columns, "rule", "own")
 
 
+def _attribute(html: Column, tag: str, value: str) -> Column:
+    """What `value` finds in each tag that matches, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>"), F.lit(0)), lambda t: F.regexp_extract(t, rf"(?is){value}", 1))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its segments . and .. carried out."""
+    parts = F.slice(F.split(path, "/", -1), 2, 1 << 30)
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    step = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p))),
+    )
+    return F.concat(F.lit("/"), F.array_join(step, "/"))
+
+
+def resolved(to: Column, url: Column) -> Column:
+    """The whole address of a link's target as it stands in a page: a scheme of its own, //host, /path, ?query or
+    relative to the page's folder. Null for none, for a mere #fragment and for schemes without a host."""
+    to = F.trim(F.regexp_replace(to, r"(?i)&(amp|#38|#x26);", "&"))
+    own, path = host_of(url), path_of(url)
+    ahead, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/(.*/)?", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | to.startswith("#") | (to == "") | (own == ""), F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("?"), F.concat(F.lit("http://"), own, path, to))
+        .otherwise(F.concat(F.lit("http://"), own, _without_dots(F.when(to.startswith("/"), ahead).otherwise(F.concat(folder, ahead))), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's address and the one that its canonical link or refresh redirect names; relative targets that
-    begin with / stay on the host, other relative ones are ignored."""
+    """(a, b): a page's address and each that one of its canonical links or refresh redirects names."""
     html, url = F.col("html"), F.col("url")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.where(html.isNotNull() & html.rlike("(?i)canonical|refresh")).select(address_of(url).alias("a"), host_of(url).alias("h"), F.explode(F.array(canonical, refresh)).alias("to"))
-    to = F.col("to")
-    whole = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), F.col("h"), to))
-    return found.where(to != "").select("a", address_of(whole).alias("b")).where("a is not null and b is not null")
+    canonical = _attribute(html, r"link\b[^>]*\brel\s*=\s*[\"']?canonical\b", r"\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = _attribute(html, r"meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b", r"\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    found = pages.where(html.isNotNull() & html.rlike("(?i)canonical|refresh")).select("url", F.explode(F.concat(canonical, refresh)).alias("to"))
+    return found.select(address_of(url).alias("a"), address_of(resolved(F.col("to"), url)).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, by (rule, alias or default) for every page.
 
+    Every canonical link and refresh redirect of a page counts, its target resolved against the page's url.
     Null urls and such without :// have empty host and path, which no rule of a non-empty path fits, and no aliases.
     Repeated pages are judged alike. Without edges or rules only the default is left. `redirects`: (source, target).
     """
