@@ -1,6 +1,7 @@
 """Secret scan: three fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ = - that holds a digit and a letter. The network reads the
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / _ = - that holds a letter or digit, or what a finding of a
+pattern leaves of a run, if that is as long. The network reads the
 candidate with what stands before and after it; a long one it reads in overlapping windows, and the most suspicious
 window decides, so that a key at the end of a path is seen whole. It is trained in numpy on labelled findings (`labelled_findings`, made
 by a seeded generator: keys and tokens of common forms in common settings, against identifiers, paths, dates,
@@ -26,7 +27,6 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "model")
 _WORDS = ("passw", "secret", "token", "api")
 
@@ -49,16 +49,21 @@ def base_findings(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+LEAST = 16
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs that may be secrets and don't overlap a finding."""
+    """Runs that may be secrets, less the findings that they overlap; what is left counts if it is long enough."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        run = m[0]
-        if not run.isalpha() and not run.isdigit() and re.search("[0-9]", run) and re.search("[A-Za-z]", run):
-            start, end = m.span()
-            if not any(s < end and start < e for _, s, e in taken):
-                out.append((start, end))
-    return out
+        at, stop = m.span()
+        for _, s, e in sorted((f for f in taken if f[1] < stop and at < f[2]), key=lambda f: f[1:]):
+            out.append((at, min(s, stop)))
+            at = max(at, e)
+        out.append((at, stop))
+    return [(s, e) for s, e in out if e - s >= LEAST and _ALNUM.search(text, s, e)]
 
 
 def _classes() -> np.ndarray:
@@ -165,7 +170,7 @@ class CharCnn:
                     self.p[k] = self.p[k] - rate * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.99**step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt's scaling by Newton steps, then the highest threshold with the recall, but 0.5 at least."""
+        """Platt's scaling by Newton steps, then the highest threshold with the recall."""
         z = self.logits(x)
         a, b = 1.0, 0.0
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -177,13 +182,17 @@ class CharCnn:
             a, b = max(a - da, 1e-2), b - db
         self.scale, self.offset = a, b
         found = np.sort(self.probability(x[y == 1]))
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+        self.threshold = float(found[int((1 - recall) * len(found))])
 
 
 def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, int, int]], np.ndarray]:
     """(text, start, end) and 1 for a secret, 0 for a harmless run; half of each."""
     rng = np.random.default_rng(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    # Beginnings, middles and ends of syllables in several languages.
+    onsets = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kn ph pl pr qu sc sch sh sl sp st str th tr wh y".split() + [""] * 12
+    vowels = "a e i o u a e i o u a e i o y ai au ea ee ei eu ia ie io oi oo ou ue".split()
+    codas = "b c d f g k l m n p r s t x z ch ck ct ft ght ld ll lt mp nd ng nk ns nt pf rch rd rk rm rn rs rt sch sh ss st th tz".split() + [""] * 30
 
     def pick(options):
         return options[int(rng.integers(len(options)))]
@@ -192,10 +201,10 @@ def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, int
         return "".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(low, high))))
 
     def word() -> str:
-        return "".join(pick(("th", "er", "on", "an", "re", "in", "ed", "ti", "es", "or", "la", "de", "ing", "ion", "au", "ch")) for _ in range(int(rng.integers(1, 5))))
+        return "".join(pick(onsets) + pick(vowels) + pick(codas) for _ in range(int(rng.integers(1, 4))))
 
     def secret() -> str:
-        kind = int(rng.integers(5))
+        kind = int(rng.integers(6))
         if kind == 0:
             return chars(digits + "abcdef", 20, 24) + chars("ghij", 0, 2)
         if kind == 1:
@@ -204,10 +213,20 @@ def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, int
             return pick(("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "pk_")) + chars(upper + lower + digits, 18, 40)
         if kind == 3:
             return chars(upper + lower + digits, 20, 48)
+        if kind == 4:
+            return chars(upper + lower, 20, 40)
         return chars(upper + digits, 16, 32)
 
     def harmless() -> str:
-        kind = int(rng.integers(8))
+        kind = int(rng.integers(12))
+        if kind == 8:
+            return "".join(word() for _ in range(int(rng.integers(4, 9))))
+        if kind == 9:
+            return pick(("", "_", "-")).join(word().capitalize() for _ in range(int(rng.integers(3, 7))))
+        if kind == 10:
+            return pick(("_", "-", "/")).join(pick((word, lambda: word().upper()))() for _ in range(int(rng.integers(3, 8))))
+        if kind == 11:
+            return pick(("=", "-", "_")) * int(rng.integers(6, 30)) + pick(("", word(), chars(digits, 1, 4))) + pick("=-_") * int(rng.integers(6, 30))
         if kind == 0:
             return word() + "_" + word() + "_" + chars(digits, 1, 5) + "_" + word() + word()
         if kind == 1:
@@ -230,8 +249,8 @@ def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[list[tuple[str, int
         lead = " ".join(word() for _ in range(int(rng.integers(2, 9))))
         rest = " ".join(word() for _ in range(int(rng.integers(0, 4))))
         run = secret() if k % 2 else harmless()
-        while len(run) < 16 or not re.search("[0-9]", run):
-            run += chars(upper + lower + digits, 4, 8) if k % 2 else word() + pick(digits)
+        while len(run) < LEAST:
+            run += chars(upper + lower + digits, 4, 8) if k % 2 else word() + pick(("", pick(digits)))
         join = pick((" ", " ", ": ", ' "', "=", "\n", " (", "key ", "Bearer ")) if k % 2 else pick((" ", " ", " ", ": ", ' "', "=", "\n", " (", "file ", "see "))
         text = lead + join + run + pick((" ", "\n", ".", '"', ", ")) + rest
         start = len(lead) + len(join)
