@@ -91,12 +91,12 @@ SQL = {
         l_partkey * 40 - 30 + l_linenumber * 7 as pos, l_partkey * 40 + 30 + l_linenumber * 7 + cast(l_quantity as int) as end_pos,
         's' || (l_suppkey % 5) as sample, l_returnflag as library, l_linestatus as strand, cast(l_quantity as int) % 13 - 6 as bp_diff,
         cast(l_quantity as int) as qual, l_extendedprice as score from lineitem""",
-    "het_snps": "select distinct 's' || (o_custkey % 5) as sample, 'chr' || (o_orderkey % 4 + 1) as chrom, o_orderkey * 7 % 8000 as pos from orders",
+    "het_snps": "select distinct 's' || (o_custkey % 5) as sample, 'chr' || (o_orderkey % 4 + 1) as chrom, o_orderkey * 7 % (select greatest(max(p_partkey) + 1, 1) * 40 from part) as pos from orders",
     "calls": """select l_partkey as locus, 's' || (l_suppkey % 5) as sample, min(l_linenumber) % 3 as gt_a, max(cast(l_quantity as int) % 3) as gt_b,
         cast(sum(cast(l_quantity as int)) as bigint) as dp, count(*) filter (l_returnflag = 'R') as dstutter, count(*) filter (cast(l_quantity as int) % 7 = 0) as dflankindel,
         count(*) filter (l_linestatus = 'O') as d1, count(*) filter (l_linestatus = 'F') as d2, count(*) as n from lineitem group by 1, 2""",
     "ped": "select c_custkey - c_custkey % 4 as family, c_custkey + 1 as child, c_custkey - c_custkey % 4 + 1 as father, c_custkey - c_custkey % 4 + 2 as mother from customer where c_custkey % 4 >= 2",
-    "seqs": f"select doc_id, substr(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{'ACGT' * 6}AC'), 1, 200) as seq from documents",
+    "seqs": f"select doc_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{'ACGT' * 6}AC') as seq from documents",
 }
 
 
