@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -30,21 +31,26 @@ def log_stutter(diff: np.ndarray, period: int, m: dict[str, float]) -> np.ndarra
     return np.where(diff == 0, same, np.where(frame, part("in", np.abs(whole)), part("out", np.abs(diff - whole))))
 
 
-def learn_stutter(diffs: np.ndarray, sample: np.ndarray, period: int, p1: np.ndarray | None = None, p2: np.ndarray | None = None, haploid: bool = False) -> dict | None:
-    """EM over reads' length differences from the reference; None where it does not settle.
+def learn_stutter(diffs: np.ndarray, sample: np.ndarray, period: int, p1: np.ndarray | None = None, p2: np.ndarray | None = None, haploid: bool = False, n: np.ndarray | None = None) -> dict | None:
+    """EM over reads' length differences from the reference; None where it does not settle. n: how many equal reads a
+    row stands for.
+
+    Where the likelihood falls, the model that it was measured with holds; where it or the model settles, the last
+    one estimated.
 
     The likelihood of reads given genotypes mixes both haplotypes by the reads' phase likelihoods; the model is
     re-estimated from the expected numbers and sizes of in-frame and out-of-frame steps.
     """
     diffs, (names, sample) = np.asarray(diffs, int), np.unique(sample, return_inverse=True)
+    times = np.ones(len(diffs)) if n is None else np.asarray(n, float)
     half = math.log(0.5)
     p1 = np.zeros(len(diffs)) if p1 is None else np.asarray(p1)
     p2 = np.zeros(len(diffs)) if p2 is None else np.asarray(p2)
     alleles = np.array([0, *sorted(set(diffs.tolist()) - {0})])
     number = {a: k for k, a in enumerate(alleles)}
     weight = np.ones(len(alleles))
-    per_sample = np.bincount(sample)
-    np.add.at(weight, [number[d] for d in diffs.tolist()], 1 / per_sample[sample])
+    per_sample = np.bincount(sample, times)
+    np.add.at(weight, [number[d] for d in diffs.tolist()], times / per_sample[sample])
     prior, model, last = np.log(weight / weight.sum()), dict(EM_START), -np.inf
     step = diffs[:, None] - alleles[None]
     whole = np.trunc(step / period).astype(int)
@@ -54,7 +60,7 @@ def learn_stutter(diffs: np.ndarray, sample: np.ndarray, period: int, p1: np.nda
         first, second = half + p1[:, None] + like, half + p2[:, None] + like
         both = np.logaddexp(first[:, :, None], second[:, None, :])
         joint = prior[:, None] + prior[None] + np.zeros((len(names), 1, 1))
-        np.add.at(joint, sample, both)
+        np.add.at(joint, sample, both * times[:, None, None])
         if haploid:
             joint[:, ~np.eye(len(alleles), dtype=bool)] = -1e300
         total = lse(joint.reshape(len(names), -1), axis=1)
@@ -63,21 +69,22 @@ def learn_stutter(diffs: np.ndarray, sample: np.ndarray, period: int, p1: np.nda
         prior = np.log(np.maximum((mass.sum(0) + mass.sum(1)) / (2 * len(names)), 1e-300))
         w1 = np.exp(post[sample] + first[:, :, None] - both).sum(2)
         w2 = np.exp(post[sample] + second[:, None, :] - both).sum(1)
-        w = w1 + w2
+        w = (w1 + w2) * times[:, None]
         up, down = step > 0, step < 0
         in_up, in_down = w[frame & up].sum() + 1, w[frame & down].sum() + 1
         out_up, out_down = w[~frame & up].sum() + 1, w[~frame & down].sum() + 1
         in_eq = w[step == 0].sum() + 1
         in_size = (w * np.abs(whole))[frame].sum() + 2.1
         out_size = (w * np.abs(step - whole))[~frame].sum() + 2.1
-        n = in_up + in_down + in_eq + out_up + out_down
+        seen = in_up + in_down + in_eq + out_up + out_down
         new = {
-            "in_geom": min(0.999, (in_up + in_down) / in_size), "in_up": in_up / n, "in_down": in_down / n,
-            "out_geom": min(0.999, (out_up + out_down) / out_size), "out_up": out_up / n, "out_down": out_down / n,
+            "in_geom": min(0.999, (in_up + in_down) / in_size), "in_up": in_up / seen, "in_down": in_down / seen,
+            "out_geom": min(0.999, (out_up + out_down) / out_size), "out_up": out_up / seen, "out_down": out_down / seen,
         }
-        still = all(abs(new[k] - model[k]) < EM_STEP for k in new)
-        if now < last + 1e-10 or (abs(now - last) < EM_ABS and abs((now - last) / last) < EM_FRACTION) or still:
-            return new if still else model
+        if now < last + 1e-10:
+            return model
+        if (now - last < EM_ABS and (last - now) / last < EM_FRACTION) or all(abs(new[k] - model[k]) < EM_STEP for k in new):
+            return new
         model, last = new, now
     return None
 
@@ -144,34 +151,49 @@ def unordered(a: int, b: int) -> int:
     return b * (b + 1) // 2 + a
 
 
-def de_novo_trio(mother: np.ndarray, father: np.ndarray, child: np.ndarray, log_freq: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """log10 likelihoods without a mutation, and by allele with one that is new to the family or not.
+@lru_cache(maxsize=8)
+def inheritance(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a child's genotype comes from its parents' (each by pair number): without a mutation [mother, father, child],
+    and with one to allele k that the parents lack, or have [mother, father, k, child].
 
-    Genotype likelihoods are log10, unordered (index b (b + 1) / 2 + a); parents by Hardy-Weinberg, four inheritance
-    patterns of equal chance, a mutation turns one inherited allele to any other one with equal chance.
+    Four inheritance patterns of equal chance; a mutation turns one inherited allele to any other with equal chance.
     """
-    n = len(log_freq)
     pairs = [(a, b) for b in range(n) for a in range(b + 1)]
-    chance = [10 ** (log_freq[a] + log_freq[b]) * (1 if a == b else 2) for a, b in pairs]
-    top = mother.max(), father.max(), child.max()
-    m, f, c = (10 ** (x - t) for x, t in zip((mother, father, child), top, strict=True))
-    none, new, other = 0.0, np.zeros(n), np.zeros(n)
-    mutation = 0.5 / (n - 1) if n > 1 else 0.0
-    for (ma, mb), mp, ml in zip(pairs, chance, m, strict=True):
-        for (fa, fb), fp, fl in zip(pairs, chance, f, strict=True):
-            w = mp * ml * fp * fl / 4
-            if w == 0:
-                continue
-            family = {ma, mb, fa, fb}
-            for x in (ma, mb):
-                for y in (fa, fb):
-                    none += w * c[unordered(x, y)]
+    none = np.zeros((len(pairs),) * 3)
+    new, known = (np.zeros((len(pairs), len(pairs), n, len(pairs))) for _ in range(2))
+    mutation = 0.5 / (n - 1) / 4 if n > 1 else 0.0
+    for i, mother in enumerate(pairs):
+        for j, father in enumerate(pairs):
+            for x in mother:
+                for y in father:
+                    none[i, j, unordered(x, y)] += 0.25
                     for k in range(n):
-                        p = w * mutation * ((c[unordered(k, y)] if k != x else 0) + (c[unordered(x, k)] if k != y else 0))
-                        (other if k in family else new)[k] += p
+                        to = known if k in mother + father else new
+                        if k != x:
+                            to[i, j, k, unordered(k, y)] += mutation
+                        if k != y:
+                            to[i, j, k, unordered(x, k)] += mutation
+    return none, new, known
+
+
+def de_novo_trios(mother: np.ndarray, father: np.ndarray, child: np.ndarray, log_freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 likelihoods of trios, a row each: without a mutation, and by allele with one that is new to the family or
+    not. Genotype likelihoods are log10, unordered (index b (b + 1) / 2 + a); parents by Hardy-Weinberg."""
+    n = log_freq.shape[1]
+    b, a = np.array([(b, a) for b in range(n) for a in range(b + 1)]).T
+    chance = 10 ** (log_freq[:, a] + log_freq[:, b]) * np.where(a == b, 1, 2)
+    top = [x.max(axis=1, keepdims=True) for x in (mother, father, child)]
+    m, f, c = (10 ** (x - t) for x, t in zip((mother, father, child), top, strict=True))
+    m, f = m * chance, f * chance
+    base = sum(top)
     with np.errstate(divide="ignore"):
-        base = float(sum(top))
-        return float(np.log10(none)) + base if none else -np.inf, np.log10(new) + base, np.log10(other) + base
+        return tuple(np.log10(np.einsum(how, m, f, t, c, optimize=True).reshape(len(m), -1)) + base for how, t in zip(("rm,rf,mfc,rc->r", "rm,rf,mfkc,rc->rk", "rm,rf,mfkc,rc->rk"), inheritance(n), strict=True))
+
+
+def de_novo_trio(mother: np.ndarray, father: np.ndarray, child: np.ndarray, log_freq: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """One trio of `de_novo_trios`."""
+    none, new, other = de_novo_trios(*(np.asarray(x, float)[None] for x in (mother, father, child, log_freq)))
+    return float(none[0, 0]), new[0], other[0]
 
 
 def trim_by_quality(bases: str, quals: str, least: str = "5") -> tuple[int, int]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 
+SLICE = 1024
 _MODEL = ("in_geom", "in_up", "in_down", "out_geom", "out_up", "out_down")
 
 
@@ -33,8 +34,7 @@ def learn_stutter_models(reads: DataFrame, regions: DataFrame, least_reads: int
             return schema.empty_table()
         names = np.array(group["sample"].to_pylist(), dtype=str)
         order = np.lexsort((group["bp_diff"].to_numpy(), names))
-        at = np.repeat(order, n[order])
-        model = k.learn_stutter(group["bp_diff"].to_numpy()[at], names[at], group["period"][0].as_py())
+        model = k.learn_stutter(group["bp_diff"].to_numpy()[order], names[order], group["period"][0].as_py(), n=n[order])
         if model is None:
             return schema.empty_table()
         return pa.table([[group["locus"][0].as_py()], *([model[c]] for c in _MODEL)], schema=schema)
@@ -48,7 +48,15 @@ def de_novo_trios(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("gl_mother", "gl_father", "gl_child", "log_freq")]
-            out = [k.de_novo_trio(*(np.array(x, float) for x in r)) for r in zip(*cols, strict=True)]
+            out: list = [None] * batch.num_rows
+            sizes = np.array([len(x) for x in cols[3]])
+            for n in np.unique(sizes):  # rows of as many alleles together, SLICE at a time
+                same = np.flatnonzero(sizes == n)
+                for lo in range(0, len(same), SLICE):
+                    at = same[lo : lo + SLICE]
+                    none, new, other = k.de_novo_trios(*(np.array([c[i] for i in at], float) for c in cols))
+                    for r, i in enumerate(at.tolist()):
+                        out[i] = (float(none[r, 0]), new[r], other[r])
             new = [pa.array([x[0] for x in out], pa.float64()), *(pa.array([x[j].tolist() for x in out], pa.list_(pa.float64())) for j in (1, 2))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "no_mutation", "de_novo", "other"])
 

@@ -32,10 +32,12 @@ def read_regions(spark: SparkSession, path: str, chrom: str | None = None) -> Da
 
 
 def read_stutter_models(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated models keyed by (chrom, 0-based start, stop); of repeated keys one stays (the first by values)."""
+    """Tab-separated models keyed by (chrom, 0-based start, stop); of repeated keys the first in the file stays."""
     schema = "chrom string, start int, stop int, in_geom double, in_down double, in_up double, out_geom double, out_down double, out_up double, period int"
     rows = spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST")
-    return rows.dropDuplicates(["chrom", "start", "stop"])
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    keys, rest = rows.columns[:3], rows.columns[3:]
+    return rows.withColumn("place", place).groupBy(*keys).agg(F.min_by(F.struct(*rest), "place").alias("model")).select(*keys, "model.*")
 
 
 def write_stutter_models(models: DataFrame, path: str) -> None:
