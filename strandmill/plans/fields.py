@@ -93,29 +93,11 @@ def agg_19(s, d):
     return w.select("locus", "bp_diff", F.round(F.log(F.col("w") / F.sum("w").over(Window.partitionBy("locus"))), 6).alias("log_prior"))
 
 
-@query("agg_28", "select chrom, count(*) as n_loci, count(*) filter (stop - start > 40) as too_long, cast(sum(period) as bigint) as periods from regions group by 1")
-def agg_28(s, d):
-    return pj.regions(s, d).groupBy("chrom").agg(F.count("*").alias("n_loci"), F.count_if(F.col("stop") - F.col("start") > 40).alias("too_long"), F.sum("period").alias("periods"))
-
-
 @query("ctl_05", "select locus, sample, cast(case sample when 's0' then 1 when 's2' then 2 when 's4' then 3 else 0 end as bigint) as idx from calls")
 def ctl_05(s, d):
     return pj.calls(s, d).select("locus", "sample", F.array_position(F.array(F.lit("s0"), F.lit("s2"), F.lit("s4")), F.col("sample")).alias("idx"))
 
 
-@query("snk_09", "select locus, string_agg(gt_a || '|' || gt_b, ' ' order by sample) as row_text from calls where sample in ('s1', 's2') group by 1")
-def snk_09(s, d):
-    kept = pj.calls(s, d).where(F.col("sample").isin("s1", "s2"))
-    rows = F.array_sort(F.collect_list(F.struct("sample", F.concat_ws("|", "gt_a", "gt_b").alias("t"))))
-    return kept.groupBy("locus").agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("row_text"))
-
-
-@query("snk_04", "select rid, case when qual < 5 then 'LOW_BASE_QUALS' when end_pos - pos > 100 then 'HARD_CLIPPED' else 'PASS' end as reason from reads")
-def snk_04(s, d):
-    rules = {"LOW_BASE_QUALS": F.col("qual") < 5, "HARD_CLIPPED": F.col("end_pos") - F.col("pos") > 100}
-    return pj.reads(s, d).select("rid", F.coalesce(flt.first_failing(rules), F.lit("PASS")).alias("reason"))
-
-
 @query("mdl_17", "select family, count(distinct child) as children from ped where father in (select o_custkey + 1 from orders) and mother in (select o_custkey + 1 from orders) and child in (select o_custkey + 1 from orders) group by 1")
 def mdl_17(s, d):
     seen = pj.table(s, d, "orders").select((F.col("o_custkey") + 1).alias("person")).distinct()

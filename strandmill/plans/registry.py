@@ -1,6 +1,6 @@
 """All queries of the genomics side by name."""
 
-from . import fields, kernels, relational  # noqa: F401
+from . import fields, kernels, records, relational  # noqa: F401
 
 
 def queries() -> dict:

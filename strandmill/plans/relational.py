@@ -167,12 +167,6 @@ def flt_14(s, d):
     return pj.reads(s, d).where(F.col("sample").isin("s1", "s3")).select("rid")
 
 
-@query("join_04", "select c.rid, n.n_name as library_name from reads c join (select distinct n_nationkey as k, n_name from nation) n on n.k = c.locus % 25")
-def join_04(s, d):
-    groups = pj.table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("library_name"))
-    return pj.reads(s, d).select("rid", (F.col("locus") % 25).alias("k")).join(groups, "k").select("rid", "library_name")
-
-
 @query("join_05", "select distinct rname, case when length(n) > 2 then regexp_replace(n, '/.$', '') else n end as trimmed from (select rname, rname || '/' || mate as n from reads)")
 def join_05(s, d):
     n = F.concat(F.col("rname").cast("string"), F.lit("/"), F.col("mate").cast("string"))
@@ -208,12 +202,6 @@ def src_15(s, d):
     return pj.regions(s, d).withColumn("vcf_start", F.col("start") + 1).join(panel, "vcf_start").select("locus", "sample")
 
 
-@query("join_10", "select r.locus, count(*) as n_snps, count(distinct s.sample) as n_samples from regions r join het_snps s on s.chrom = r.chrom and s.pos between r.start - 500 and r.start + 500 group by 1")
-def join_10(s, d):
-    near = joins.window_of_snps(pj.regions(s, d).select("locus", "chrom", "start"), pj.het_snps(s, d), 500)
-    return near.groupBy("locus").agg(F.count("*").alias("n_snps"), F.countDistinct("sample").alias("n_samples"))
-
-
 @query("join_11", "select distinct sample from reads intersect select distinct sample from het_snps")
 def join_11(s, d):
     return pj.reads(s, d).select("sample").intersect(pj.het_snps(s, d).select("sample"))
@@ -311,12 +299,6 @@ def flt_01(s, d):
     return pj.reads(s, d).where(~flt.is_paired_as_neither(flag)).select("rid")
 
 
-@query("flt_03", "select rid from (select rid, rname % 16 as flag, pos, end_pos - pos as len from reads) where flag & 4 = 0 and pos <> 0 and len > 0")
-def flt_03(s, d):
-    r = pj.reads(s, d)
-    return r.where(flt.is_placed((F.col("rname") % 16).cast("int"), F.col("pos"), F.lit("5M"), F.col("end_pos") - F.col("pos"))).select("rid")
-
-
 @query("flt_06", "select doc_id from seqs where seq not like '%GGT%'")
 def flt_06(s, d):
     return pj.sequences(s, d).where(~flt.has_n_bases(F.replace("seq", F.lit("GGT"), F.lit("N")))).select("doc_id")
@@ -429,11 +411,6 @@ def agg_05(s, d):
     return agg.grouped_log_sum_exp(r, ["locus", "sample"], "x").select("locus", "sample", F.round("lse", 6).alias("lse"))
 
 
-@query("agg_06", "select locus, round(ln(sum(exp(bp_diff / 3.0))), 6) as lse from reads group by 1")
-def agg_06(s, d):
-    return pj.reads(s, d).groupBy("locus").agg(F.collect_list(F.col("bp_diff") / 3.0).alias("x")).select("locus", F.round(g.log_sum_exp(F.col("x")), 6).alias("lse"))
-
-
 @query("agg_08", "select locus, round(sum(score), 2) as total, count(*) filter (strand = 'O') as n_forward from reads group by 1")
 def agg_08(s, d):
     return pj.reads(s, d).groupBy("locus").agg(F.round(F.sum("score"), 2).alias("total"), F.count_if(F.col("strand") == "O").alias("n_forward"))
@@ -545,12 +522,6 @@ def agg_30(s, d):
     return pj.reads(s, d).groupBy("locus").agg(F.min("pos").alias("first_pos"), F.max("end_pos").alias("last_pos"))
 
 
-@query("agg_27", "select locus, count(*) as total, count(*) filter (qual < 10) as trimmed, cast(coalesce(sum(qual) filter (qual < 10), 0) as bigint) as bases from reads group by 1")
-def agg_27(s, d):
-    cut = F.col("qual") < 10
-    return pj.reads(s, d).groupBy("locus").agg(F.count("*").alias("total"), F.count_if(cut).alias("trimmed"), F.coalesce(F.sum(F.when(cut, F.col("qual"))), F.lit(0)).alias("bases"))
-
-
 @query("win_02", "select rid, coalesce(lag(rname) over (partition by locus order by rname, rid) = rname, false) as second_mate from reads")
 def win_02(s, d):
     before = F.lag("rname").over(Window.partitionBy("locus").orderBy("rname", "rid"))
@@ -562,31 +533,12 @@ def win_03(s, d):
     return pj.reads(s, d).select("rid", F.sum("bp_diff").over(Window.partitionBy("locus", "rname")).alias("folded"))
 
 
-@query("win_05", "select locus, count(*) over (partition by chrom order by start range between 500 preceding and 500 following) as near from regions")
-def win_05(s, d):
-    w = Window.partitionBy("chrom").orderBy("start").rangeBetween(-500, 500)
-    return pj.regions(s, d).select("locus", F.count("*").over(w).alias("near"))
-
-
 @query("win_06", "select rid from (select rid, row_number() over (partition by locus order by rid) as k from reads) where k % 3 = 0")
 def win_06(s, d):
     k = F.row_number().over(Window.partitionBy("locus").orderBy("rid"))
     return pj.reads(s, d).select("rid", k.alias("k")).where("k % 3 = 0").select("rid")
 
 
-QUERIES["snk_14"], SQL["snk_14"] = QUERIES["win_06"], SQL["win_06"]
-
-
-@query("win_07", "select chrom, min(start) as first_start from regions group by chrom")
-def win_07(s, d):
-    return pj.regions(s, d).groupBy("chrom").agg(F.min("start").alias("first_start"))
-
-
-@query("ord_01", "select locus, row_number() over (partition by chrom order by start, stop, locus) as ord from regions")
-def ord_01(s, d):
-    return pj.regions(s, d).select("locus", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "stop", "locus")).alias("ord")).withColumn("ord", F.col("ord").cast("long"))
-
-
 @query("ord_02", "select locus, string_agg(a, ',' order by length(a), a) as alleles from (select distinct locus, repeat('AC', cast(gt_b as int) + 1) || case when gt_a = 1 then 'G' else '' end as a from calls) group by 1")
 def ord_02(s, d):
     a = F.concat(F.repeat(F.lit("AC"), F.col("gt_b") + 1), F.when(F.col("gt_a") == 1, "G").otherwise(""))
@@ -599,23 +551,12 @@ def ord_03(s, d):
     return pj.reads(s, d).select("rid", F.row_number().over(Window.partitionBy("locus").orderBy("pos", "end_pos", "rid")).cast("long").alias("ord"))
 
 
-@query("ord_04", "select rid, row_number() over (partition by chrom, library order by pos, rid) as ord from reads")
-def ord_04(s, d):
-    return pj.reads(s, d).select("rid", F.row_number().over(Window.partitionBy("chrom", "library").orderBy("pos", "rid")).cast("long").alias("ord"))
-
-
 @query("ord_05", "select locus, count(*) as n_haplotypes from (select distinct locus, gt_a, gt_b from calls) group by 1 having count(*) <= 4")
 def ord_05(s, d):
     t = pj.calls(s, d).select("locus", "gt_a", "gt_b").distinct().groupBy("locus").agg(F.count("*").alias("n_haplotypes"))
     return t.where("n_haplotypes <= 4")
 
 
-@query("ord_06", "select locus, bp_diff, n from (select locus, bp_diff, count(*) as n, row_number() over (partition by locus order by count(*) desc, bp_diff) as k from reads group by 1, 2) where k <= 3")
-def ord_06(s, d):
-    n = pj.reads(s, d).groupBy("locus", "bp_diff").agg(F.count("*").alias("n"))
-    return n.withColumn("k", F.row_number().over(Window.partitionBy("locus").orderBy(F.desc("n"), "bp_diff"))).where("k <= 3").drop("k")
-
-
 @query("scl_05", "select doc_id, translate(reverse(seq), 'ACGT', 'TGCA') as rc from seqs")
 def scl_05(s, d):
     return pj.sequences(s, d).select("doc_id", g.reverse_complement(F.col("seq")).alias("rc"))
@@ -640,9 +581,6 @@ def scl_26(s, d):
     return _cigar(s, d).select("rid", g.cigar_count(e, "ID").alias("indels"), g.cigar_sum(e, "M=X").alias("matched"), g.cigar_sum(e, "MIS=X").alias("read_length"))
 
 
-QUERIES["scl_08"], SQL["scl_08"] = QUERIES["flt_01"], SQL["flt_01"]
-
-
 @query("agg_29", "select locus, pos + qual as pos, max(bp_diff) as size from reads where bp_diff > 0 group by 1, 2")
 def agg_29(s, d):
     return agg.max_insertions(_cigar(s, d))
@@ -670,11 +608,6 @@ def mth_01(s, d):
     return pj.reads(s, d).select("rid", F.round(g.ln_correct(q), 9).alias("correct"), F.round(g.ln_error(q), 9).alias("wrong"))
 
 
-@query("mth_02", f"select locus, round(sum(ln(1 - pow(10, -{_Q} / 10.0))), 6) as total from reads group by 1")
-def mth_02(s, d):
-    return pj.reads(s, d).groupBy("locus").agg(F.collect_list("qual").alias("q")).select("locus", F.round(g.sum_ln_correct(F.col("q")), 6).alias("total"))
-
-
 @query("mth_03", f"select rid, round({_STUTTER_SQL}, 6) as ln_p from (select x.rid, x.bp_diff as dd, r.period from reads x join regions r using (locus))")
 def mth_03(s, d):
     r = pj.reads(s, d).select("rid", "locus", "bp_diff").join(pj.regions(s, d).select("locus", "period"), "locus")
@@ -715,13 +648,6 @@ def mdl_19(s, d):
     return r.select("rid").join(hit, "rid", "left").select("rid", F.coalesce("n", F.lit(0)).alias("n_snps"))
 
 
-@query("mth_09", "select rid, cast(case when mate = 1 then -0.01 else -1000.0 end as double) as p1, cast(case when mate = 1 then -1000.0 else -0.01 end as double) as p2 from reads where library <> 'N'")
-def mth_09(s, d):
-    near, far = F.lit(-0.01), F.lit(-1000.0)
-    one = F.col("mate") == 1
-    return pj.reads(s, d).where("library <> 'N'").select("rid", F.when(one, near).otherwise(far).alias("p1"), F.when(one, far).otherwise(near).alias("p2"))
-
-
 @query("mth_13", "select locus, sample, round(log10(0.3) + log10(0.7) + case when gt_a = gt_b then 0 else log10(2) end, 9) as unphased, round(log10(0.3) + log10(0.7), 9) as phased from calls")
 def mth_13(s, d):
     p, q, same = F.log10(F.lit(0.3)), F.log10(F.lit(0.7)), F.col("gt_a") == F.col("gt_b")
@@ -767,12 +693,6 @@ def prj_02(s, d):
     return _posteriors(s, d).groupBy("locus", "sample").agg(F.round(F.exp(F.max("lp")), 5).alias("q"))
 
 
-@query("prj_04", "select locus, sample, count(*) filter (bp_diff > 0) || '|' || count(*) filter (bp_diff < 0) as psnp from reads group by 1, 2")
-def prj_04(s, d):
-    t = pj.reads(s, d).groupBy("locus", "sample").agg(F.count_if(F.col("bp_diff") > 0).alias("a"), F.count_if(F.col("bp_diff") < 0).alias("b"))
-    return t.select("locus", "sample", F.concat_ws("|", "a", "b").alias("psnp"))
-
-
 @query("prj_08", "select r.locus, s.sample, coalesce(c.gt_a || '|' || c.gt_b, '.') as gt from regions r cross join (select distinct sample from reads) s left join calls c on c.locus = r.locus and c.sample = s.sample")
 def prj_08(s, d):
     samples = F.array(*[F.lit(f"s{k}") for k in range(5)])
@@ -788,17 +708,8 @@ def prj_12(s, d):
     return h.groupBy("locus").agg(F.array_join(F.transform(rows, lambda r: r["t"]), ";").alias("calls_text"), F.sum("dp").alias("dp"))
 
 
-@query("prj_13", "select locus, round(greatest(0.01, (sum(dstutter) / sum(dp)) / 10), 6) as in_up from calls group by 1")
-def prj_13(s, d):
-    t = pj.calls(s, d).groupBy("locus").agg((F.sum("dstutter") / F.sum("dp")).alias("x"))
-    return t.select("locus", F.round(F.greatest(F.lit(0.01), F.col("x") / 10), 6).alias("in_up"))
-
-
 @query("mdl_20", f"with {_DISTS} select pair, case when least(d11, d12, d21, d22) <= 2500 then 'PASS' else 'FAIL' end || ':' || d11 || ',' || d12 || ',' || d21 || ',' || d22 as cell from dist")
 def mdl_20(s, d):
     t = _distances(s, d)
     ok = F.when(F.least("d11", "d12", "d21", "d22") <= 2500, "PASS").otherwise("FAIL")
     return t.select("pair", F.concat(ok, F.lit(":"), F.concat_ws(",", "d11", "d12", "d21", "d22")).alias("cell"))
-
-
-QUERIES["snk_07"], SQL["snk_07"] = QUERIES["mdl_20"], SQL["mdl_20"]

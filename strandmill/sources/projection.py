@@ -83,6 +83,41 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGT" * 6 + "AC").alias("seq"))
 
 
+#: The reference at position p, from -64 on; {0} is integer division.
+_BASE = "substr('ACGT', cast(1 + (((p + 64) * (p + 64)) {0} 7 + ((p + 64) {0} 3) * 5) % 11 % 4 as int), 1)"
+
+
+def _reference(low: str, n: str) -> F.Column:
+    """n bases of the reference from position low on."""
+    base = _BASE.format("div")
+    return F.expr(f"case when {n} > 0 then array_join(transform(sequence({low}, {low} + {n} - 1), p -> {base}), '') else '' end")
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads with cigar, bases, qualities and the reference from 15 bases before to 15 behind them.
+
+    A read matches 10 to 39 bases, has the insertion or deletion of bp_diff, matches 40 more; some have a base that
+    differs, a clip at an end, low qualities at the ends, no cigar, or a haplotype tag.
+    """
+    r = reads(spark, sf_dir).select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "bp_diff", "qual", "library")
+    r = r.withColumn("m1", 10 + F.col("qual") % 30).withColumn("ins", F.greatest("bp_diff", F.lit(0))).withColumn("del", F.greatest(-F.col("bp_diff"), F.lit(0)))
+    clip = F.when(F.col("mate") == 2, 3).otherwise(0)
+    indel = F.when(F.col("bp_diff") > 0, F.concat("ins", F.lit("I"))).when(F.col("bp_diff") < 0, F.concat("del", F.lit("D"))).otherwise("")
+    cigar = F.concat(F.when(F.col("qual") % 17 == 0, "4H").otherwise(""), F.col("m1").cast("string"), F.lit("M"), indel, F.lit("40M"), F.when(F.col("mate") == 2, "3S").otherwise(""))
+    plain = F.concat(_reference("pos", "m1"), F.expr("repeat('A', ins)"), _reference("pos + m1 + del", "40"), F.expr("repeat('T', clip)"))
+    k = F.col("qual") % 20
+    changed = F.when(F.col("qual") % 5 == 0, F.concat(F.substring("plain", F.lit(1), k), F.translate(F.substring("plain", k + 1, F.lit(1)), "ACGT", "TGCA"), F.substring("plain", k + 2, F.lit(999)))).otherwise(F.col("plain"))
+    quals = F.expr("concat(repeat('!', qual % 4), repeat('I', cast(length(bases) - qual % 4 - ((pos + 64) % 3) * 16 as int)), repeat('#', cast(((pos + 64) % 3) * 16 as int)))")
+    r = r.withColumn("clip", clip).withColumn("cigar", F.when(F.col("qual") % 23 == 0, "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
+    r = r.withColumn("end_pos", F.expr("pos + m1 + del + 40")).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", _reference("pos - 15", "m1 + del + 70"))
+    hp = F.when(F.col("qual") % 3 > 0, F.col("qual") % 3)
+    return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"))
+
+
+def _reference_sql(low: str, n: str) -> str:
+    return f"array_to_string([{_BASE.format('//')} for p in range({low}, {low} + {n})], '')"
+
+
 #: The same projections for the check in another engine.
 SQL = {
     "regions": "select p_partkey as locus, 'chr' || (p_partkey % 4 + 1) as chrom, p_partkey * 40 as start, p_partkey * 40 + 10 + p_size as stop, 1 + p_partkey % 6 as period, p_name as name from part",
@@ -91,6 +126,12 @@ SQL = {
         l_partkey * 40 - 30 + l_linenumber * 7 as pos, l_partkey * 40 + 30 + l_linenumber * 7 + cast(l_quantity as int) as end_pos,
         's' || (l_suppkey % 5) as sample, l_returnflag as library, l_linestatus as strand, cast(l_quantity as int) % 13 - 6 as bp_diff,
         cast(l_quantity as int) as qual, l_extendedprice as score from lineitem""",
+    "alns": f"""select rid, rname, mate, locus, sample, chrom, pos, pos + m1 + del + 40 as end_pos, cigar, bases, repeat('!', qual % 4) || repeat('I', cast(length(bases) - qual % 4 - ((pos + 64) % 3) * 16 as int)) || repeat('#', cast(((pos + 64) % 3) * 16 as int)) as quals,
+        pos - 15 as ref_start, {_reference_sql('pos - 15', 'm1 + del + 70')} as ref, bp_diff, case when qual % 3 > 0 then qual % 3 end as hp
+        from (select *, case when qual % 5 = 0 then substr(plain, 1, qual % 20) || translate(substr(plain, qual % 20 + 1, 1), 'ACGT', 'TGCA') || substr(plain, qual % 20 + 2) else plain end as bases
+        from (select *, case when qual % 23 = 0 then '' else case when qual % 17 = 0 then '4H' else '' end || m1 || 'M' || case when bp_diff > 0 then ins || 'I' when bp_diff < 0 then del || 'D' else '' end || '40M' || case when mate = 2 then '3S' else '' end end as cigar,
+        {_reference_sql('pos', 'm1')} || repeat('A', cast(ins as int)) || {_reference_sql('pos + m1 + del', '40')} || case when mate = 2 then 'TTT' else '' end as plain
+        from (select *, 10 + qual % 30 as m1, greatest(bp_diff, 0) as ins, greatest(-bp_diff, 0) as del from reads)))""",
     "het_snps": "select distinct 's' || (o_custkey % 5) as sample, 'chr' || (o_orderkey % 4 + 1) as chrom, o_orderkey * 7 % (select greatest(max(p_partkey) + 1, 1) * 40 from part) as pos from orders",
     "calls": """select l_partkey as locus, 's' || (l_suppkey % 5) as sample, min(l_linenumber) % 3 as gt_a, max(cast(l_quantity as int) % 3) as gt_b,
         cast(sum(cast(l_quantity as int)) as bigint) as dp, count(*) filter (l_returnflag = 'R') as dstutter, count(*) filter (cast(l_quantity as int) % 7 = 0) as dflankindel,
@@ -104,7 +145,8 @@ def with_views(sql: str) -> str:
     """The SQL with the projections it names before it."""
     import re
 
-    used = [f"{name} as ({body})" for name, body in SQL.items() if re.search(rf"\b{name}\b", sql)]
+    text = sql + " " + (SQL["alns"] if re.search(r"\balns\b", sql) else "")
+    used = [f"{name} as ({body})" for name, body in SQL.items() if re.search(rf"\b{name}\b", text)]
     rest = sql.strip()
     if rest[:5].lower() == "with ":
         return "with " + ", ".join([*used, rest[5:]])
