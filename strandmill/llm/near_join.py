@@ -130,9 +130,10 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             nodes = batch.column("node").to_numpy().view(np.uint64)
             at, to = children(nodes, _sketches(batch.column("sketch")), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), batch.column("key").take(pa.array(at))], names=["node", "key"])
+            own = [batch.column(c).take(pa.array(at)) for c in ("key", "sketch")]
+            yield pa.RecordBatch.from_arrays([pa.array(to.view(np.int64)), *own], names=["node", "key", "sketch"])
 
-    return rows.select("node", "key", "sketch").mapInArrow(run, "node long, key binary")
+    return rows.select("node", "key", "sketch").mapInArrow(run, "node long, key binary, sketch binary")
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -241,9 +242,9 @@ def _led(large: DataFrame, least: int, close: int, bins: int) -> DataFrame:
 
 
 def _with_sizes(state: DataFrame) -> DataFrame:
-    """(node, key, size) of nodes with two sets or more."""
+    """Adds size to rows of nodes with two sets or more."""
     sizes = state.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return state.join(sizes, "node").select("node", "key", "size")
+    return state.join(sizes, "node")
 
 
 def in_blocks(members: DataFrame, group: str, size: str, key: str, block: int) -> DataFrame:
@@ -351,28 +352,40 @@ def near_join(
 
     drawn = reps.select("key", "sketch")
     links: list[DataFrame] = []
+
+    def compare(rows: DataFrame, n: int) -> None:
+        if n:
+            links.append(written(_small_links(rows, least, _bins(rows, n)).distinct(), "met"))
+
+    def parts(rows: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+        small, large = (rows.where(c) for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
+        return small, small.count(), large, large.count()
+
+    # Sketches are joined to the roots' nodes once, then travel with the few sets that go further down.
     rows = _roots(reps, runs_for(recall, threshold), threshold)
     for depth in range(1, DEPTH + 1):
         state = written(rows, "paths")
         sized = written(_with_sizes(state), "nodes")
-        n_small, n_large = (sized.where(c).count() for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
-        if n_small:
-            links.append(written(_small_links(sized.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))
-        if n_large:
-            led = written(_led(sized.where(F.col("size") > SMALL).join(drawn, "key"), least, close, _bins(state, n_large)), "led")
-            links.append(led.select("a", "b").distinct())
-            stay = sized.where(F.col("size") > SMALL).select("node", "key").join(led.where("node is not null").select("node", F.col("b").alias("key")), ["node", "key"], "left_anti")
-            rest = written(_with_sizes(stay), "nodes")
-            n_small, n_large = (rest.where(c).count() for c in (F.col("size") <= SMALL, F.col("size") > SMALL))
-            if n_small:
-                links.append(written(_small_links(rest.where(F.col("size") <= SMALL).join(drawn, "key"), least, _bins(state, n_small)).distinct(), "met"))
-            large = rest.where(F.col("size") > SMALL).join(drawn, "key")
-            if n_large and depth == DEPTH:
-                links.append(written(_dense_links(large, least).distinct(), "met"))
-            rows = _split(large, threshold)
+        small, n_small, large, n_large = parts(sized)
+        compare(small.join(drawn, "key") if depth == 1 else small, n_small)
+        if not n_large:
+            break
+        if depth == 1:
+            large = written(large.join(drawn, "key"), "large")
+        led = written(_led(large, least, close, _bins(state, n_large)), "led")
+        links.append(led.select("a", "b").distinct())
+        gone = led.where("node is not null").select("node", F.col("b").alias("key"))
+        lost = gone.groupBy("node").agg(F.count("*").alias("lost"))
+        stay = large.join(gone, ["node", "key"], "left_anti").join(lost, "node", "left").withColumn("size", F.col("size") - F.coalesce("lost", F.lit(0)))
+        rest = written(stay.where("size > 1").select("node", "key", "size", "sketch"), "rest")
+        small, n_small, large, n_large = parts(rest)
+        compare(small, n_small)
+        if n_large and depth == DEPTH:
+            links.append(written(_dense_links(large, least).distinct(), "met"))
         discard(state, sized)
         if not n_large:
             break
+        rows = _split(large, threshold)
     found = reduce(DataFrame.union, links, spark.createDataFrame([], "a binary, b binary"))
 
     groups = written(connected_components(found).withColumnRenamed("node", "key"), "groups")
