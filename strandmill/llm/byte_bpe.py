@@ -13,7 +13,7 @@ the bytes still pending is worked out once. Invalid bytes become U+FFFD, one for
 
 All tables live in the Python worker. What follows from the vocabulary is held in arrays; what is learnt from texts
 is bounded (`MAX_TRANSITIONS` and `MAX_PAIRS` entries, `MEMO_BYTES` for looked-up texts): when a table is full it is
-started anew, so a worker takes some 80 MB on any corpus.
+started anew, so a worker takes some 110 MB on any corpus.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .common import bounded_batches, byte_slices, texts_of
 NEVER = 1 << 40
 MAX_TRANSITIONS, MAX_PAIRS, LONG_PIECE, LOOKAHEAD = 100_000, 300_000, 48, 1024
 #: Of each generation of looked-up texts: whole ones, and matches of the pattern. An entry takes ENTRY bytes besides its own.
-MEMO_BYTES, PIECE_BYTES, ENTRY = 24 << 20, 6 << 20, 160
+MEMO_BYTES, PIECE_BYTES, ENTRY = 40 << 20, 6 << 20, 160
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -255,7 +255,8 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 class Encoder:
     """lone_space: the pattern always starts a match at a space between two other characters than white space, so
-    that what stands between two such spaces can be looked up as a whole."""
+    that what stands between two such spaces can be looked up as a whole; and it matches such a space with letters
+    alone behind it as one."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, lone_space: bool = False):
         import regex
@@ -264,7 +265,11 @@ class Encoder:
         self.machine = Transducer(ranks)
         self.lone_space = lone_space
         self.pieces = _Packed(lambda x: _pack(self.machine.encode(x.encode())), PIECE_BYTES if lone_space else MEMO_BYTES)
-        self.after_space = _Packed(lambda x: self._matches(" " + x), MEMO_BYTES)
+        self.after_space = _Packed(self._word, MEMO_BYTES)
+
+    def _word(self, text: str) -> bytes:
+        """What stands behind a lone space, with that space."""
+        return _pack(self.machine.encode(b" " + text.encode())) if text.isalpha() else self._matches(" " + text)
 
     def _matches(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
