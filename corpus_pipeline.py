@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one the encoded documents.
 Its rows are written as Parquet and read again as the docs of the next.
+
+In every stage null and empty texts and null ids pass without a crash: the classifier judges them by their metadata,
+the join leaves them alone, the others leave them unchanged or give them no tokens. Repeated rows are judged alike; of
+such with one id and text that stand for a group, the join keeps one. An empty table gives an empty table. Columns
+beyond those of documents pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
