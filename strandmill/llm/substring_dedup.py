@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hash_words, ids_of, mix64, pack, rolling, shuffle_partitions, texts_of, unpack
+from .common import NO_ID, bounded_batches, hash_words, ids_of, mix64, pack, rolling, shuffle_partitions, texts_of, unpack
 
 SLICE_BYTES = 4 << 20
 _CODEC = pa.Codec("zstd", 6)
@@ -30,8 +30,8 @@ _CODEC = pa.Codec("zstd", 6)
 #: and string of each place.
 _SENT = "bucket int, strings int, places int, size long, text binary, numbers binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int32()), ("strings", pa.int32()), ("places", pa.int32()), ("size", pa.int64()), ("text", pa.binary()), ("numbers", pa.binary())])
-_FOUND = "doc long, tag int, starts array<int>, stops array<int>"
-_FOUND_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
+_FOUND = "doc long, tag long, starts array<int>, stops array<int>"
+_FOUND_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32()))])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -39,16 +39,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Texts, ids and tags of about SLICE_BYTES of text, however the rows are dealt to batches."""
+    texts: list[str] = []
+    ids: list[int] = []
+    tags: list[int] = []
+    size = 0
+    for batch in batches:
+        for text, i, tag in zip(texts_of(batch.column("text")), ids_of(batch.column("doc")).tolist(), batch.column("tag").to_pylist(), strict=True):
+            texts.append(text)
+            ids.append(i)
+            tags.append(tag)
+            size += len(text)
+            if size >= SLICE_BYTES:
+                yield texts, np.array(ids, np.int64), np.array(tags, np.int64)
+                texts, ids, tags, size = [], [], [], 0
+    if texts:
+        yield texts, np.array(ids, np.int64), np.array(tags, np.int64)
 
 
 def super_kmers(texts: list[str], window: int, seed: int) -> tuple:
@@ -198,20 +205,17 @@ def _stretches(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, window: int)
     stops = pa.array((start[tails] + window).astype(np.int32))
     at = heads[edges[:-1]]
     return pa.Table.from_arrays(
-        [pa.array(doc[at]), pa.array(tag[at].astype(np.int32)), pa.ListArray.from_arrays(edges, starts), pa.ListArray.from_arrays(edges, stops)], schema=_FOUND_ARROW
+        [pa.array(doc[at]), pa.array(tag[at]), pa.ListArray.from_arrays(edges, starts), pa.ListArray.from_arrays(edges, stops)], schema=_FOUND_ARROW
     )
 
 
 def repeated_stretches(docs: DataFrame, window: int = 13, seed: int = 3, buckets: int | None = None) -> DataFrame:
-    """From (doc long, tag int, text) rows: for each row and bucket the word stretches that repeat a smaller id."""
+    """From (doc long, tag long, text) rows: for each row and bucket the word stretches that repeat a smaller id."""
     n = buckets or 8 * shuffle_partitions(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column("text"))
-            ids, tags = ids_of(batch.column("doc")), batch.column("tag").to_numpy()
-            for lo, hi in slices(texts):
-                yield _send(texts[lo:hi], ids[lo:hi], tags[lo:hi], n, window, seed)
+        for texts, ids, tags in slices(batches):
+            yield _send(texts, ids, tags, n, window, seed)
 
     return docs.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(lambda group: _answer(group, window), _FOUND)
 
@@ -222,12 +226,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     A word goes if a window that covers it also starts in a document with a smaller id; windows are judged on the
     input. Null and empty texts have no words. A null id counts as larger than any other. Repeated rows (equal id and
     text) get equal results and never remove each other; rows with one id and different texts are each judged
-    against smaller ids only.
+    against smaller ids only; they are told apart by 64 bits of a hash of the text. Ids are whole numbers. An empty
+    table gives no rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
-        F.hash(F.col(text_col)).alias("tag"),
+        F.xxhash64(F.col(text_col)).alias("tag"),
         F.col(text_col).alias("text"),
     )
     found = repeated_stretches(base.select("doc", "tag", "text"), window, seed, buckets)
