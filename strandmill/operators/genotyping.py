@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import haplotypes as hp
 from ..functions import read_ops as ro
 from . import aggregates as agg
-from .reads import ro_split
+from .reads import cigar_text, ro_split
 
 #: The stutter model of a locus that has none of its own.
 MODEL = {"in_geom": 0.9, "in_up": 0.05, "in_down": 0.05, "out_geom": 0.9, "out_up": 0.01, "out_down": 0.01}
@@ -83,11 +83,21 @@ def haplotype_blocks(reads: DataFrame, loci: DataFrame) -> DataFrame:
     return out.where("blocks is not null").select("locus", "period", "blocks")
 
 
+def matching_reads(reads: DataFrame) -> DataFrame:
+    """Adds matched (the CIGAR with = and X for M, without clips) and kept (the bases it covers)."""
+
+    def one(pos, cigar, bases, ref_start, ref):
+        kept, ops = hp.matching_cigar(_cigar(cigar), bases, pos, ref, ref_start)
+        return cigar_text((op, n) for op, n in ops), kept
+
+    return _add(reads, ["pos", "cigar", "bases", "ref_start", "ref"], "matched string, kept string", [pa.string(), pa.string()], one)
+
+
 def haplotype_likelihoods(reads: DataFrame, blocks: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
     """Adds seed and log_probs (by haplotype, in the order of `haplotypes`) to reads of loci with blocks; a read without
     a seed says nothing (null, zeros).
 
-    reads: locus, pos, cigar, bases, quals, ref_start, ref (the reference along the read) and whatever else.
+    reads: locus, sample, rname, pos, cigar, bases, quals, ref_start, ref (the reference along the read) and others.
     """
     model = model or MODEL
 
@@ -104,7 +114,9 @@ def haplotype_likelihoods(reads: DataFrame, blocks: DataFrame, model: dict[str,
             return None, [0.0] * n
         return seed, hp.read_likelihoods(kept, quality, seed, made, period, model)
 
-    near = reads.join(blocks, "locus")
+    # one read takes milliseconds: deal them evenly, by the keys that genotypes() sums fragments by
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = reads.join(blocks, "locus").repartition(parts, "locus", "sample", "rname")
     out = _add(near, ["pos", "cigar", "bases", "quals", "ref_start", "ref", "period", "blocks"], "seed int, log_probs array<double>", [pa.int32(), pa.list_(pa.float64())], one)
     return out.drop("period", "blocks")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import haplotypes as hp
+from ..operators import genotyping as gt
 from ..operators import joins, models
 from ..sources import projection as pj
 
@@ -46,4 +48,21 @@ def scl_11(s, d):
     return models.align_reads(pieces.select("doc_id", F.inline(F.transform("p", tile))), "read").select("doc_id", "pos", "score", "cigar")
 
 
-QUERIES = {f.__name__: f for f in (mdl_01, mdl_16, scl_11)}
+def _loci(s, d):
+    """Regions with the reference around them."""
+    around = hp.FLANK + hp.PAD
+    return pj.regions(s, d).withColumn("ref_start", F.col("start") - around).withColumn("ref", pj.reference(f"start - {around}", f"stop - start + {2 * around}"))
+
+
+def scl_18(s, d):
+    """Haplotype blocks of every locus that reads span."""
+    blocks = gt.haplotype_blocks(pj.alignments(s, d), _loci(s, d))
+    return blocks.select("locus", F.posexplode("blocks").alias("block", "b")).select("locus", "block", "b.start", "b.end", "b.repeat", F.array_join("b.seqs", ",").alias("seqs"))
+
+
+def scl_14(s, d):
+    """CIGARs that tell matches from mismatches, and bases without clips."""
+    return gt.matching_reads(pj.alignments(s, d).where("cigar <> ''")).select("rid", "matched", "kept")
+
+
+QUERIES = {f.__name__: f for f in (mdl_01, mdl_16, scl_11, scl_14, scl_18)}

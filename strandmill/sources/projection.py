@@ -87,7 +87,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE = "substr('ACGT', cast(1 + (((p + 64) * (p + 64)) {0} 7 + ((p + 64) {0} 3) * 5) % 11 % 4 as int), 1)"
 
 
-def _reference(low: str, n: str) -> F.Column:
+def reference(low: str, n: str) -> F.Column:
     """n bases of the reference from position low on."""
     base = _BASE.format("div")
     return F.expr(f"case when {n} > 0 then array_join(transform(sequence({low}, {low} + {n} - 1), p -> {base}), '') else '' end")
@@ -104,12 +104,12 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = F.when(F.col("mate") == 2, 3).otherwise(0)
     indel = F.when(F.col("bp_diff") > 0, F.concat("ins", F.lit("I"))).when(F.col("bp_diff") < 0, F.concat("del", F.lit("D"))).otherwise("")
     cigar = F.concat(F.when(F.col("qual") % 17 == 0, "4H").otherwise(""), F.col("m1").cast("string"), F.lit("M"), indel, F.lit("40M"), F.when(F.col("mate") == 2, "3S").otherwise(""))
-    plain = F.concat(_reference("pos", "m1"), F.expr("repeat('A', ins)"), _reference("pos + m1 + del", "40"), F.expr("repeat('T', clip)"))
+    plain = F.concat(reference("pos", "m1"), F.expr("repeat('A', ins)"), reference("pos + m1 + del", "40"), F.expr("repeat('T', clip)"))
     k = F.col("qual") % 20
     changed = F.when(F.col("qual") % 5 == 0, F.concat(F.substring("plain", F.lit(1), k), F.translate(F.substring("plain", k + 1, F.lit(1)), "ACGT", "TGCA"), F.substring("plain", k + 2, F.lit(999)))).otherwise(F.col("plain"))
     quals = F.expr("concat(repeat('!', qual % 4), repeat('I', cast(length(bases) - qual % 4 - ((pos + 64) % 3) * 16 as int)), repeat('#', cast(((pos + 64) % 3) * 16 as int)))")
     r = r.withColumn("clip", clip).withColumn("cigar", F.when(F.col("qual") % 23 == 0, "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
-    r = r.withColumn("end_pos", F.expr("pos + m1 + del + 40")).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", _reference("pos - 15", "m1 + del + 70"))
+    r = r.withColumn("end_pos", F.expr("pos + m1 + del + 40")).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", reference("pos - 15", "m1 + del + 70"))
     hp = F.when(F.col("qual") % 3 > 0, F.col("qual") % 3)
     return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"))
 
