@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, chat, decontaminate, lm_score, near_join, quality, secrets, substring_dedup, url_filter
+from . import ann, byte_bpe, chat, decontaminate, lm_score, merkle, near_join, quality, secrets, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_lm_score,
     op2_chat_format,
@@ -79,6 +83,7 @@ _ALL = (
     op8_substring_dedup,
     op9_url_filter,
     op10_decontaminate,
+    op13_merkle,
 )
 
 
@@ -118,6 +123,60 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.own, 'allow') as verdict, c
 from places p left join (select distinct page_id, host, path, rule, own from fits where k = 1) f using (page_id, host, path)
 """
 
+_OP13 = """
+with recursive docs as (
+  select doc_id, source, text, {leaf} as leaf,
+    doc_id is not null and xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda r, b: xor(xor(r, b) >> 1, (xor(r, b) & 1) * 3988292384)), 4294967295) % 5 = 0 as tampered, {changed} as changed
+  from documents
+), leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n from docs
+), tree as (
+  select 0 as k, source, place, leaf as hash, n from leaves
+  union all
+  select k + 1, source, place // 16, sha256(string_agg(hash, '' order by place)), (max(n) + 15) // 16 from tree where n > 1 group by k, source, place // 16
+), subroots as (
+  select source, hash as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from tree where n = 1
+), top as (
+  select 0 as k, place, subroot as hash, n from subroots
+  union all
+  select k + 1, place // 16, sha256(string_agg(hash, '' order by place)), (max(n) + 15) // 16 from top where n > 1 group by k, place // 16
+), rows as (
+  select row_number() over () as r, l.*, s.subroot, s.place as top_place, (select hash from top where n = 1) as root
+  from leaves l join subroots s on l.source is not distinct from s.source
+), siblings as (
+  select r.r, t.k, t.hash, t.place, t.place < r.place // cast(power(16, t.k) as bigint) as before
+  from rows r join tree t on r.source is not distinct from t.source and t.n > 1 and t.place // 16 = r.place // cast(power(16, t.k + 1) as bigint)
+  where t.place <> r.place // cast(power(16, t.k) as bigint)
+  union all
+  select r.r, 100 + t.k, t.hash, t.place, t.place < r.top_place // cast(power(16, t.k) as bigint)
+  from rows r join top t on t.n > 1 and t.place // 16 = r.top_place // cast(power(16, t.k + 1) as bigint)
+  where t.place <> r.top_place // cast(power(16, t.k) as bigint)
+), steps as (
+  select r.r, t.k, coalesce(string_agg(s.hash, '' order by s.place) filter (where s.before), '') as l, coalesce(string_agg(s.hash, '' order by s.place) filter (where not s.before), '') as g
+  from rows r join (select distinct source, k from tree where n > 1) t on r.source is not distinct from t.source left join siblings s on s.r = r.r and s.k = t.k group by r.r, t.k
+  union all
+  select r.r, 100 + t.k, coalesce(string_agg(s.hash, '' order by s.place) filter (where s.before), ''), coalesce(string_agg(s.hash, '' order by s.place) filter (where not s.before), '')
+  from rows r cross join (select distinct k from top where n > 1) t left join siblings s on s.r = r.r and s.k = 100 + t.k group by r.r, t.k
+), proofs as (
+  select r, sha256(string_agg(l || g, '' order by k)) as proof_sha256, list(struct_pack(l := l, g := g) order by k) as path from steps group by r
+), folds as (
+  select r.r, 0 as done, case when r.tampered then r.changed else r.leaf end as hash, coalesce(p.path, []) as path from rows r left join proofs p using (r)
+  union all
+  select r, done + 1, sha256(path[done + 1].l || hash || path[done + 1].g), path from folds where done < len(path)
+)
+select r.doc_id, r.leaf, r.subroot, r.root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, f.hash as folded_root, f.hash = r.root as verified
+from rows r left join proofs p using (r) join folds f on f.r = r.r and f.done = len(f.path)
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
 
 def oracle_sql() -> dict[str, str]:
     """Chat formatting and, for pages without links between each other (as in the test tables), the URL filter."""
@@ -126,4 +185,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": _OP2.format(values=values, role=_ESCAPED.format("role"), text=_ESCAPED.format("text")),
         "op9_url_filter": _OP9.format(rules=rules),
+        "op13_merkle": _OP13.format(leaf=_leaf("text"), changed=_leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")),
     }
