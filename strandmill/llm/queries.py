@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, decontaminate, lm_score, merkle, near_join, quality, secrets, substring_dedup, url_filter
+from . import ann, byte_bpe, chat, decontaminate, hard_negatives, lm_score, merkle, near_join, quality, secrets, segments, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, label)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return segments.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +94,8 @@ _ALL = (
     op8_substring_dedup,
     op9_url_filter,
     op10_decontaminate,
+    op11_hard_negatives,
+    op12_top_k,
     op13_merkle,
 )
 
@@ -123,6 +136,29 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.own, 'allow') as verdict, c
 from places p left join (select distinct page_id, host, path, rule, own from fits where k = 1) f using (page_id, host, path)
 """
 
+_VECTORS = "select vec_id, {label} as label, list_transform(embedding, lambda x: floor({scale} * x::double)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_OP11 = f"""
+with v as materialized (
+  select * from ({_VECTORS.format(scale=256, label="case when vec_id % 7 = 0 then (label + 1) % 10 else label end")}) where label is not null
+), scores as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike, cast(list_dot_product(a.e, c.e) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join scores using (anchor_id) where not alike and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 10
+"""
+_OP12 = f"""
+with v as materialized ({_VECTORS.format(scale=64, label="0")})
+select q.vec_id as query_id, cast(row_number() over (partition by q.vec_id order by list_dot_product(q.e, c.e) desc, c.vec_id) as int) as rank,
+  c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+qualify row_number() over (partition by q.vec_id order by list_dot_product(q.e, c.e) desc, c.vec_id) <= 20
+"""
 _OP13 = """
 with recursive docs as (
   select doc_id, source, text, {leaf} as leaf,
@@ -185,5 +221,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": _OP2.format(values=values, role=_ESCAPED.format("role"), text=_ESCAPED.format("text")),
         "op9_url_filter": _OP9.format(rules=rules),
+        "op11_hard_negatives": _OP11,
+        "op12_top_k": _OP12,
         "op13_merkle": _OP13.format(leaf=_leaf("text"), changed=_leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")),
     }
