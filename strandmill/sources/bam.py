@@ -1,19 +1,29 @@
-"""BAM as a DataFrame: BGZF is a chain of gzip members, decoded in Python, one file a task.
+"""BAM as a DataFrame: tasks are stretches of blocks, regions are found by the index, records are decoded in Python.
 
 For many passes over large files write the result as Parquet, partitioned by chromosome: then filters prune.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+
+from . import bgzf
+from .bgzf import File
+from .indexed import FAR, SPLIT, Part, RegionReader, cut, listed, load, load_index, pieces
 
 _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+_PAIRS = [a + b for a in _BASES for b in _BASES]
+_PRINTED = bytes(min(93, q) + 33 for q in range(256))
 _SCHEMA = "file string, name string, flag int, chrom string, pos int, end_pos int, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos int, bases string, quals string, tags map<string,string>"
 _CIGAR = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
 _ARROW = pa.schema(
@@ -47,52 +57,234 @@ def _tags(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def parse(stream, file: str) -> Iterator[dict]:
-    """Records of an uncompressed BAM stream; a cut-off file is an error."""
+def read_header(take: Callable[[int], bytes], file: str) -> tuple[str, list[str], list[int]]:
+    """The header's text, and the names and lengths of its contigs."""
+    if take(4) != b"BAM\1":
+        raise ValueError(f"{file} is no BAM file")
+    text = take(struct.unpack("<i", take(4))[0]).rstrip(b"\0").decode()
+    names, lengths = [], []
+    for _ in range(struct.unpack("<i", take(4))[0]):
+        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
+        lengths.append(struct.unpack("<i", take(4))[0])
+    return text, names, lengths
 
+
+def decode(r: bytes, names: list[str], file: str) -> dict:
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate_ref, mate_pos, _ = struct.unpack_from("<iiBBHHHiiii", r)
+    at = 32 + n_name
+    cigar = [(_OPS[x & 15], x >> 4) for x in struct.unpack_from(f"<{n_cigar}I", r, at)]
+    at += 4 * n_cigar
+    packed = r[at : at + (n_seq + 1) // 2]
+    bases = "".join(_PAIRS[b] for b in packed)[:n_seq]
+    at += (n_seq + 1) // 2
+    quals = r[at : at + n_seq].translate(_PRINTED).decode()
+    return {
+        "file": file, "name": r[32 : 32 + n_name - 1].decode(), "flag": flag, "chrom": names[ref] if ref >= 0 else "*", "pos": pos,
+        "end_pos": pos + sum(n for op, n in cigar if op in "MDN=X"), "mapq": mapq, "cigar": [{"op": op, "len": n} for op, n in cigar],
+        "mate_chrom": names[mate_ref] if mate_ref >= 0 else "*", "mate_pos": mate_pos, "bases": bases, "quals": quals, "tags": _tags(r[at + n_seq :]),
+    }
+
+
+def _exactly(stream, file: str) -> Callable[[int], bytes]:
     def take(n: int) -> bytes:
         data = stream.read(n)
         if len(data) != n:
             raise ValueError(f"{file} is cut off")
         return data
 
-    if take(4) != b"BAM\1":
-        raise ValueError(f"{file} is no BAM file")
-    take(struct.unpack("<i", take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
+    return take
+
+
+def parse(stream, file: str) -> Iterator[dict]:
+    """Records of an uncompressed BAM stream; a cut-off file is an error."""
+    take = _exactly(stream, file)
+    _, names, _ = read_header(take, file)
     while head := stream.read(4):
-        r = take(struct.unpack("<i", head)[0])
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate_ref, mate_pos, _ = struct.unpack_from("<iiBBHHHiiii", r)
-        at = 32 + n_name
-        cigar = [(_OPS[x & 15], x >> 4) for x in struct.unpack_from(f"<{n_cigar}I", r, at)]
-        at += 4 * n_cigar
-        packed = r[at : at + (n_seq + 1) // 2]
-        bases = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
-        at += (n_seq + 1) // 2
-        quals = "".join(chr(min(93, q) + 33) for q in r[at : at + n_seq])
-        yield {
-            "file": file, "name": r[32 : 32 + n_name - 1].decode(), "flag": flag, "chrom": names[ref] if ref >= 0 else "*", "pos": pos,
-            "end_pos": pos + sum(n for op, n in cigar if op in "MDN=X"), "mapq": mapq, "cigar": [{"op": op, "len": n} for op, n in cigar],
-            "mate_chrom": names[mate_ref] if mate_ref >= 0 else "*", "mate_pos": mate_pos, "bases": bases, "quals": quals, "tags": _tags(r[at + n_seq :]),
-        }
-
-
-def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+        yield decode(take(struct.unpack("<i", head)[0]), names, file)
+
+
+def plausible(data: bytes, at: int, lengths: list[int]) -> int | None:
+    """Where the record after one at `at` begins, if what lies there could be a record."""
+    if at + 36 > len(data):
+        return None
+    size, ref, pos, n_name, _, _, n_cigar, flag, n_seq, mate_ref, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+    fits = all(-1 <= x < len(lengths) and -1 <= p <= (lengths[x] if x >= 0 else FAR) for x, p in ((ref, pos), (mate_ref, mate_pos)))
+    if not fits or n_name < 1 or n_seq < 0 or size < 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq or (n_cigar == 0 and not flag & 4 and n_seq > 0):
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and (name[-1] != 0 or any(not 33 <= c <= 126 for c in name[:-1])):
+        return None
+    cigar = data[at + 36 + n_name : at + 36 + n_name + 4 * n_cigar]
+    if n_cigar and len(cigar) == 4 * n_cigar:
+        ops = np.frombuffer(cigar, "<u4")
+        kinds = ops & 15
+        if (kinds > 8).any() or (n_seq and int((ops >> 4)[np.isin(kinds, (0, 1, 4, 7, 8))].sum()) != n_seq):
+            return None
+    return at + 4 + size
+
+
+def _candidates(data: bytes, contigs: int) -> np.ndarray:
+    """Places whose first numbers could be those of a record."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    if len(raw) < 36:
+        return np.empty(0, np.int64)
+    word = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    word, n = word.view(np.int32), len(raw) - 35
+    low = lambda k: word[k : k + n]
+    fits = (low(0) >= 32) & (low(4) >= -1) & (low(4) < contigs) & (low(8) >= -1) & (raw[12 : 12 + n] >= 1) & (low(20) >= 0) & (low(24) >= -1) & (low(24) < contigs) & (low(28) >= -1)
+    return np.flatnonzero(fits)
+
+
+def first_record(file: File, start: int, lengths: list[int], proof: int = 5) -> int | None:
+    """The virtual offset of the first record that begins in a block at or after byte `start`.
+
+    A place counts if a chain of `proof` records, or one up to the end of the file, begins there.
+    """
+    source = bgzf.blocks(file, bgzf.next_block(file, start))
+    data, origins, more, least, done = bytearray(), [], True, 1 << 17, 0
+    while more:
+        while more and len(data) < least:
+            piece = next(source, None)
+            more = piece is not None
+            if piece is not None and piece[1]:
+                origins.append((len(data), piece[0]))
+                data += piece[1]
+        held = bytes(data)
+        for at in (_candidates(held[done:], len(lengths)) + done).tolist():
+            done, place, links = at, at, 0
+            while place is not None and links < proof and place < len(held):
+                if place + 36 > len(held) and more:
+                    break
+                place = plausible(held, place, lengths)
+                links += place is not None
+            if place is None:
+                continue
+            if links == proof or (place == len(held) and not more):
+                base, origin = origins[bisect.bisect_right(origins, at, key=lambda o: o[0]) - 1]
+                return origin << 16 | at - base
+            if more:
+                break  # the chain goes on beyond what is held
+        else:
+            done = max(done, len(held) - 35)
+        least *= 2
+    return None
+
+
+class BamReader(RegionReader):
+    ending = ".bam"
+
+    def plan(self, file: File, regions: list | None) -> list[Part]:
+        if not bgzf.is_blocked(file):
+            return [Part(file.path, [], whole=True)]
+        stream = bgzf.Stream(file, 0, 1)
+        _, names, _ = read_header(_exactly(stream, file.path), file.path)
+        index = load_index(file.path, [".bai", (".bai", ".bam")])
+        if regions is None or index is None:
+            return cut(file.path, file.size, index, self.split, stream.tell())
+        at = {n: k for k, n in enumerate(names)}
+        if any(c == "*" for c, _, _ in regions):  # what has no place lies behind all that has
+            return cut(file.path, file.size, index, self.split, stream.tell())
+        return pieces(file.path, [s for c, a, b in regions for s in index.stretches(at.get(c, -1), a, b)], index.starts(), self.split)
+
+    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        return batches_of(self.records(part))
+
+    def records(self, part: Part, file: File | None = None) -> Iterator[dict]:
+        if not part.path:
+            return
+        wanted = self.window.regions(self.given)
+        file = file or File(part.path)
+        if part.whole:
+            rows = parse(gzip.GzipFile(fileobj=io.BytesIO(file.read(0, file.size))), part.path)
+        else:
+            rows = self._within(part, file)
+        for row in rows:
+            if wanted is None or any(row["chrom"] == c and (c == "*" or row["pos"] < b and max(row["end_pos"], row["pos"] + 1) > a) for c, a, b in wanted):
+                yield row
+
+    def _within(self, part: Part, file: File) -> Iterator[dict]:
+        _, names, lengths = read_header(_exactly(bgzf.Stream(file, 0, 1), part.path), part.path)
+        for low, high in part.stretches:
+            start = low if part.aligned else first_record(file, low >> 16, lengths)
+            if start is None or start >= high:
+                continue
+            stream = bgzf.Stream(file, start, high)
+            take = _exactly(stream, part.path)
+            while stream.tell() < high and (head := stream.read(4)):
+                if len(head) < 4:
+                    raise ValueError(f"{part.path} is cut off")
+                yield decode(take(struct.unpack("<i", head)[0]), names, part.path)
+
+
+def batches_of(rows: Iterator[dict], most: int = 2000) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+
+
+class BamSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "strandmill_bam"
+
+    def schema(self) -> str:
+        return _SCHEMA
+
+    def reader(self, schema) -> BamReader:
+        return BamReader(self.options)
+
+
+def read_bam(spark: SparkSession, path: str | list[str], regions: list[tuple[str, int, int]] | None = None, split: int = SPLIT) -> DataFrame:
+    """Alignments of BAM files, folders of them or patterns, in tasks of about `split` compressed bytes.
+
+    Filters on chrom, pos and end_pos, and `regions` (half-open, a list that the driver can hold), read only the blocks
+    that a .bai index names. Files without an index are cut at their blocks, and each task finds the first record that
+    begins in its own. A file of plain gzip is one task. A cut-off or damaged file is an error when it is read. Paths
+    are those that Arrow opens on every machine; for others, read_whole_bam.
+    """
+    return load(spark, BamSource, path, regions, split)
+
+
+def read_bam_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, value): the header lines of BAM files, as `text.header_groups` and `text.header_contigs` take them."""
+    paths = listed([path] if isinstance(path, str) else list(path), ".bam")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                file = File(name)
+                stream = bgzf.Stream(file, 0, 1) if bgzf.is_blocked(file) else gzip.GzipFile(fileobj=io.BytesIO(file.read(0, file.size)))
+                lines = read_header(_exactly(stream, name), name)[0].splitlines()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines), pa.string()), pa.array(lines, pa.string())], names=["file", "value"])
+
+    return spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths), 1000))).mapInArrow(run, "file string, value string")
+
+
+def by_file(reads: DataFrame, files: list[str]) -> DataFrame:
+    """Reads in the order of the files given, each in order of its places, contigs by name."""
+    place = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file"))
+    return reads.orderBy(place, "chrom", "pos", "name", "flag")
+
+
+def by_position(reads: DataFrame, contigs: list[str]) -> DataFrame:
+    """Reads of all files in the order of the contigs given and of their places, ties by file and name; what has no
+    place comes last."""
+    known = F.array_position(F.array(*[F.lit(c) for c in contigs]).cast("array<string>"), F.col("chrom"))
+    return reads.orderBy(F.when(known > 0, known).otherwise(FAR), "chrom", "pos", "file", "name", "flag")
+
+
+def read_whole_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Alignments of small BAM files in stores that only Spark reads: each file is one value and one task."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(*(batch.column(c).to_pylist() for c in ("path", "content")), strict=True):
-                rows: list[dict] = []
-                for row in parse(gzip.GzipFile(fileobj=io.BytesIO(content)), name):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield from batches_of(parse(gzip.GzipFile(fileobj=io.BytesIO(content)), name))
 
     return files.mapInArrow(run, _SCHEMA)

@@ -5,7 +5,7 @@ Malformed rows raise an error when they are read, as a wrong locus or genotype m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as g
@@ -88,27 +88,53 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_groups(spark: SparkSession, path: str | list[str], library_tag: str = "LB") -> DataFrame:
+def read_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, value): the header lines of SAM files, in order."""
+    return _lines(spark, path).where(F.col("value").startswith("@")).select(F.input_file_name().alias("file"), "value")
+
+
+def header_groups(lines: DataFrame, library_tag: str = "LB") -> DataFrame:
     """@RG lines: file, rg_id, sample, library; an id given twice with another sample in one file is an error."""
     fields = F.filter(F.split("value", "\t"), lambda x, k: k > 0)
     entries = F.transform(fields, lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 4, 1_000_000)))
-    rows = _lines(spark, path).where(F.col("value").startswith("@RG\t")).select(F.input_file_name().alias("file"), F.map_from_entries(entries).alias("t"))
+    rows = lines.where(F.col("value").startswith("@RG\t")).select("file", F.map_from_entries(entries).alias("t"))
     named = rows.select("file", F.col("t")["ID"].alias("rg_id"), F.col("t")["SM"].alias("sample"), F.col("t")[library_tag].alias("library")).distinct()
     same = F.when(F.countDistinct("sample") == 1, F.first("sample")).otherwise(F.raise_error(F.concat(F.lit("read group with two samples: "), F.col("rg_id"))).cast("string"))
     return named.groupBy("file", "rg_id").agg(same.alias("sample"), F.min("library").alias("library"))
 
 
-def read_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """@SQ lines: file, name, length."""
+def read_groups(spark: SparkSession, path: str | list[str], library_tag: str = "LB") -> DataFrame:
+    return header_groups(read_header(spark, path), library_tag)
+
+
+def with_samples(reads: DataFrame, groups: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Adds sample and library to reads: by (file, RG tag), or for files in `files` (file, sample, library) by the file
+    alone. A read that neither names is an error when it is read."""
+    named = reads.withColumn("rg_id", F.col("tags")["RG"]).join(groups.withColumnsRenamed({"sample": "_sample", "library": "_library"}), ["file", "rg_id"], "left")
+    if files is not None:
+        named = named.join(files.select("file", F.col("sample").alias("_own"), F.col("library").alias("_own_library")), "file", "left")
+        named = named.withColumn("_sample", F.coalesce("_own", "_sample")).withColumn("_library", F.when(F.col("_own").isNotNull(), F.col("_own_library")).otherwise(F.col("_library")))
+    known = F.when(F.col("_sample").isNotNull(), F.col("_sample")).otherwise(F.raise_error(F.concat(F.lit("read without a sample: "), F.col("name"))).cast("string"))
+    return named.select(reads["*"], known.alias("sample"), F.col("_library").alias("library"))
+
+
+def header_contigs(lines: DataFrame) -> DataFrame:
+    """@SQ lines: file, name, length and ord, the place among the file's contigs."""
     v = F.col("value")
-    rows = _lines(spark, path).where(v.startswith("@SQ\t"))
-    return rows.select(F.input_file_name().alias("file"), F.regexp_extract(v, r"\tSN:([^\t]*)", 1).alias("name"), F.regexp_extract(v, r"\tLN:(\d+)", 1).cast("long").alias("length"))
+    rows = lines.where(v.startswith("@SQ\t")).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_at")) - 1
+    return rows.select("file", F.regexp_extract(v, r"\tSN:([^\t]*)", 1).alias("name"), F.regexp_extract(v, r"\tLN:(\d+)", 1).cast("long").alias("length"), place.alias("ord"))
+
+
+def read_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return header_contigs(read_header(spark, path))
 
 
 def differing_contigs(contigs: DataFrame) -> DataFrame:
-    """Contigs that not all files have with one length; empty where the headers agree."""
+    """Contigs that not all files have with one length at one place; empty where the headers agree."""
     files = contigs.select("file").distinct().count()
-    return contigs.groupBy("name").agg(F.countDistinct("file").alias("files"), F.countDistinct("length").alias("lengths")).where((F.col("files") < files) | (F.col("lengths") > 1))
+    own = contigs.groupBy("name").agg(F.countDistinct("file").alias("files"), F.countDistinct("length").alias("lengths"), F.countDistinct("ord").alias("places"))
+    return own.where((F.col("files") < files) | (F.col("lengths") > 1) | (F.col("places") > 1))
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], piece: int = 1 << 16) -> DataFrame:
@@ -134,11 +160,10 @@ def windows(pieces: DataFrame, loci: DataFrame, flank: int, piece: int = 1 << 16
     return rows.withColumn("ref", F.array_join(F.transform("_r", lambda r: r["t"]), "")).drop("_r")
 
 
-def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def variants_of(lines: DataFrame) -> DataFrame:
     """VCF rows: chrom, pos (from 1), id, ref, alts, info map, format keys, sample fields by position."""
     p = F.split("value", "\t")
-    rows = _lines(spark, path).where(~F.col("value").startswith("#"))
-    return rows.select(
+    return lines.select(
         p.getItem(0).alias("chrom"),
         _must(F.size(p) >= 8, p.getItem(1).cast("int"), "int", "bad variant").alias("pos"),
         p.getItem(2).alias("id"),
@@ -151,6 +176,11 @@ def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """VCF text, gzip included (one task a file); `vcf_index.read_vcf` reads blocked and indexed files."""
+    return variants_of(_lines(spark, path).where(~F.col("value").startswith("#")))
+
+
 def read_samples(spark: SparkSession, path: str) -> list[str]:
     head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
     return head[0].split("\t")[9:] if head else []
