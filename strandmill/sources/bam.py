@@ -8,6 +8,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import io
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -15,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource
 
 from . import bgzf
 from .bgzf import File
+from .blocked import BlockedWriter, in_order, write_blocked
 from .indexed import FAR, SPLIT, Part, RegionReader, cut, listed, load, load_index, pieces
 
 _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+_CODES = {c: k for k, c in enumerate(_BASES)}
 _PAIRS = [a + b for a in _BASES for b in _BASES]
 _PRINTED = bytes(min(93, q) + 33 for q in range(256))
 _SCHEMA = "file string, name string, flag int, chrom string, pos int, end_pos int, mapq int, cigar array<struct<op:string,len:int>>, mate_chrom string, mate_pos int, bases string, quals string, tags map<string,string>"
@@ -227,6 +231,62 @@ def batches_of(rows: Iterator[dict], most: int = 2000) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
 
 
+def encode(row: dict, contigs: dict[str, int]) -> bytes:
+    """A record's bytes; tags that are whole numbers of 32 bits become numbers, others text."""
+    name, cigar, bases = row["name"].encode() + b"\0", row["cigar"] or [], "" if row["bases"] == "*" else row["bases"]
+    ref, mate = contigs.get(row["chrom"], -1), contigs.get(row["mate_chrom"], -1)
+    size = sum(c["len"] for c in cigar if c["op"] in "MDN=X")
+    at_bin = bgzf.bin_of(row["pos"], row["pos"] + max(size, 1)) if row["pos"] >= 0 else 4680
+    codes = [_CODES.get(c, 15) for c in bases.upper()] + [0] * (len(bases) % 2)
+    quals = bytes(ord(c) - 33 for c in row["quals"]) if row["quals"] not in (None, "*", "") else b"\xff" * len(bases)
+    body = struct.pack("<iiBBHHHiiii", ref, row["pos"], len(name), row["mapq"], at_bin, len(cigar), row["flag"], len(bases), mate, row["mate_pos"], 0) + name
+    body += struct.pack(f"<{len(cigar)}I", *(c["len"] << 4 | _OPS.index(c["op"]) for c in cigar))
+    body += bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + quals
+    for key, value in row["tags"] or []:
+        number = value.lstrip("-").isdigit() and str(int(value)) == value and -(1 << 31) <= int(value) < 1 << 31
+        body += key.encode() + (b"i" + struct.pack("<i", int(value)) if number else b"Z" + value.encode() + b"\0")
+    return struct.pack("<i", len(body)) + body
+
+
+def header_bytes(lines: list[str], contigs: list[tuple[str, int]]) -> bytes:
+    head = "".join(f"{line}\n" for line in lines).encode()
+    out = [b"BAM\1", struct.pack("<i", len(head)), head, struct.pack("<i", len(contigs))]
+    return b"".join(out + [struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n) for c, n in contigs])
+
+
+class BamWriter(BlockedWriter):
+    ending, index_ending = ".bam", ".bai"
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.contigs = json.loads(options["contigs"])
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple[str | None, int, int, bytes]]:
+        number = {c: k for k, c in enumerate(self.contigs)}
+        for row in batch.to_pylist():
+            if row["chrom"] != "*" and row["chrom"] not in number:
+                raise ValueError(f"the header has no contig {row['chrom']}")
+            end = row["pos"] + max(1, sum(c["len"] for c in row["cigar"] or [] if c["op"] in "MDN=X"))
+            yield None if row["chrom"] == "*" else row["chrom"], row["pos"], end, encode(row, number)
+
+    def index_bytes(self, index: bgzf.Index) -> bytes:
+        own = dict(zip(index.names, index.contigs, strict=True))
+        return bgzf.Index([own.get(c, bgzf.Contig()) for c in self.contigs]).to_bytes()
+
+
+def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], lines: list[str] | None = None, join: bool = True, parts: int | None = None) -> None:
+    """Writes reads (the columns of read_bam; file and end_pos are not read) in order of contigs, places, names and flags.
+
+    path: a file with its .bai beside it, or with join=False a folder of such files. `lines`: the header's text besides
+    its @SQ lines. Reads without a place have the contig `*` and come last. A contig that the header lacks is an error.
+    """
+    head = [line for line in lines or [] if not line.startswith("@SQ")]
+    text = [*[x for x in head if x.startswith("@HD")], *[f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs], *[x for x in head if not x.startswith("@HD")]]
+    rows = reads.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(_SCHEMA) if f.name not in ("file", "end_pos")))
+    ordered = in_order(rows, [c for c, _ in contigs], ["pos", "name", "flag"], parts)
+    write_blocked(ordered, BamSource, path, header_bytes(text, contigs), join, contigs=json.dumps([c for c, _ in contigs]))
+
+
 class BamSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -238,6 +298,9 @@ class BamSource(DataSource):
     def reader(self, schema) -> BamReader:
         return BamReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> BamWriter:
+        return BamWriter(self.options)
+
 
 def read_bam(spark: SparkSession, path: str | list[str], regions: list[tuple[str, int, int]] | None = None, split: int = SPLIT) -> DataFrame:
     """Alignments of BAM files, folders of them or patterns, in tasks of about `split` compressed bytes.

@@ -1,26 +1,20 @@
 """VCF in blocked gzip with a tabix index: read by regions or in parts, written in parallel as one sorted file.
 
-Writing: rows are dealt by ranges of (contig, place) and sorted; every task makes the blocks of its part and the bins
-of its rows; the driver joins the parts' bytes, a bounded piece at a time, and the bins, shifted by what lies before
-them. With `join=False` every part stays a file with a header and an index of its own, and nothing passes the driver.
+Rows are written as `blocked` says: parts in order, joined to one file or left as a folder of files.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource
 
 from . import bgzf, text
-from .bgzf import Contig, File, Index, store_of
+from .bgzf import File, Index
+from .blocked import BlockedWriter, in_order, write_blocked
 from .indexed import SPLIT, Part, RegionReader, cut, listed, load, load_index, pieces
 
 _SCHEMA = "chrom string, pos int, end_pos int, value string"
@@ -102,91 +96,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    number: int
-    path: str
-    size: int
-    index: bytes
-
-
-class VcfWriter(DataSourceArrowWriter):
-    """Rows (value: a VCF line) in order within a task, tasks in order of their numbers."""
-
-    def __init__(self, options: dict[str, str]):
-        self.path, self.head, self.join = options["target"], json.loads(options["head"]), options["join"] == "true"
-        self.run = uuid.uuid4().hex
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        context = TaskContext.get()
-        number, attempt = context.partitionId(), context.taskAttemptId()
-        path = f"{self.path}.parts-{self.run}/{number:05d}-{attempt}.vcf.gz"
-        store, name = store_of(path)
-        store.create_dir(name.rpartition("/")[0], recursive=True)
-        contigs: dict[str, Contig] = {}
-        before: tuple[str, int] | None = None
-        with store.open_output_stream(name, compression=None) as sink:
-            out = bgzf.Writer(sink)
-            if not self.join:
-                out.write(self.head.encode())
-            for batch in iterator:
-                for value in batch.column("value").to_pylist():
-                    line = value.encode() + b"\n"
-                    chrom, pos, end = place_of(line)
-                    if before is not None and (before[0] == chrom and before[1] > pos or before[0] != chrom and chrom in contigs):
-                        raise ValueError(f"rows are not in order: {chrom} {pos} after {before[0]} {before[1]}")
-                    before = chrom, pos
-                    low = out.tell()
-                    out.write(line)
-                    contigs.setdefault(chrom, Contig()).add(pos - 1, end, low, out.tell())
-            out.flush()
-            if not self.join:
-                sink.write(bgzf.END)
-        return Written(number, path, out.written, Index(list(contigs.values()), list(contigs)).to_bytes())
-
-    def commit(self, messages: list[Written | None]) -> None:
-        parts = sorted((m for m in messages if m is not None), key=lambda m: m.number)
-        store, target = store_of(self.path)
-        if not self.join:
-            store.create_dir(target, recursive=True)
-            for k, m in enumerate(m for m in parts if Index.parse(m.index).contigs or m is parts[0]):
-                name = f"{target}/part-{k:05d}.vcf.gz"
-                store.move(store_of(m.path)[1], name)
-                _put(store, f"{name}.tbi", bgzf_bytes(m.index))
-            self._clear(store, target)
-            return
-        indexes = []
-        with store.open_output_stream(target, compression=None) as sink:
-            out = bgzf.Writer(sink)
-            out.write(self.head.encode())
-            out.flush()
-            at = out.written
-            for m in parts:
-                indexes.append(Index.parse(m.index).shifted(at))
-                with store.open_input_stream(store_of(m.path)[1], compression=None) as source:
-                    while piece := source.read(8 << 20):
-                        sink.write(piece)
-                at += m.size
-            sink.write(bgzf.END)
-        _put(store, f"{target}.tbi", bgzf_bytes(bgzf.joined(indexes).to_bytes()))
-        self._clear(store, target)
-
-    def abort(self, messages: list[Written | None]) -> None:
-        self._clear(*store_of(self.path))
-
-    def _clear(self, store: pafs.FileSystem, target: str) -> None:
-        folder = f"{target}.parts-{self.run}"
-        if store.get_file_info(folder).type == pafs.FileType.Directory:
-            store.delete_dir(folder)
+class VcfWriter(BlockedWriter):
+    ending, index_ending = ".vcf.gz", ".tbi"
 
+    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple[str, int, int, bytes]]:
+        for value in batch.column("value").to_pylist():
+            line = value.encode() + b"\n"
+            chrom, pos, end = place_of(line)
+            yield chrom, pos - 1, end, line
 
-def bgzf_bytes(data: bytes) -> bytes:
-    return b"".join(bgzf.block(data[k : k + bgzf.MOST]) for k in range(0, len(data), bgzf.MOST)) + bgzf.END
+    def index_bytes(self, index: Index) -> bytes:
+        return b"".join(bgzf.block(data) for data in _cut(index.to_bytes())) + bgzf.END
 
 
-def _put(store: pafs.FileSystem, name: str, data: bytes) -> None:
-    with store.open_output_stream(name, compression=None) as f:
-        f.write(data)
+def _cut(data: bytes) -> Iterator[bytes]:
+    for k in range(0, len(data), bgzf.MOST):
+        yield data[k : k + bgzf.MOST]
 
 
 class VcfSource(DataSource):
@@ -229,9 +154,5 @@ def write_vcf(rows: DataFrame, path: str, head: list[str], contigs: list[str] |
     path: a file with its .tbi beside it, or with join=False a folder of such files. Rows of one place follow each other
     by their text, whatever the partitions, of which there are `parts` or as many as Spark finds fit. No rows give a file of the header alone.
     """
-    spark = rows.sparkSession
-    spark.dataSource.register(VcfSource)
-    known = F.array_position(F.array(*[F.lit(c) for c in contigs or []]).cast("array<string>"), F.col("chrom"))
-    order = [F.when(known > 0, known).otherwise(1 << 30), "chrom", "pos", "value"]
-    sorted_rows = rows.select("chrom", F.col("pos").cast("int").alias("pos"), F.lit(0).alias("end_pos"), "value").repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
-    sorted_rows.write.format(VcfSource.name()).mode("append").option("target", path).option("head", json.dumps("".join(f"{line}\n" for line in head))).option("join", str(join).lower()).save()
+    lines = rows.select("chrom", F.col("pos").cast("int").alias("pos"), F.lit(0).alias("end_pos"), "value")
+    write_blocked(in_order(lines, contigs or [], ["pos", "value"], parts), VcfSource, path, "".join(f"{line}\n" for line in head).encode(), join)

@@ -151,6 +151,28 @@ def test_merged_order_and_headers(spark, tmp_path):
         text.with_samples(df, groups.limit(0)).collect()
 
 
+@pytest.mark.parametrize("join", [True, False])
+def test_bam_round_trip(spark, tmp_path, join):
+    rows = make_bam(tmp_path / "a.bam", 1500, 9)
+    df = bam.read_bam(spark, str(tmp_path / "a.bam"))
+    path = str(tmp_path / ("b.bam" if join else "b"))
+    tagged = df.withColumn("tags", F.map_concat("tags", F.create_map(F.lit("FT"), F.lit("HARD_CLIPPED"), F.lit("HP"), F.lit("-7"))))
+    bam.write_bam(tagged.repartition(5), path, CONTIGS, ["@HD\tVN:1.6", "@RG\tID:g\tSM:s"], join, 3)
+    back = bam.read_bam(spark, path, split=20_000)
+    columns = [c for c in df.columns if c not in ("file", "tags")]
+    assert back.select(columns).exceptAll(df.select(columns)).count() == 0 and back.count() == len(rows)
+    assert {tuple(sorted(r.tags.items())) for r in back.select("tags").collect()} == {(("FT", "HARD_CLIPPED"), ("HP", "-7"), ("RG", "g"))}
+    files = indexed.listed([path], ".bam")
+    assert (len(files) == 1) == join and len(list(tmp_path.glob("**/*.parts-*"))) == 0
+    want = sorted(r for r in rows if r[0] == "chr1" and r[1] < 30_000 and r[2] > 20_000)
+    assert found(bam.read_bam(spark, path, [("chr1", 20_000, 30_000)])) == want
+    if join:
+        own = [(r.chrom, r.pos) for r in bam.read_bam(spark, path, split=1 << 30).collect()]
+        assert own == sorted(((r[0], r[1]) for r in rows), key=lambda r: (["chr1", "chr2", "*"].index(r[0]), r[1]))
+    with pytest.raises(Exception, match="no contig chr2"):
+        bam.write_bam(df, str(tmp_path / "c.bam"), CONTIGS[:1])
+
+
 HEAD = ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta"]
 
 
