@@ -10,6 +10,8 @@ from ..operators import filters as flt
 from ..operators import joins, ranges
 from ..operators import reads as rd
 from ..sources import projection as pj
+from ..sources import vcf_index
+from ..sources.shared import fresh
 from .relational import _DISTS, _distances, query
 
 
@@ -199,10 +201,8 @@ def ord_01(s, d):
 
 @query("ord_04", "select rid, row_number() over (partition by chrom order by pos, library, rid) as ord from reads")
 def ord_04(s, d):
-    """Files (libraries) merged by position, on a tie in the order of the files."""
-    files = [pj.reads(s, d).where(F.col("library") == x).select("rid", "chrom", "pos", F.lit(x).alias("file")) for x in ("A", "N", "R")]
-    merged = files[0].union(files[1]).union(files[2])
-    return ranges.rank_by_position(merged, ["chrom"], "pos", ["file", "rid"]).select("rid", F.col("ord").cast("long").alias("ord"))
+    """Reads of all files (libraries) by position, on a tie in the order of the files."""
+    return ranges.rank_by_position(pj.reads(s, d).select("rid", "chrom", "pos", "library"), ["chrom"], "pos", ["library", "rid"]).select("rid", F.col("ord").cast("long").alias("ord"))
 
 
 @query("mth_09", "with m as (select sample, rname, min(hp) as low, max(hp) as high, count(hp) as tagged, count(*) as n from alns group by 1, 2) select rid, cast(case when low = high and tagged = n then case when low = 1 then -0.01 else -1000 end else 0 end as double) as p1, cast(case when low = high and tagged = n then case when low = 2 then -0.01 else -1000 end else 0 end as double) as p2 from alns join m using (sample, rname)")
@@ -234,12 +234,16 @@ def _value(key: str) -> str:
 
 @query("prj_13", f"with v as (select locus, {_INFO} as info from calls group by 1) select locus, cast(regexp_extract(info, '(?:^|;)START=([^;]*)', 1) as bigint) as start, cast(regexp_extract(info, '(?:^|;)END=([^;]*)', 1) as bigint) as stop, {', '.join(map(_value, _KEYS))} from v")
 def prj_13(s, d):
-    """Stutter models out of the INFO column of records; up and down are 0.01 at least."""
+    """Stutter models out of the INFO column of a VCF file; up and down are 0.01 at least."""
     down, up = (F.sum("dstutter") % 7 / 100).cast("string"), (F.sum("dp") % 5 / 50).cast("string")
     info = F.concat(F.lit("START="), F.col("locus") * 40 + 1, F.lit(";END="), F.col("locus") * 40 + 30, F.lit(";INFRAME_PGEOM=0.9;INFRAME_DOWN="), "down", F.lit(";INFRAME_UP="), "up", F.lit(";OUTFRAME_PGEOM=0.8;OUTFRAME_DOWN=0.005;OUTFRAME_UP=0.02"))
-    v = pj.calls(s, d).groupBy("locus").agg(down.alias("down"), up.alias("up")).select("locus", g.info_map(info).alias("m"))
-    at = lambda k, kind: F.col("m")[k].cast(kind)
-    return v.select("locus", at("START", "long").alias("start"), at("END", "long").alias("stop"), *((at(k, "double") if k.endswith("PGEOM") else F.greatest(at(k, "double"), F.lit(0.01))).alias(k.lower()) for k in _KEYS))
+    v = pj.calls(s, d).groupBy("locus").agg(down.alias("down"), up.alias("up")).withColumn("pos", F.col("locus") * 40 + 1)
+    line = F.concat_ws("\t", F.lit("chr1"), "pos", F.concat(F.lit("L"), "locus"), F.lit("A"), F.lit("."), F.lit("."), F.lit("."), info)
+    path = fresh(s, "models") + ".vcf.gz"
+    vcf_index.write_vcf(v.select(F.lit("chr1").alias("chrom"), "pos", line.alias("value")), path, ["##fileformat=VCFv4.2", "\t".join("#CHROM POS ID REF ALT QUAL FILTER INFO".split())])
+    at = lambda k, kind: F.col("info")[k].cast(kind)
+    back = vcf_index.read_vcf(s, path)
+    return back.select(F.substring("id", 2, 30).cast("long").alias("locus"), at("START", "long").alias("start"), at("END", "long").alias("stop"), *((at(k, "double") if k.endswith("PGEOM") else F.greatest(at(k, "double"), F.lit(0.01))).alias(k.lower()) for k in _KEYS))
 
 
 @query("snk_07", f"with {_DISTS} select 0 as ord, '#PAIR' || chr(9) || 'D11' || chr(9) || 'D12' || chr(9) || 'D21' || chr(9) || 'D22' || chr(9) || 'FILTER' as line union all select pair + 1, pair || chr(9) || d11 || chr(9) || d12 || chr(9) || d21 || chr(9) || d22 || chr(9) || case when least(d11, d12, d21, d22) <= 2500 then 'PASS' else 'FAIL' end from dist")

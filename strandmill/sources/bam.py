@@ -8,6 +8,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import io
+import itertools
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -84,7 +85,7 @@ def decode(r: bytes, names: list[str], file: str) -> dict:
     quals = r[at : at + n_seq].translate(_PRINTED).decode()
     return {
         "file": file, "name": r[32 : 32 + n_name - 1].decode(), "flag": flag, "chrom": names[ref] if ref >= 0 else "*", "pos": pos,
-        "end_pos": pos + sum(n for op, n in cigar if op in "MDN=X"), "mapq": mapq, "cigar": [{"op": op, "len": n} for op, n in cigar],
+        "end_pos": pos + sum(n for op, n in cigar if op in "MDN=X"), "mapq": mapq, "cigar": cigar,
         "mate_chrom": names[mate_ref] if mate_ref >= 0 else "*", "mate_pos": mate_pos, "bases": bases, "quals": quals, "tags": _tags(r[at + n_seq :]),
     }
 
@@ -221,14 +222,23 @@ class BamReader(RegionReader):
 
 
 def batches_of(rows: Iterator[dict], most: int = 2000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == most:
-            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+    while held := list(itertools.islice(rows, most)):
+        yield _batch(held)
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Records (cigar and tags as pairs) as columns."""
+
+    def offsets(name: str) -> pa.Array:
+        return pa.array(np.cumsum([0, *(len(r[name]) for r in rows)]), pa.int32())
+
+    def part(name: str, k: int, kind: pa.DataType) -> pa.Array:
+        return pa.array([x[k] for r in rows for x in r[name]], kind)
+
+    cigar = pa.ListArray.from_arrays(offsets("cigar"), pa.StructArray.from_arrays([part("cigar", 0, pa.string()), part("cigar", 1, pa.int32())], fields=list(_CIGAR.value_type)))
+    tags = pa.MapArray.from_arrays(offsets("tags"), part("tags", 0, pa.string()), part("tags", 1, pa.string()))
+    made = {"cigar": cigar, "tags": tags}
+    return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.array([r[f.name] for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
 def encode(row: dict, contigs: dict[str, int]) -> bytes:

@@ -115,10 +115,13 @@ class BlockedWriter(DataSourceArrowWriter):
 
 
 def in_order(rows: DataFrame, contigs: list[str], order: list[str], parts: int | None) -> DataFrame:
-    """Rows dealt and sorted by contig (as given, others after them by their bytes, `*` last) and `order`."""
+    """Rows dealt and sorted by contig (as given, others after them by their bytes, `*` last) and `order`.
+
+    `parts`: as many as there are shuffle partitions unless given, as a row costs more to write than its bytes tell.
+    """
     known = F.array_position(F.array(*[F.lit(c) for c in contigs]).cast("array<string>"), F.col("chrom"))
     by = [F.when(known > 0, known).when(F.col("chrom") == "*", F.lit(1 << 31)).otherwise(F.lit(1 << 30)), F.col("chrom"), *(F.col(c) for c in order)]
-    return rows.repartitionByRange(*([parts] if parts else []), *by).sortWithinPartitions(*by)
+    return rows.repartitionByRange(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
 
 
 def write_blocked(rows: DataFrame, source: type[DataSource], path: str, head: bytes, join: bool, **options: str) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import datasource as ds
 
 from .bgzf import File, Index, store_of
 
-SPLIT = 32 << 20
+SPLIT = 4 << 20
 FAR = 1 << 29
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 

@@ -99,7 +99,11 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     A read matches 10 to 39 bases, has the insertion or deletion of bp_diff, matches 40 more; some have a base that
     differs, a clip at an end, low qualities at the ends, no cigar, or a haplotype tag.
     """
-    r = reads(spark, sf_dir).select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "bp_diff", "qual", "library")
+    return alignments_of(reads(spark, sf_dir)).drop("library")
+
+
+def alignments_of(rows: DataFrame) -> DataFrame:
+    r = rows.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "bp_diff", "qual", "library")
     r = r.withColumn("m1", 10 + F.col("qual") % 30).withColumn("ins", F.greatest("bp_diff", F.lit(0))).withColumn("del", F.greatest(-F.col("bp_diff"), F.lit(0)))
     clip = F.when(F.col("mate") == 2, 3).otherwise(0)
     indel = F.when(F.col("bp_diff") > 0, F.concat("ins", F.lit("I"))).when(F.col("bp_diff") < 0, F.concat("del", F.lit("D"))).otherwise("")
@@ -111,7 +115,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = r.withColumn("clip", clip).withColumn("cigar", F.when(F.col("qual") % 23 == 0, "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
     r = r.withColumn("end_pos", F.expr("pos + m1 + del + 40")).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", reference("pos - 15", "m1 + del + 70"))
     hp = F.when(F.col("qual") % 3 > 0, F.col("qual") % 3)
-    return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"))
+    return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"), "library")
 
 
 def _reference_sql(low: str, n: str) -> str:

@@ -152,7 +152,7 @@ def write_vcf(rows: DataFrame, path: str, head: list[str], contigs: list[str] |
     """Writes rows (chrom, pos, value: the line) sorted by contig, in the order given or of their bytes, and place.
 
     path: a file with its .tbi beside it, or with join=False a folder of such files. Rows of one place follow each other
-    by their text, whatever the partitions, of which there are `parts` or as many as Spark finds fit. No rows give a file of the header alone.
+    by their text, whatever the partitions, of which there are `parts`, or as many as shuffle partitions. No rows give a file of the header alone.
     """
     lines = rows.select("chrom", F.col("pos").cast("int").alias("pos"), F.lit(0).alias("end_pos"), "value")
     write_blocked(in_order(lines, contigs or [], ["pos", "value"], parts), VcfSource, path, "".join(f"{line}\n" for line in head).encode(), join)
