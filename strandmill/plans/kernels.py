@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cigars as cg
 from ..functions import haplotypes as hp
+from ..operators import fixpoint, joins, models
 from ..operators import genotyping as gt
-from ..operators import joins, models
 from ..sources import projection as pj
 
 
@@ -65,4 +66,29 @@ def scl_14(s, d):
     return gt.matching_reads(pj.alignments(s, d).where("cigar <> ''")).select("rid", "matched", "kept")
 
 
-QUERIES = {f.__name__: f for f in (mdl_01, mdl_16, scl_11, scl_14, scl_18)}
+def _to_fixpoint(s, d):
+    """Repeats and their padding, as reads hold them, genotyped until no allele is added."""
+    pad = hp.PAD
+    loci = pj.regions(s, d).select("locus", "period", "start", "stop", pj.reference(f"start - {pad}", f"stop - start + {2 * pad}").alias("ref"))
+    r = pj.alignments(s, d).where("cigar <> ''").join(loci.select("locus", (F.col("start") - pad).alias("low"), (F.col("stop") + pad).alias("high")), "locus")
+    held = cg.sequence_between(cg.steps(F.col("cigar"), F.col("pos")), F.col("bases"), F.col("pos"), F.col("end_pos"), F.col("low"), F.col("high"))
+    spans = r.where("pos < low and end_pos > high").select("locus", "sample", held.alias("seq"))
+    return fixpoint.to_fixpoint(spans, loci.select("locus", "period", "ref"), fixpoint.stutter_score(gt.MODEL))
+
+
+def mdl_07(s, d):
+    """Genotypes of every sample at every locus that reads span."""
+    return _to_fixpoint(s, d).genotypes.select("locus", "sample", "gt_a", "gt_b", F.round("log_post", 6).alias("log_post"), "n")
+
+
+def mdl_08(s, d):
+    """Alleles of every locus, with the round that added them; kept says whether a genotype and a read hold them."""
+    return _to_fixpoint(s, d).alleles.select("locus", "allele", "seq", "round", "kept")
+
+
+def mdl_09(s, d):
+    """Numbers of alleles before and after those unused are taken away."""
+    return _to_fixpoint(s, d).alleles.where("kept").select("locus", "allele", "number", "seq")
+
+
+QUERIES = {f.__name__: f for f in (mdl_01, mdl_07, mdl_08, mdl_09, mdl_16, scl_11, scl_14, scl_18)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import cigars as cg
 from ..functions import genetics as g
 from ..operators import filters as flt
 from ..operators import joins, ranges
@@ -109,19 +110,53 @@ def scl_04(s, d):
     return _edited(s, d).select("rid", "adapter_at", "adapter_cigar", "adapter_bases")
 
 
-@query("scl_09")
+#: Of every read its CIGAR's elements with places: op, n, at (first place), til (behind the last), seen (bases before).
+_EL = r"list_transform(regexp_extract_all(cigar, '\d+[MIDNSHP=X]'), lambda x: {'op': right(x, 1), 'n': cast(left(x, length(x) - 1) as bigint)})"
+_SUM = "coalesce(list_sum(list_transform(el[1:k - 1], lambda e: case when e.op in ({ops}) then e.n else 0 end)), 0)"
+_ON_REF, _ON_READ = _SUM.format(ops="'M', 'D', 'N', '=', 'X'"), _SUM.format(ops="'M', 'I', 'S', '=', 'X'")
+_WALK = (
+    f"els as (select *, {_EL} as el from alns where cigar <> ''), placed as (select *, list_transform(range(1, len(el) + 1), lambda k: {{'op': el[k].op, 'n': el[k].n, 'at': pos + {_ON_REF}, 'seen': {_ON_READ}}}) as w0 from els), "
+    "walk as (select *, list_transform(w0, lambda s: {'op': s.op, 'n': s.n, 'at': s.at, 'til': s.at + case when s.op in ('M', 'D', 'N', '=', 'X') then s.n else 0 end, 'seen': s.seen}) as w from placed), "
+    "near as (select w.*, start, stop from walk w join regions using (locus))"
+)
+_LEFT = "list_max(list_transform(list_filter(w, lambda s: s.op in ('M', '=', 'X') and (s.at < start or (s.at = pos and pos = start))), lambda s: s.til))"
+_RIGHT = "list_min(list_transform(list_filter(w, lambda s: s.op in ('M', '=', 'X') and s.til > stop), lambda s: s.at))"
+
+
+def _walked(s, d):
+    r = _alns(s, d).where("cigar <> ''").select("rid", "locus", "sample", "chrom", "pos", "end_pos", "bases", "quals", cg.steps(F.col("cigar"), F.col("pos")).alias("walk"))
+    return r
+
+
+def _on_loci(s, d):
+    return _walked(s, d).join(pj.regions(s, d).select("locus", "start", "stop"), "locus")
+
+
+@query("scl_09", f"with {_WALK}, ends as (select rid, w, pos, end_pos, start, stop, {_LEFT} as a, {_RIGHT} as b from near) select rid, case when start >= pos and stop < end_pos and a is not null and b is not null then cast(coalesce(list_sum(list_transform(list_filter(w, lambda s: s.op in ('I', 'D') and s.at >= a and s.til <= b), lambda s: case when s.op = 'I' then s.n else -s.n end)), 0) as int) end as length_change from ends")
 def scl_09(s, d):
-    return _edited(s, d).select("rid", "length_change")
+    """Inserted less deleted bases of reads within their locus."""
+    return _on_loci(s, d).select("rid", cg.length_change(F.col("walk"), F.col("pos"), F.col("end_pos"), F.col("start"), F.col("stop")).alias("length_change"))
 
 
-@query("scl_16")
+@query("scl_16", f"with {_WALK} select rid, case when pos <= start and end_pos >= stop then array_to_string(list_transform(w, lambda s: case when s.op in ('M', '=', 'X') and greatest(s.at, start) < least(s.til, stop) then substr(bases, cast(s.seen + greatest(s.at, start) - s.at + 1 as bigint), cast(least(s.til, stop) - greatest(s.at, start) as bigint)) when s.op = 'I' and s.at > start and s.at <= stop then substr(bases, cast(s.seen + 1 as bigint), s.n) else '' end), '') end as inside from near")
 def scl_16(s, d):
-    return _edited(s, d).select("rid", "inside")
+    """Bases of reads on the part of their locus from its start on."""
+    return _on_loci(s, d).select("rid", cg.sequence_between(F.col("walk"), F.col("bases"), F.col("pos"), F.col("end_pos"), F.col("start"), F.col("stop")).alias("inside"))
+
+
+_SEEN = "seen as (select w.rid, w.locus, w.sample, s.pos as snp_pos, list_filter(w.w, lambda x: x.op in ('M', '=', 'X') and x.at <= s.pos and x.til > s.pos)[1] as m, w.bases, w.quals from walk w join het_snps s on s.sample = w.sample and s.chrom = w.chrom and s.pos between w.pos and w.end_pos), based as (select rid, locus, sample, snp_pos, coalesce(substr(bases, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as base, coalesce(substr(quals, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as qual from seen)"
+
+
+def _snp_bases(s, d):
+    hit = joins.snps_in_reads(_walked(s, d), pj.het_snps(s, d))
+    base, qual = (cg.base_at(F.col("walk"), F.col(c), F.col("snp_pos")) for c in ("bases", "quals"))
+    return hit.select("rid", "locus", "sample", "chrom", "snp_pos", base.alias("base"), qual.alias("qual"))
 
 
-@query("scl_22")
+@query("scl_22", f"with {_WALK}, {_SEEN} select rid, snp_pos, base, qual from based")
 def scl_22(s, d):
-    return _edited(s, d).select("rid", "snp_bases")
+    """Bases and qualities of reads at the SNPs of their sample."""
+    return _snp_bases(s, d).select("rid", "snp_pos", "base", "qual")
 
 
 @query("flt_09")
@@ -210,16 +245,19 @@ def mth_09(s, d):
     return rd.tagged_phases(_alns(s, d))
 
 
-_PHASED = "p as (select r.rid, r.locus, r.sample, sum(case when s.pos % 2 = 0 then 1 else -1 end) as lean from reads r join het_snps s on s.sample = r.sample and s.chrom = r.chrom and s.pos between r.pos and r.end_pos group by all)"
+#: A SNP's alleles are the reference's base and its complement; the first haplotype has the reference's at even places.
+_REF_BASE = pj._BASE.format("//").replace("p +", "snp_pos +")
+_LEAN = f"case when base = {_REF_BASE} then case when snp_pos % 2 = 0 then 1 else -1 end when base = translate({_REF_BASE}, 'ACGT', 'TGCA') then case when snp_pos % 2 = 0 then -1 else 1 end else 0 end"
 
 
-@query("prj_04", f"with {_PHASED} select r.locus, r.sample, count(*) filter (lean > 0) || '|' || count(*) filter (lean < 0) as psnp, count(*) filter (lean <> 0) as dsnp from reads r left join p using (rid) group by 1, 2")
+@query("prj_04", f"with {_WALK}, {_SEEN}, p as (select rid, sum({_LEAN}) as lean from based group by 1) select r.locus, r.sample, count(*) filter (lean > 0) || '|' || count(*) filter (lean < 0) as psnp, count(*) filter (lean <> 0) as dsnp from reads r left join p using (rid) group by 1, 2")
 def prj_04(s, d):
-    """Reads that SNPs give to the first and the second haplotype (PSNP), and that they tell apart (DSNP)."""
-    r = pj.reads(s, d).select("rid", "locus", "sample", "chrom", "pos", "end_pos")
-    lean = F.sum(F.when(F.col("snp_pos") % 2 == 0, 1).otherwise(-1))
-    hit = joins.snps_in_reads(r.drop("locus"), pj.het_snps(s, d)).groupBy("rid").agg(lean.alias("lean"))
-    t = r.join(hit, "rid", "left").groupBy("locus", "sample").agg(*(F.count_if(c).alias(n) for n, c in (("a", F.col("lean") > 0), ("b", F.col("lean") < 0))))
+    """Reads whose bases at SNPs give them to the first and the second haplotype (PSNP), and that they tell apart (DSNP)."""
+    ref = F.expr(pj._BASE.format("div").replace("p +", "snp_pos +"))
+    first = F.when(F.col("snp_pos") % 2 == 0, 1).otherwise(-1)
+    lean = F.sum(F.when(F.col("base") == ref, first).when(F.col("base") == F.translate(ref, "ACGT", "TGCA"), -first).otherwise(0))
+    hit = _snp_bases(s, d).groupBy("rid").agg(lean.alias("lean"))
+    t = pj.reads(s, d).select("rid", "locus", "sample").join(hit, "rid", "left").groupBy("locus", "sample").agg(*(F.count_if(c).alias(n) for n, c in (("a", F.col("lean") > 0), ("b", F.col("lean") < 0))))
     return t.select("locus", "sample", F.concat_ws("|", "a", "b").alias("psnp"), (F.col("a") + F.col("b")).alias("dsnp"))
 
 
