@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_slices, texts_of
+from .common import bounded_batches, byte_slices, settle, texts_of
 
 NEVER = 1 << 40
 MAX_TRANSITIONS, MAX_PAIRS, LONG_PIECE, LOOKAHEAD = 100_000, 300_000, 48, 1024
 #: Of each generation of looked-up texts: whole ones, and matches of the pattern. An entry takes ENTRY bytes besides its own.
-MEMO_BYTES, PIECE_BYTES, ENTRY = 40 << 20, 6 << 20, 160
+MEMO_BYTES, PIECE_BYTES, ENTRY = 20 << 20, 6 << 20, 160
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -363,6 +363,7 @@ def coders(ranks_path: str, pattern: str, lone_space: bool) -> tuple[Encoder, De
     key = (ranks_path, pattern, lone_space)
     if key not in _LOADED:
         _LOADED.clear()
+        settle()
         ranks = read_ranks(ranks_path)
         _LOADED[key] = Encoder(ranks, pattern, lone_space), Decoder(ranks)
     return _LOADED[key]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -27,6 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
+def settle() -> None:
+    """Gives memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts take up `limit` bytes together, or of one longer text."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
