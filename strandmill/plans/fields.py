@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import filters as flt
+from ..operators import pedigree
 from ..sources import projection as pj
 from .relational import _POST_SQL, _posteriors, query
 
@@ -98,10 +99,36 @@ def ctl_05(s, d):
     return pj.calls(s, d).select("locus", "sample", F.array_position(F.array(F.lit("s0"), F.lit("s2"), F.lit("s4")), F.col("sample")).alias("idx"))
 
 
-@query("mdl_17", "select family, count(distinct child) as children from ped where father in (select o_custkey + 1 from orders) and mother in (select o_custkey + 1 from orders) and child in (select o_custkey + 1 from orders) group by 1")
+#: Families in threes, the first children of one being fathers in the next: up to four generations.
+_DEEP = "deep as (select family - family % 12 as family, child, father, mother from ped union all select distinct family - family % 12, family + 1, family - 1, null from ped where family % 12 in (4, 8))"
+_LINKS = "links as (select distinct child, father as parent from deep union select distinct child, mother from deep where mother is not null), everyone as (select child as person from deep union select father from deep union select mother from deep where mother is not null), seen as (select person from everyone where person in (select o_custkey + 1 from orders))"
+
+
+@query(
+    "mdl_17",
+    f"""with recursive {_DEEP}, {_LINKS},
+    depth as (select person, 0 as k from everyone where person not in (select child from links) union select l.child, k + 1 from depth join links l on l.parent = depth.person),
+    below as (select person from seen union select l.child from below join links l on l.parent = below.person),
+    above as (select person from seen union select l.parent from above join links l on l.child = above.person),
+    kept as (select person from below intersect select person from above),
+    own as (select l.* from links l where child in (select person from kept) and parent in (select person from kept)),
+    couples as (select d.* from deep d where child in (select person from kept) and father in (select person from kept) and mother in (select person from kept)),
+    broods as (select parent, count(*) as n from own group by 1),
+    groups as (select father, mother, count(*) as n, bool_and(child not in (select parent from own)) as last from couples group by 1, 2),
+    families as (select g.father, g.mother from groups g join broods f on f.parent = g.father and f.n = g.n join broods m on m.parent = g.mother and m.n = g.n
+      where last and father not in (select child from own) and mother not in (select child from own)),
+    members as (select father as person from families union select mother from families union select child from couples join families using (father, mother))
+    select person, max(k) as layer, person in (select person from kept) as kept, person in (select person from members) as nuclear from depth group by person""",
+)
 def mdl_17(s, d):
+    """Everyone's generation, whether they belong to a sequenced lineage, and whether to a nuclear family of it."""
+    ped = pj.pedigree(s, d)
+    block = F.col("family") - F.col("family") % 12
+    deeper = ped.where((F.col("family") % 12).isin(4, 8)).select(block.alias("family"), (F.col("family") + 1).alias("child"), (F.col("family") - 1).alias("father"), F.lit(None).cast("long").alias("mother"))
+    rows = pedigree.checked(ped.withColumn("family", block).unionByName(deeper))
     seen = pj.table(s, d, "orders").select((F.col("o_custkey") + 1).alias("person")).distinct()
-    p = pj.pedigree(s, d)
-    for who in ("father", "mother", "child"):
-        p = p.join(seen.withColumnRenamed("person", who), who, "left_semi")
-    return p.groupBy("family").agg(F.countDistinct("child").alias("children"))
+    _, kept = pedigree.sequenced_lineage(rows, seen)
+    families = pedigree.nuclear_families(rows, seen)
+    members = families.select(F.explode(F.concat(F.array("mother", "father"), "children")).alias("person")).distinct()
+    out = pedigree.generations(rows).join(kept.withColumn("k", F.lit(True)), "person", "left").join(members.withColumn("m", F.lit(True)), "person", "left")
+    return out.select("person", "layer", F.col("k").isNotNull().alias("kept"), F.col("m").isNotNull().alias("nuclear"))

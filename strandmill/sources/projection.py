@@ -152,6 +152,7 @@ def with_views(sql: str) -> str:
     text = sql + " " + (SQL["alns"] if re.search(r"\balns\b", sql) else "")
     used = [f"{name} as ({body})" for name, body in SQL.items() if re.search(rf"\b{name}\b", text)]
     rest = sql.strip()
-    if rest[:5].lower() == "with ":
-        return "with " + ", ".join([*used, rest[5:]])
+    for head in ("with recursive ", "with "):
+        if rest[: len(head)].lower() == head:
+            return head + ", ".join([*used, rest[len(head) :]])
     return ("with " + ", ".join(used) + " " if used else "") + rest

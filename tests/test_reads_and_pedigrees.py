@@ -1,6 +1,5 @@
 import pytest
 
-from strandmill.functions import pedigrees as p
 from strandmill.functions import read_ops as r
 
 
@@ -51,15 +50,3 @@ def test_ends_and_sequences():
     y = read([("S", 2), ("M", 4), ("I", 2), ("M", 4)], "NNACGTTTACGG", 104)
     assert r.unclipped(y) == (104, 112, "ACGTTTACGG")
     assert r.sequence_between(y, 106, 108) == "GTTT" and r.sequence_between(y, 108, 112) == "ACGG" and r.sequence_between(y, 100, 106) is None
-
-
-def test_pedigrees():
-    rows = [("f", "kid", "dad", "mum"), ("f", "dad", "gran", None), ("f", "mum", None, None), ("g", "x", None, None)]
-    order = [c for _, c, _, _ in p.in_order(rows)]
-    assert order.index("dad") < order.index("kid") and order.index("mum") < order.index("kid")
-    assert p.nuclear_families(rows, {"kid", "dad", "mum"}) == [("f", "mum", "dad", ["kid"])]
-    assert p.nuclear_families(rows, {"kid", "dad"}) == []
-    with pytest.raises(ValueError, match="ancestor"):
-        p.in_order([("f", "a", "b", None), ("f", "b", "a", None)])
-    with pytest.raises(ValueError, match="two families"):
-        p.in_order([("f", "a", None, None), ("g", "a", None, None)])
