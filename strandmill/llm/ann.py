@@ -1,16 +1,19 @@
 """Nearest neighbours by score-aware quantisation, four-bit table scans and exact reranking.
 
-Euclidean order is inner-product order one dimension up: |q - x|^2 = |q|^2 - 2 <(q, 1), (x, -|x|^2 / 2)>. Vectors so
-extended are cut into subspaces of two dimensions with sixteen centres each (four bits). Centres and codes minimise a
-loss that weighs the part of the residual along the vector `parallel` times as much as the rest, since that part
-shifts high inner products: codes by coordinate descent over the subspaces, centres by the weighted normal equations.
-
-The codebook is fitted on at most `SAMPLE` vectors (smallest hashes of their ids). Every vector is coded once, two
-codes a byte, and kept with its codes as a table in the shared folder. Queries are sent in blocks of `BLOCK`; each
-block passes over that table once and its findings are written, so the plan does not grow with the queries. A task
-scans its codes through the tables, reranks the best `RERANK` of each slice exactly in double precision, and keeps k a
-query, so what is shuffled is k rows for each query and task, whatever the number of vectors. Equal vectors in a slice
-are scanned as one, with the k + 1 smallest of their distinct ids, so ties are exact.
+With the vectors' mean m taken away, |q - x|^2 = |q - m|^2 - 2 |x - m| <q - m, u> + |x - m|^2, u being the direction of
+x - m. Directions are quantised, norms are exact. Directions are cut into subspaces of two dimensions with sixteen
+centres each (four bits). Centres and codes minimise a loss that weighs the part of the residual along the direction
+`parallel` times as much as the rest, since that part shifts high inner products: codes by coordinate descent over the
+subspaces, centres by the weighted normal equations.
+
+Mean and codebook come from at most `SAMPLE` vectors (smallest hashes of their ids). On the same sample the run measures
+what share of the true k nearest is found among the best `RERANK` by codes, and doubles that number until `RECALL` is
+reached; a number as large as a slice is an exact scan. Every vector is coded once, two codes a byte, and kept with its
+codes as a table in the shared folder. Queries are sent in blocks of `BLOCK`; each block passes over that table once and
+its findings are written, so the plan does not grow with the queries. A task scans its codes through the tables, reranks
+the best of each slice exactly in double precision, and keeps k a query, so what is shuffled is k rows for each query
+and task, whatever the number of vectors. Equal vectors in a slice are scanned as one, with the k + 1 smallest of their
+distinct ids, so ties are exact.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, shared_dir, written
 
 SAMPLE, BLOCK, RERANK, SLICE, CENTRES = 8192, 1024, 256, 8192, 16
+#: The share of the true nearest that codes must find in the sample, and how many queries it is measured with.
+RECALL, TRIED = 0.97, 64
 
 
 def _matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,10 +45,11 @@ def _matrix(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x[good]
 
 
-def extend(x: np.ndarray) -> np.ndarray:
-    """(x, -|x|^2 / 2), with a zero where needed to make the dimension even."""
-    out = np.concatenate([x, -(x * x).sum(1, keepdims=True) / 2], axis=1)
-    return np.pad(out, ((0, 0), (0, out.shape[1] % 2)))
+def polar(x: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of x - mean, with a zero where needed to make the dimension even, and the norms."""
+    y = x - mean
+    norms = np.sqrt((y * y).sum(1))
+    return np.pad(y / np.maximum(norms, 1e-300)[:, None], ((0, 0), (0, y.shape[1] % 2))), norms
 
 
 class Quantiser:
@@ -51,7 +57,7 @@ class Quantiser:
         self.parallel, self.rounds, self.seed = parallel, rounds, seed
 
     def fit(self, x: np.ndarray) -> Quantiser:
-        """x: extended vectors, one a row."""
+        """x: directions, one a row."""
         n, d = x.shape
         m, rng = d // 2, np.random.default_rng(self.seed)
         parts = x.reshape(n, m, 2)
@@ -117,7 +123,27 @@ def scan(pairs: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search_slice(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int) -> tuple:
+def nearness(x: np.ndarray, codes: np.ndarray, mean: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """(n, q): larger for nearer vectors, up to what the codes tell of their directions."""
+    norms = np.sqrt(((x - mean) ** 2).sum(1))[:, None].astype(np.float32)
+    return scan(codes, tables) * norms - norms * norms / 2
+
+
+def enough(quantiser: Quantiser, mean: np.ndarray, x: np.ndarray, k: int) -> int:
+    """How many of a slice to rerank: doubled from RERANK until the sample's own nearest are found among them."""
+    _, first = np.unique(x, axis=0, return_index=True)
+    x = x[np.sort(first)]
+    tried = x[:: max(1, len(x) // TRIED)][:TRIED]
+    near = nearness(x, packed(quantiser.encode(polar(x, mean)[0])), mean, quantiser.tables(np.pad(tried - mean, ((0, 0), (0, x.shape[1] % 2)))))
+    order = np.argsort(-near, axis=0, kind="stable")
+    best = [np.argsort(((x - q) ** 2).sum(1), kind="stable")[: k + 1] for q in tried]
+    n = RERANK
+    while n < len(x) and np.mean([np.isin(best[c], order[:n, c]).mean() for c in range(len(tried))]) < RECALL:
+        n *= 2
+    return n if n < len(x) else max(n, SLICE)
+
+
+def _search_slice(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, mean: np.ndarray, qids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> tuple:
     """The k nearest distinct ids of a slice for each query: (query, id, distance)."""
     _, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     # Rows by vector, then id, each id once for a vector.
@@ -128,8 +154,8 @@ def _search_slice(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qids: np.nd
     ids, group = ids[order], group[order]
     begin = np.searchsorted(group, np.arange(group[-1] + 2))
     first = order[begin[:-1]]
-    near = scan(codes[first], tables)
-    best = min(RERANK, len(first))
+    near = nearness(x[first], codes[first], mean, tables)
+    best = min(rerank, len(first))
     top = np.argpartition(-near, best - 1, axis=0)[:best] if best < len(first) else np.broadcast_to(np.arange(len(first))[:, None], near.shape)
     rows = []
     for c in range(len(q)):
@@ -164,15 +190,16 @@ def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return plain.where(F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))) & F.exists("v", lambda a: a != 0))
 
 
-def _coded(clean: DataFrame, quantiser: Quantiser, dim: int) -> DataFrame:
+def _coded(clean: DataFrame, quantiser: Quantiser, mean: np.ndarray, dim: int) -> DataFrame:
     """Every vector with its packed codes, written to the shared folder."""
-    shared = clean.sparkSession.sparkContext.broadcast(quantiser)
+    shared = clean.sparkSession.sparkContext.broadcast((quantiser, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, x = _matrix(batch.column("v"), dim)
             for lo in range(0, len(rows), SLICE):
-                pairs = packed(shared.value.encode(extend(x[lo : lo + SLICE])))
+                quantiser, mean = shared.value
+                pairs = packed(quantiser.encode(polar(x[lo : lo + SLICE], mean)[0]))
                 own = batch.take(pa.array(rows[lo : lo + SLICE]))
                 yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), pa.array([p.tobytes() for p in pairs], pa.binary())], names=["vec_id", "v", "codes"])
 
@@ -199,16 +226,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     dim = dims["d"]
     clean = clean.where(F.size("v") == dim)
     sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"]
-    quantiser = Quantiser().fit(extend(np.stack([np.asarray(v, np.float64) for v in sample])))
+    x = np.stack([np.asarray(v, np.float64) for v in sample])
+    mean = x.mean(0)
+    quantiser = Quantiser().fit(polar(x, mean)[0])
+    rerank = enough(quantiser, mean, x, k)
     ask = _usable(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     coded, path = None, f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
     for qids, q in _blocks(ask, dim):
-        coded = coded or _coded(clean, quantiser, dim)
-        shared = spark.sparkContext.broadcast((quantiser, qids, q))
+        coded = coded or _coded(clean, quantiser, mean, dim)
+        shared = spark.sparkContext.broadcast((quantiser, mean, rerank, qids, q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            quantiser, qids, q = shared.value
-            tables = quantiser.tables(np.pad(np.concatenate([q, np.ones((len(q), 1))], 1), ((0, 0), (0, (q.shape[1] + 1) % 2))))
+            quantiser, mean, rerank, qids, q = shared.value
+            tables = quantiser.tables(np.pad(q - mean, ((0, 0), (0, dim % 2))))
             kept = None
             for batch in batches:
                 x = batch.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
@@ -216,7 +246,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 for lo in range(0, len(ids), SLICE):
                     own = slice(lo, lo + SLICE)
-                    new = _search_slice(ids[own], x[own], codes[own], qids, q, tables, k)
+                    new = _search_slice(ids[own], x[own], codes[own], mean, qids, q, tables, k, rerank)
                     kept = new if kept is None else _best(*(np.concatenate(p) for p in zip(kept, new, strict=True)), k)
             if kept is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from strandmill.llm import ann
 
@@ -45,8 +46,8 @@ def test_fewer_candidates_than_k_and_none(spark):
 
 def test_parallel_residual_is_smaller_than_without_weight():
     rng = np.random.default_rng(1)
-    x = ann.extend(rng.normal(size=(2000, 15)))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = ann.polar(rng.normal(size=(2000, 15)), np.zeros(15))[0]
+    unit = x
 
     def along(weight):
         z = ann.Quantiser(parallel=weight).fit(x)
@@ -54,3 +55,25 @@ def test_parallel_residual_is_smaller_than_without_weight():
         return float((((x - back) * unit).sum(1) ** 2).mean())
 
     assert along(4.0) < along(1.0)
+
+
+def test_recall_on_data_that_is_shifted_uneven_or_clustered(spark):
+    rng = np.random.default_rng(6)
+    n, d = 20_000, 64
+    normal = rng.normal(size=(n, d))
+    centres = rng.normal(size=(20, d)) * 5
+    sets = {
+        "normal": normal,
+        "uneven norms": normal * rng.lognormal(0, 1, size=(n, 1)),
+        "shifted": normal + 50,
+        "clusters": centres[rng.integers(0, 20, n)] + 0.3 * rng.normal(size=(n, d)),
+    }
+    for name, x in sets.items():
+        x = x.astype(np.float32)
+        frame = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})).repartition(6)
+        got = {}
+        for r in ann.nearest(frame, frame.where("vec_id % 400 = 0")).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = {i: set(np.argsort(((x.astype(np.float64) - x[i]) ** 2).sum(1), kind="stable")[1:11].tolist()) for i in range(0, n, 400)}
+        found = [len(got[i] & want[i]) / 10 for i in want]
+        assert np.mean(found) >= 0.9 and min(found) >= 0.5, (name, np.mean(found), min(found))
