@@ -44,3 +44,20 @@ def count_within(loci: DataFrame, points: DataFrame, by: list[str], key: str, st
     seen = events.withColumn("seen", running).where("turn <> 1").join(offsets, [*by, "bin"])
     total = F.col("seen") + F.col("offset")
     return seen.groupBy(key, *by).agg(F.sum(F.when(F.col("turn") == 2, total).otherwise(-total)).alias("n"))
+
+
+def counts_before(marks: DataFrame, points: DataFrame, by: list[str], position: str, width: int = WIDTH) -> DataFrame:
+    """Adds n to marks: points of equal `by` before the mark's place `at` (turn 0), or at or before it (turn 2).
+
+    Marks and points are sorted together bin by bin, as in `count_within`.
+    """
+    own = [c for c in marks.columns if c not in by]
+    marked = marks.select(*by, F.struct(*own).alias("mark"), F.col("at").cast("long").alias("_at"), F.col("turn").alias("_turn"))
+    none = F.lit(None).cast(marked.schema["mark"].dataType)
+    dots = points.select(*by, none.alias("mark"), F.col(position).cast("long").alias("_at"), F.lit(1).alias("_turn"))
+    events = marked.unionByName(dots).withColumn("bin", F.floor(F.col("_at") / width))
+    point = (F.col("_turn") == 1).cast("long")
+    offsets = _offsets(events.groupBy(*by, "bin").agg(F.sum(point).alias("n")), by, "offset")
+    running = F.sum(point).over(Window.partitionBy(*by, "bin").orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0))
+    seen = events.withColumn("seen", running).where("_turn <> 1").join(offsets, [*by, "bin"])
+    return seen.select(*by, "mark.*", (F.col("seen") + F.col("offset")).alias("n"))

@@ -1,6 +1,6 @@
 """All queries of the genomics side by name."""
 
-from . import fields, files, kernels, records, relational  # noqa: F401
+from . import family_queries, fields, files, kernels, records, relational  # noqa: F401
 
 
 def queries() -> dict:

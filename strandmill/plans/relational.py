@@ -511,12 +511,6 @@ def agg_24(s, d):
     return t.select("pair", agg.two_smallest([F.col(c) for c in ("d11", "d12", "d21", "d22")]).alias("m")).select("pair", "m.best", "m.best_index", "m.second")
 
 
-@query("mdl_13", f"with {_DISTS}, l as (select pair, unnest([d11, d12, d21, d22]) as v, unnest([0, 1, 2, 3]) as k from dist), r as (select *, row_number() over (partition by pair order by v, k) as o from l) select pair, cast(case when max(v) filter (o = 1) <= 2500 and max(v) filter (o = 2) >= 2510 then max(k) filter (o = 1) end as int) as inherited from r group by pair")
-def mdl_13(s, d):
-    t = _distances(s, d).select("pair", agg.two_smallest([F.col(c) for c in ("d11", "d12", "d21", "d22")]).alias("m"))
-    return t.select("pair", F.when((F.col("m.best") <= 2500) & (F.col("m.second") >= 2510), F.col("m.best_index")).alias("inherited"))
-
-
 @query("agg_30", "select locus, min(pos) as first_pos, max(end_pos) as last_pos from reads group by 1")
 def agg_30(s, d):
     return pj.reads(s, d).groupBy("locus").agg(F.min("pos").alias("first_pos"), F.max("end_pos").alias("last_pos"))
