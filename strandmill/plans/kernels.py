@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import cigars as cg
@@ -9,6 +11,7 @@ from ..functions import haplotypes as hp
 from ..operators import fixpoint, joins, models
 from ..operators import genotyping as gt
 from ..sources import projection as pj
+from .relational import _posteriors
 
 
 def mdl_01(s, d):
@@ -17,19 +20,15 @@ def mdl_01(s, d):
 
 
 def mdl_16(s, d):
-    """De-novo likelihoods of trios; likelihoods fall with the distance from the called genotype."""
-    people = pj.calls(s, d).withColumn("person", F.substring("sample", 2, 9).cast("int") + 1)
+    """De-novo likelihoods of trios from the genotype posteriors of their reads."""
+    both = F.col("lp") / math.log(10) + F.when(F.col("gt_a") < F.col("gt_b"), math.log10(2)).otherwise(0.0)
+    ordered = F.array_sort(F.collect_list(F.struct("gt_b", "gt_a", both.alias("x"))))
+    gl = _posteriors(s, d).where("gt_a <= gt_b").groupBy("locus", "sample").agg(F.transform(ordered, lambda x: x["x"]).alias("gl"))
+    people = gl.withColumn("person", F.substring("sample", 2, 9).cast("int") + 1)
     kin = s.sql("select * from values (0, 3, 1, 2), (0, 4, 1, 2) as t(family, child, father, mother)")
-    t = joins.trios(kin, people, "person", ["gt_a", "gt_b", "n"])
-
-    def gl(p: str):
-        a, b, n = F.least(p + "gt_a", p + "gt_b"), F.greatest(p + "gt_a", p + "gt_b"), F.col(p + "n")
-        pairs = [(x, y) for y in range(3) for x in range(y + 1)]
-        return F.array(*[(-0.3 * n * (F.abs(a - x) + F.abs(b - y))).cast("double") for x, y in pairs])
-
+    t = joins.trios(kin, people, "person", ["gl"])
     freq = F.array(*[F.log10(F.lit(x)) for x in (0.5, 0.3, 0.2)])
-    rows = t.select("locus", "child", gl("m_").alias("gl_mother"), gl("f_").alias("gl_father"), gl("c_").alias("gl_child"), freq.alias("log_freq"))
-    out = models.de_novo_trios(rows)
+    out = models.de_novo_trios(t.select("locus", "child", F.col("m_gl").alias("gl_mother"), F.col("f_gl").alias("gl_father"), F.col("c_gl").alias("gl_child"), freq.alias("log_freq")))
     at = lambda c: F.array_max(c)
     return out.select("locus", "child", F.round("no_mutation", 6).alias("no_mutation"), F.round(at("de_novo"), 6).alias("best_de_novo"), F.round(at("other"), 6).alias("best_other"))
 

@@ -144,6 +144,31 @@ def scl_16(s, d):
     return _on_loci(s, d).select("rid", cg.sequence_between(F.col("walk"), F.col("bases"), F.col("pos"), F.col("end_pos"), F.col("start"), F.col("stop")).alias("inside"))
 
 
+_LEFT_BY = {
+    "D": "list_position([substr(ref, cast(pos - ref_start + m1 - t + 1 as bigint), 1) <> substr(ref, cast(pos - ref_start + m1 + n - t + 1 as bigint), 1) for t in range(1, cast(m1 as bigint))], true)",
+    "I": "list_position([substr(bases, cast(m1 - t + 1 as bigint), 1) <> substr(bases, cast(m1 + n - t + 1 as bigint), 1) for t in range(1, cast(m1 as bigint))], true)",
+}
+
+
+@query(
+    "scl_15",
+    rf"""with parts as (select rid, cigar, pos, ref_start, ref, bases, regexp_extract(cigar, '^(\d+H)?(\d+)M(\d+)([ID])(\d+)M(.*)$', ['head', 'm1', 'n', 'op', 'm2', 'tail']) as p from alns where cigar <> ''),
+    typed as (select rid, cigar, pos, ref_start, ref, bases, p.head as head, p.op as op, p.tail as tail, try_cast(p.m1 as bigint) as m1, try_cast(p.n as bigint) as n, try_cast(p.m2 as bigint) as m2 from parts),
+    tried as (select *, case when op = 'D' then {_LEFT_BY['D']} when op = 'I' then {_LEFT_BY['I']} end as first from typed),
+    moved as (select *, case when op in ('I', 'D') then coalesce(first - 1, m1 - 1) else 0 end as k from tried)
+    select rid, case when k > 0 then head || (m1 - k) || 'M' || n || op || (m2 + k) || 'M' || tail else cigar end as aligned from moved""",
+)
+def scl_15(s, d):
+    """CIGARs of all reads with indels as far left as they go; equal reads of a locus are worked on once."""
+    r = _alns(s, d).where("cigar <> ''").select("rid", "locus", "pos", "cigar", "bases", "ref", "ref_start")
+    keys = ["locus", "pos", "cigar", "bases"]
+    # A read takes long for its bytes, so partitions are not joined by size.
+    r = r.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), *keys)
+    once = r.groupBy(*keys).agg(F.first("ref").alias("ref"), F.first("ref_start").alias("ref_start"))
+    aligned = once.select(*keys, cg.left_aligned(F.col("cigar"), F.col("bases"), F.col("pos"), F.col("ref"), F.col("ref_start")).alias("aligned"))
+    return r.select("rid", *keys).join(aligned, keys).select("rid", "aligned")
+
+
 _SEEN = "seen as (select w.rid, w.locus, w.sample, s.pos as snp_pos, list_filter(w.w, lambda x: x.op in ('M', '=', 'X') and x.at <= s.pos and x.til > s.pos)[1] as m, w.bases, w.quals from walk w join het_snps s on s.sample = w.sample and s.chrom = w.chrom and s.pos between w.pos and w.end_pos), based as (select rid, locus, sample, snp_pos, coalesce(substr(bases, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as base, coalesce(substr(quals, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as qual from seen)"
 
 

@@ -196,3 +196,49 @@ def test_cigar_walks_equal_the_plain_ones(spark):
         read = ro.Read(pos, ops, bases, "I" * len(bases))
         assert r.change == ro.length_change(read, start, stop) and r.inside == ro.sequence_between(read, start, stop), rows[r.n]
         assert r.base == k.bases_at(list(ops), bases, bases, pos, [start])[0][0]
+
+
+def shifted(ops, bases, pos, ref, ref_start):
+    """One place at a time."""
+    ops = [list(x) for x in ops]
+    k = 0
+    while k < len(ops):
+        op, n = ops[k]
+        at = pos - ref_start + sum(m for o, m in ops[:k] if o in "MD")
+        seen = sum(m for o, m in ops[:k] if o in "MIS")
+        while op in "ID" and k and ops[k - 1][0] == "M" and ops[k - 1][1] > 1 and (ref[at - 1] == ref[at + n - 1] if op == "D" else bases[seen - 1] == bases[seen + n - 1]):
+            ops[k - 1][1] -= 1
+            if k + 1 < len(ops) and ops[k + 1][0] == "M":
+                ops[k + 1][1] += 1
+            else:
+                ops.insert(k + 1, ["M", 1])
+            at, seen = at - 1, seen - 1
+        k += 1
+    return "".join(f"{m}{o}" for o, m in ops)
+
+
+def test_left_alignment_equals_single_steps(spark):
+    from strandmill.functions import cigars as cg
+
+    rng = random.Random(9)
+    rows = []
+    for n in range(500):
+        ops = [("M", rng.randint(1, 12))]
+        for _ in range(rng.randint(0, 3)):
+            ops += [(rng.choice("ID"), rng.randint(1, 4))] + ([("M", rng.randint(1, 9))] if rng.random() < 0.9 else [])
+        ops = [x for i, x in enumerate(ops) if i == 0 or x[0] != ops[i - 1][0]]
+        ops = ([("H", 2)] if rng.random() < 0.2 else []) + ([("S", 3)] if rng.random() < 0.3 else []) + ops + ([("S", 2)] if rng.random() < 0.3 else [])
+        letters = rng.choice(["A", "AC", "ACGT"])
+        bases = "".join(rng.choices(letters, k=sum(m for o, m in ops if o in "MIS")))
+        unit = "".join(rng.choices("ACGT", k=rng.randint(1, 3)))
+        rows.append((n, "".join(f"{m}{o}" for o, m in ops), bases, 5, rng.choice([unit * 40, "".join(rng.choices(letters, k=80))]), 2))
+    df = spark.createDataFrame(rows, "n long, cigar string, bases string, pos long, ref string, ref_start long")
+    c = F.col
+    moved = 0
+    for r in df.select("*", cg.left_aligned(c("cigar"), c("bases"), c("pos"), c("ref"), c("ref_start")).alias("got")).collect():
+        import re
+
+        ops = [(op, int(m)) for m, op in re.findall(r"(\d+)(\D)", r.cigar)]
+        assert r.got == shifted(ops, r.bases, r.pos, r.ref, r.ref_start), r
+        moved += r.got != r.cigar
+    assert moved > 100
