@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cigars as cg
 from ..functions import genetics as g
 from ..operators import filters as flt
-from ..operators import joins, ranges
+from ..operators import columns, joins, ranges
 from ..operators import reads as rd
 from ..sources import projection as pj
 from ..sources import vcf_index
@@ -169,6 +169,47 @@ def scl_15(s, d):
     return r.select("rid", *keys).join(aligned, keys).select("rid", "aligned")
 
 
+_GAPS = "ins as (select locus, s.at as place, max(s.n) as size from (select locus, unnest(w) as s from walk) where s.op = 'I' group by 1, 2), gaps as (select locus, map_from_entries(list({'k': place, 'v': size})) as gaps from ins group by 1), bounds as (select locus, min(pos) as first, max(end_pos) as last from walk group by 1), laid as (select w.*, first, last, gaps from walk w join bounds using (locus) left join gaps using (locus))"
+_GAP = "coalesce(gaps[{p}], 0)"
+_OWN = "list_filter(w, lambda s: s.op = 'I' and s.at = {p})[1]"
+_HELD = f"coalesce(substr(bases, cast(({_OWN}).seen + 1 as bigint), ({_OWN}).n), '')"
+_BASE_AT = "coalesce(substr(bases, cast((list_filter(w, lambda s: s.op in ('M', '=', 'X') and s.at <= p and s.til > p)[1]).seen + p - (list_filter(w, lambda s: s.op in ('M', '=', 'X') and s.at <= p and s.til > p)[1]).at + 1 as bigint), 1), '-')"
+_BLANK = f"repeat(' ', cast({_GAP.format(p='p')} + 1 as bigint))"
+_PLACE = f"case when p > pos or {_OWN.format(p='p')} is not null then rpad({_HELD.format(p='p')}, cast({_GAP.format(p='p')} as int), '-') else repeat(' ', cast({_GAP.format(p='p')} as bigint)) end || {_BASE_AT}"
+_BEHIND = f"case when {_OWN.format(p='end_pos')} is not null then rpad({_HELD.format(p='end_pos')}, cast({_GAP.format(p='end_pos')} as int), '-') else repeat(' ', cast({_GAP.format(p='end_pos')} as bigint)) end"
+_ROW = f"array_to_string([{_BLANK} for p in range(first, pos)], '') || array_to_string([{_PLACE} for p in range(pos, end_pos)], '') || {_BEHIND} || case when end_pos < last then ' ' || array_to_string([{_BLANK} for p in range(end_pos + 1, last)], '') || repeat(' ', cast({_GAP.format(p='last')} as bigint)) else '' end"
+
+
+@query("scl_25", f"with {_WALK}, {_GAPS} select rid, locus, {_ROW} as row from laid")
+def scl_25(s, d):
+    """All reads of every locus in fixed columns."""
+    reads = _alns(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "locus")
+    return columns.overlaid(reads).select("rid", "locus", "row")
+
+
+def _shown(s, d):
+    """Every second read of every locus, and the reference in the columns that these reads need."""
+    k = F.row_number().over(Window.partitionBy("locus").orderBy("pos", "rid"))
+    reads = _alns(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "locus").where("cigar <> ''").withColumn("k", k).where("k % 2 = 0").drop("k")
+    laid = columns.layout(reads).withColumn("ref", pj.reference("first", "cast(last - first as int)"))
+    reference = columns.reference_row(F.col("ref"), F.col("first"), F.col("first"), F.col("last"), F.col("gaps"))
+    return reads, laid.select("locus", reference.alias("reference"))
+
+
+@query("snk_12")
+def snk_12(s, d):
+    """The reference's row of every locus, in the columns of the reads shown."""
+    return _shown(s, d)[1]
+
+
+@query("snk_08")
+def snk_08(s, d):
+    """Lines of alignment rows as table cells: contig, first and last place, sample, read, cells."""
+    reads, reference = _shown(s, d)
+    laid = columns.overlaid(reads).join(reads.select("rid", "chrom", "sample"), "rid").join(reference, "locus")
+    return laid.select("chrom", F.col("first").alias("start"), F.col("last").alias("stop"), "sample", "rid", columns.html_row(F.col("row"), F.col("reference")).alias("cells"))
+
+
 _SEEN = "seen as (select w.rid, w.locus, w.sample, s.pos as snp_pos, list_filter(w.w, lambda x: x.op in ('M', '=', 'X') and x.at <= s.pos and x.til > s.pos)[1] as m, w.bases, w.quals from walk w join het_snps s on s.sample = w.sample and s.chrom = w.chrom and s.pos between w.pos and w.end_pos), based as (select rid, locus, sample, snp_pos, coalesce(substr(bases, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as base, coalesce(substr(quals, cast(m.seen + snp_pos - m.at + 1 as bigint), 1), '-') as qual from seen)"
 
 
