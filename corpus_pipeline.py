@@ -55,7 +55,8 @@ STAGES = [
     ("byte-level BPE", encoding_stage),
 ]
 
-#: The classifier and the join have no SQL form; tests hold the pipeline against brute force.
+#: The classifier and the join have no SQL form; tests/llm/test_pipeline_brute.py holds all stages but the classifier
+#: against plain forms over what they are given.
 ORACLE_SQL = None
 
 
