@@ -1,11 +1,12 @@
 """Read operators: what a CIGAR, qualities and the reference say of one read, column by column or in Arrow batches.
 
 What a regular expression or an expression over CIGAR elements can say stays in the JVM. Walks along a CIGAR (trims,
-adapters, shifts of an end, bases at positions) run once over a batch, in `edited`.
+adapters, shifts of an end, bases at positions) run over a batch, in `edited`, and only those asked for.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ends
 from ..functions import genetics as g
 from ..functions import kernels as k
 from ..functions import read_ops as ro
@@ -77,40 +79,101 @@ def write_filtered(reads: DataFrame, path: str) -> None:
     reads.select("line").write.text(path)
 
 
-_EDITED = "low_pos int, low_cigar string, low_bases string, adapter_at int, adapter_cigar string, adapter_bases string, near_pos int, near_bases string, length_change int, inside string, largest_ends boolean, snp_bases string"
+#: What `edited` adds, by part.
+_EDITED = {
+    "low": "low_pos int, low_cigar string, low_bases string",
+    "adapter": "adapter_at int, adapter_cigar string, adapter_bases string",
+    "near": "near_pos int, near_bases string",
+    "inside": "length_change int, inside string",
+    "ends": "largest_ends boolean",
+    "snps": "snp_bases string",
+}
+#: Qualities below 5 (Phred 20).
+_LOW = "".join(map(chr, range(ord("5"))))
 
 
-def edited(reads: DataFrame) -> DataFrame:
-    """Adds to reads (cigar, bases, quals, pos, ref, ref_start, mate, reverse, start, stop, at array<int>):
+@functools.lru_cache(1 << 16)
+def _elements(cigar: str) -> tuple[tuple[str, int], ...]:
+    return tuple((op, int(n)) for n, op in ro_split(cigar))
+
+
+@functools.lru_cache(1 << 16)
+def _trimmed(cigar: str, n: int, left: int, right: int) -> tuple[int, str]:
+    """By how much the position moves, and the CIGAR, of a read of n bases that loses so many at its ends."""
+    out = ro.trim(ro.Read(0, _elements(cigar), " " * n, ""), left, right)
+    return out.pos, cigar_text(out.cigar)
+
+
+@functools.lru_cache(1 << 16)
+def _near(cigar: str, n: int, low: int, high: int) -> tuple[int, int, int]:
+    """Bases that go at both ends, and by how much the position moves; low and high from the read's position on."""
+    left, right = ro.ends_beyond(ro.Read(0, _elements(cigar), " " * n, ""), low, high)
+    return left, n - right, _trimmed(cigar, n, left, right)[0]
+
+
+def _low(r: dict) -> tuple:
+    rest = r["quals"].lstrip(_LOW)
+    n, left = len(r["bases"]), len(r["quals"]) - len(rest)
+    right = len(rest) - len(rest.rstrip(_LOW))
+    moved, cigar = _trimmed(r["cigar"], n, left, right)
+    return r["pos"] + moved, cigar, r["bases"][left : max(left, n - right)]
+
+
+def _adapter(r: dict) -> tuple:
+    bases, n = r["bases"], len(r["bases"])
+    at = ro.first_adapter(ro.complement(bases) if r["reverse"] else bases, r["mate"])
+    if at is None:
+        return 0, cigar_text(_elements(r["cigar"])), bases
+    left, right = (n - at, 0) if r["reverse"] else (0, n - at)
+    return n - at, _trimmed(r["cigar"], n, left, right)[1], bases[left : n - right]
+
+
+def _near_locus(r: dict) -> tuple:
+    pos, bases = r["pos"], r["bases"]
+    left, til, moved = _near(r["cigar"], len(bases), r["start"] - 10 - pos, r["stop"] + 9 - pos)
+    return pos + moved, bases[left : max(left, til)]
+
+
+def _inside(r: dict) -> tuple:
+    read = ro.Read(r["pos"], _elements(r["cigar"]), r["bases"], "")
+    return ro.length_change(read, r["start"], r["stop"]), ro.sequence_between(read, r["start"], r["stop"])
+
+
+def _at_snps(r: dict) -> tuple:
+    return ("".join(b for b, _ in k.bases_at(list(_elements(r["cigar"])), r["bases"], r["quals"], r["pos"], r["at"] or [])),)
+
+
+_PARTS = {"low": _low, "adapter": _adapter, "near": _near_locus, "inside": _inside, "snps": _at_snps}
+#: Columns that each part reads.
+NEEDS = {"low": "pos cigar bases quals", "adapter": "cigar bases mate reverse", "near": "pos cigar bases start stop", "inside": "pos cigar bases start stop", "snps": "pos cigar bases quals at", "ends": "pos cigar bases ref ref_start"}
+
+
+def edited(reads: DataFrame, *parts: str) -> DataFrame:
+    """Adds to reads (of cigar, bases, quals, pos, ref, ref_start, mate, reverse, start, stop, at array<int> those that
+    the parts need; no part named: all of them):
 
     low_*: the read without its low-quality ends; adapter_*: without an adapter (adapter_at: bases cut, 0 for none);
     near_*: its part within 10 bases of [start, stop); length_change: inserted less deleted bases there; inside: its
     bases on [start, stop); largest_ends: no shift of an end agrees further; snp_bases: its bases at the positions `at`.
     Reads without a cigar get nulls.
     """
-
-    def one(r: dict) -> tuple:
-        elements = tuple((op, int(n)) for n, op in ro_split(r["cigar"]))
-        read = ro.Read(r["pos"], elements, r["bases"], r["quals"])
-        low = ro.trim(read, *k.trim_by_quality(read.bases, read.quals))
-        cut = ro.trim_adapter(read, r["mate"], r["reverse"])
-        near = ro.trim_to(read, r["start"] - 10, r["stop"] + 9)
-        at = k.bases_at(list(elements), read.bases, read.quals, read.pos, r["at"] or [])
-        return (
-            low.pos, cigar_text(low.cigar), low.bases, len(read.bases) - len(cut.bases), cigar_text(cut.cigar), cut.bases, near.pos, near.bases,
-            ro.length_change(read, r["start"], r["stop"]), ro.sequence_between(read, r["start"], r["stop"]), ro.largest_end_matches(read, r["ref"], r["ref_start"]), "".join(b for b, _ in at),
-        )
-
-    extra = T.StructType.fromDDL(_EDITED)
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()]
+    parts = parts or tuple(_EDITED)
+    extra = {p: T.StructType.fromDDL(_EDITED[p]) for p in parts}
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(r) if r["cigar"] else (None,) * len(kinds) for r in batch.to_pylist()]
-            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *extra.names])
-
-    return reads.mapInArrow(run, T.StructType([*reads.schema.fields, *extra.fields]))
+            columns = list(batch.columns)
+            for part, fields in extra.items():
+                if part == "ends":
+                    columns.append(ends.largest_end_matches(batch, _elements))
+                    continue
+                one, none = _PARTS[part], (None,) * len(fields)
+                rows = [one(r) if r["cigar"] else none for r in batch.select(NEEDS[part].split()).to_pylist()]
+                columns += [pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(f.name for fields in extra.values() for f in fields)])
+
+    return reads.mapInArrow(run, T.StructType([*reads.schema.fields, *(f for fields in extra.values() for f in fields)]))
 
 
 def ro_split(cigar: str) -> list[tuple[str, str]]:

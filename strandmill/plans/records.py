@@ -87,27 +87,26 @@ def snk_04(s, d):
     return _alns(s, d).select("rid", rd.tagged_sam({"name": F.col("rid")} | {c: F.col(c) for c in ("chrom", "pos", "cigar", "bases", "quals")}, reason).alias("line"))
 
 
-def _edited(s, d):
-    """Reads on their locus, with a few positions to read bases at; every seventh is on the reverse strand."""
-    loci = pj.regions(s, d).select("locus", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
-    r = _alns(s, d).select("rid", "locus", F.col("mate").cast("int").alias("mate"), F.col("pos").cast("int").alias("pos"), "cigar", "bases", "quals", F.col("ref_start").cast("int").alias("ref_start"), "ref", (F.col("rname") % 7 == 0).alias("reverse"))
-    at = F.array(*(F.col("pos") + k for k in (0, 12, 30, 45)))
-    return rd.edited(r.join(loci, "locus").withColumn("at", at))
+def _edited(s, d, part, *names):
+    """The part of `edited` of reads on their locus; every seventh is on the reverse strand."""
+    r = pj.alignments_on_loci(s, d)
+    columns = {c: F.col(c).cast("int") for c in ("mate", "pos", "ref_start", "start", "stop")} | {"reverse": F.col("rname") % 7 == 0}
+    return rd.edited(r.select(*names, *(columns.get(c, F.col(c)).alias(c) for c in rd.NEEDS[part].split())), part)
 
 
 @query("scl_01")
 def scl_01(s, d):
-    return _edited(s, d).select("rid", "near_pos", "near_bases")
+    return _edited(s, d, "near", "rid").select("rid", "near_pos", "near_bases")
 
 
 @query("scl_03")
 def scl_03(s, d):
-    return _edited(s, d).select("rid", "low_pos", "low_cigar", "low_bases")
+    return _edited(s, d, "low", "rid").select("rid", "low_pos", "low_cigar", "low_bases")
 
 
 @query("scl_04")
 def scl_04(s, d):
-    return _edited(s, d).select("rid", "adapter_at", "adapter_cigar", "adapter_bases")
+    return _edited(s, d, "adapter", "rid").select("rid", "adapter_at", "adapter_cigar", "adapter_bases")
 
 
 #: Of every read its CIGAR's elements with places: op, n, at (first place), til (behind the last), seen (bases before).
@@ -129,7 +128,7 @@ def _walked(s, d):
 
 
 def _on_loci(s, d):
-    return _walked(s, d).join(pj.regions(s, d).select("locus", "start", "stop"), "locus")
+    return pj.alignments_on_loci(s, d).where("cigar <> ''").select("rid", "pos", "end_pos", "bases", "start", "stop", cg.steps(F.col("cigar"), F.col("pos")).alias("walk"))
 
 
 @query("scl_09", f"with {_WALK}, ends as (select rid, w, pos, end_pos, start, stop, {_LEFT} as a, {_RIGHT} as b from near) select rid, case when start >= pos and stop < end_pos and a is not null and b is not null then cast(coalesce(list_sum(list_transform(list_filter(w, lambda s: s.op in ('I', 'D') and s.at >= a and s.til <= b), lambda s: case when s.op = 'I' then s.n else -s.n end)), 0) as int) end as length_change from ends")
@@ -227,14 +226,14 @@ def scl_22(s, d):
 
 @query("flt_09")
 def flt_09(s, d):
-    return _edited(s, d).where("largest_ends").select("rid")
+    return _edited(s, d, "ends", "rid").where("largest_ends").select("rid")
 
 
 @query("agg_27")
 def agg_27(s, d):
     """Adapters by locus: reads, reads trimmed, bases cut."""
     cut = F.col("adapter_at") > 0
-    return _edited(s, d).groupBy("locus").agg(F.count("*").alias("total"), F.count_if(cut).alias("trimmed"), F.coalesce(F.sum("adapter_at"), F.lit(0)).alias("bases"))
+    return _edited(s, d, "adapter", "locus").groupBy("locus").agg(F.count("*").alias("total"), F.count_if(cut).alias("trimmed"), F.coalesce(F.sum("adapter_at"), F.lit(0)).alias("bases"))
 
 
 @query("ord_06")

@@ -87,10 +87,16 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE = "substr('ACGT', cast(1 + (((p + 64) * (p + 64)) {0} 7 + ((p + 64) {0} 3) * 5) % 11 % 4 as int), 1)"
 
 
+#: The formula repeats every 231 positions: its first term modulo 11 every 77, its second every 33.
+_PERIOD = 231
+_ONE_PERIOD = "".join("ACGT"[(q * q // 7 + q // 3 * 5) % 11 % 4] for q in range(_PERIOD))
+
+
 def reference(low: str, n: str) -> F.Column:
-    """n bases of the reference from position low on."""
-    base = _BASE.format("div")
-    return F.expr(f"case when {n} > 0 then array_join(transform(sequence({low}, {low} + {n} - 1), p -> {base}), '') else '' end")
+    """n bases of the reference from position low on, cut out of its repeated period."""
+    first = f"cast(pmod({low} + 64, {_PERIOD}) as int) + 1"
+    short, long = f"'{_ONE_PERIOD * 2}'", f"repeat('{_ONE_PERIOD}', cast({n} as int) div {_PERIOD} + 2)"
+    return F.expr(f"case when {n} > {_PERIOD} then substring({long}, {first}, cast({n} as int)) when {n} > 0 then substring({short}, {first}, cast({n} as int)) else '' end")
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +108,14 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments_of(reads(spark, sf_dir)).drop("library")
 
 
-def alignments_of(rows: DataFrame) -> DataFrame:
-    r = rows.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "bp_diff", "qual", "library")
+def alignments_on_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments with start and stop of their locus; loci are joined before there are bases, so these are not shuffled."""
+    loci = regions(spark, sf_dir).select("locus", "start", "stop")
+    return alignments_of(reads(spark, sf_dir).join(loci, "locus"), "start", "stop").drop("library")
+
+
+def alignments_of(rows: DataFrame, *more: str) -> DataFrame:
+    r = rows.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "bp_diff", "qual", "library", *more)
     r = r.withColumn("m1", 10 + F.col("qual") % 30).withColumn("ins", F.greatest("bp_diff", F.lit(0))).withColumn("del", F.greatest(-F.col("bp_diff"), F.lit(0)))
     clip = F.when(F.col("mate") == 2, 3).otherwise(0)
     indel = F.when(F.col("bp_diff") > 0, F.concat("ins", F.lit("I"))).when(F.col("bp_diff") < 0, F.concat("del", F.lit("D"))).otherwise("")
@@ -115,7 +127,7 @@ def alignments_of(rows: DataFrame) -> DataFrame:
     r = r.withColumn("clip", clip).withColumn("cigar", F.when(F.col("qual") % 23 == 0, "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
     r = r.withColumn("end_pos", F.expr("pos + m1 + del + 40")).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", reference("pos - 15", "m1 + del + 70"))
     hp = F.when(F.col("qual") % 3 > 0, F.col("qual") % 3)
-    return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"), "library")
+    return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"), "library", *more)
 
 
 def _reference_sql(low: str, n: str) -> str:
