@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +52,24 @@ def grouped_log_sum_exp(rows: DataFrame, keys: list[str], value: str) -> DataFra
 def genotype_posteriors(reads: DataFrame, alleles: int, likelihood) -> DataFrame:
     """(locus, sample, gt_a, gt_b, lp) from reads; likelihood(allele) gives a read's ln likelihood of an allele.
 
-    Each read is spread over the ordered genotypes in place, summed with combining before the shuffle, then
-    normalised within its sample.
+    A group is one row with a sum for each pair of alleles until its genotypes are normalised, and is spread last, so
+    what is shuffled is reads or one row for a group; rows stay with their locus and sample.
     """
-    ls = F.array(*[likelihood(F.lit(k)) for k in range(alleles)])
-    pairs = F.array(*[F.struct(F.lit(a).alias("gt_a"), F.lit(b).alias("gt_b")) for a in range(alleles) for b in range(alleles)])
-    spread = reads.withColumn("_ls", ls).select("locus", "sample", "_ls", F.explode(pairs).alias("_gt"))
-    ll = g.log_sum_exp_2(F.element_at("_ls", F.col("_gt.gt_a") + 1), F.element_at("_ls", F.col("_gt.gt_b") + 1)) + g.LN_HALF
-    sums = spread.groupBy("locus", "sample", F.col("_gt.gt_a").alias("gt_a"), F.col("_gt.gt_b").alias("gt_b")).agg(F.sum(ll).alias("ll"))
-    joint = sums.withColumn("lp", F.col("ll") + g.genotype_prior(F.col("gt_a"), F.col("gt_b"), F.lit(alleles)))
-    own = Window.partitionBy("locus", "sample")
-    top = joint.withColumn("_top", F.max("lp").over(own))
-    return top.withColumn("lp", F.col("lp") - F.col("_top") - F.log(F.sum(F.exp(F.col("lp") - F.col("_top"))).over(own))).drop("_top")
+    each = reads.select("locus", "sample", *(likelihood(F.lit(k)).alias(f"_{k}") for k in range(alleles)))
+
+    def of_both(a: Column, b: Column) -> Column:
+        plain = F.log(0.5 * F.exp(a) + 0.5 * F.exp(b))
+        return F.when(F.greatest(a, b) > -700, plain).otherwise(g.log_sum_exp_2(a, b) + g.LN_HALF)
+
+    sums = each.groupBy("locus", "sample").agg(*(F.sum(of_both(F.col(f"_{a}"), F.col(f"_{b}"))).alias(f"_{a}_{b}") for a in range(alleles) for b in range(a, alleles)))
+    prior = math.log(alleles), math.log(alleles + 1)
+    # Sums stay apart from what is made of them: one expression for all would be worked out again for each genotype.
+    joint = sums.select("locus", "sample", *((F.col(c) + F.lit(math.log(2) if c.split("_")[1] == c.split("_")[2] else 0.0) - prior[0] - prior[1]).alias(c) for c in sums.columns[2:]))
+    every = [F.col(f"_{min(a, b)}_{max(a, b)}") for a in range(alleles) for b in range(alleles)]
+    topped = joint.withColumn("_top", F.greatest(*every) if alleles > 1 else every[0])
+    total = topped.withColumn("_total", F.log(functools.reduce(lambda x, y: x + y, (F.exp(c - F.col("_top")) for c in every))))
+    rows = [F.struct(F.lit(a).alias("gt_a"), F.lit(b).alias("gt_b"), (every[a * alleles + b] - F.col("_top") - F.col("_total")).alias("lp")) for a in range(alleles) for b in range(alleles)]
+    return total.select("locus", "sample", F.inline(F.array(*rows)))
 
 
 def best_genotype(posteriors: DataFrame) -> DataFrame:

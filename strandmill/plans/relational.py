@@ -446,7 +446,7 @@ def agg_10(s, d):
 @query("agg_11", f"with {_POST_SQL} select locus, sample, least(gt_a, gt_b) as a, greatest(gt_a, gt_b) as b, round(sum(exp(lp)), 5) as p from post group by 1, 2, 3, 4")
 def agg_11(s, d):
     p = _posteriors(s, d).select("locus", "sample", F.least("gt_a", "gt_b").alias("a"), F.greatest("gt_a", "gt_b").alias("b"), "lp")
-    return agg.grouped_log_sum_exp(p, ["locus", "sample", "a", "b"], "lp").select("locus", "sample", "a", "b", F.round(F.exp("lse"), 5).alias("p"))
+    return p.groupBy("locus", "sample", "a", "b").agg(F.round(F.sum(F.exp("lp")), 5).alias("p"))
 
 
 @query(
@@ -457,7 +457,9 @@ def agg_12(s, d):
     p = _posteriors(s, d).where("gt_a >= gt_b").withColumn("gl", F.round(F.col("lp") / 2.302585092994046, 6))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("gt_a", "gt_b", "gl"))), lambda r: r["gl"])
     best = F.array_max("gls")
-    pl = F.transform("gls", lambda x: F.least(F.lit(999), F.round(-10 * (x - best), 4).cast("int")).cast("string"))
+    # Four decimals of the product, as SQL rounds: 18.99995 lies below its half as a double, and is no 19.
+    phred = lambda x: F.round(-10 * (x - best) * 10000) / 10000
+    pl = F.transform("gls", lambda x: F.least(F.lit(999), phred(x).cast("int")).cast("string"))
     return p.groupBy("locus", "sample").agg(rows.alias("gls")).select("locus", "sample", F.array_join(pl, ",").alias("pl"))
 
 
