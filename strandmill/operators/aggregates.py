@@ -22,10 +22,10 @@ def pool_reads(reads: DataFrame, keys: list[str], quality: str) -> DataFrame:
     return reads.groupBy(*keys).agg(F.count("*").alias("n_reads"), F.element_at(ordered, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("median_quality"))
 
 
-def allele_support(reads: DataFrame, allele: str) -> DataFrame:
+def allele_support(reads: DataFrame, allele: str, number: str | None = None) -> DataFrame:
     """For each locus and allele: reads, the sum of the samples' fractions, samples in which it is strong (two reads
-    and a fifth of the sample's), and whether it is a candidate."""
-    per_sample = reads.groupBy("locus", "sample", allele).agg(F.count("*").alias("n"))
+    and a fifth of the sample's), and whether it is a candidate. number: how many reads a row stands for."""
+    per_sample = reads.groupBy("locus", "sample", allele).agg((F.sum(number) if number else F.count("*")).alias("n"))
     total = F.sum("n").over(Window.partitionBy("locus", "sample"))
     per_sample = per_sample.withColumn("share", F.col("n") / total)
     out = per_sample.groupBy("locus", allele).agg(

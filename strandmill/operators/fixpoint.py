@@ -2,7 +2,7 @@
 
 All loci are worked on at once. Equal reads of a sample are one row with their number, so a deep locus is spread by its
 different sequences. A round scores the distinct sequences of the loci still active against their new alleles only;
-scores are kept as tables, one a round, and never made again. A locus without a new allele is finished: its genotypes
+scores are kept as tables, one a round with a row for each sequence of an active locus, and never made again. A locus without a new allele is finished: its genotypes
 are kept, and later rounds do not read its rows. Rounds end when no locus is active.
 
 Samples and alleles of a locus meet in sums over (locus, sample, genotype), which combine before the shuffle; what is
@@ -48,15 +48,34 @@ class Fixpoint:
     scores: list[DataFrame] = field(default_factory=list)
 
 
-def _by_sequence(scores: DataFrame, alleles: DataFrame) -> DataFrame:
-    """(locus, seq, s): for each sequence its locus' alleles in order of their numbers, with length and score."""
-    own = scores.join(alleles.select("locus", "allele", F.length("aseq").alias("size")), ["locus", "allele"])
-    return own.groupBy("locus", "seq").agg(F.array_sort(F.collect_list(F.struct("allele", "size", "lp"))).alias("s"))
+def _scored(seqs: DataFrame, new: DataFrame, periods: DataFrame, score: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """(locus, seq, s): what seqs hold in s (nothing, if they have no such column) and the scores of the new alleles of
+    their locus, in order of their numbers. A locus has few alleles, so they are gathered; its sequences are not."""
+    listed = new.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("allele", "aseq"))).alias("new")).join(periods, "locus")
+    own = F.transform("new", lambda a: F.struct(a["allele"].alias("allele"), F.length(a["aseq"]).alias("size"), score(F.col("seq"), a["aseq"], F.col("period")).alias("lp")))
+    return seqs.join(listed, "locus").select("locus", "seq", F.concat("s", own).alias("s") if "s" in seqs.columns else own.alias("s"))
+
+
+def _spread(by_sequence: DataFrame) -> DataFrame:
+    """(locus, seq, allele, lp)."""
+    return by_sequence.select("locus", "seq", F.inline("s")).select("locus", "seq", "allele", "lp")
+
+
+def _new_only(by_sequence: DataFrame, new: DataFrame) -> DataFrame:
+    return _spread(by_sequence).join(new.select("locus", "allele"), ["locus", "allele"], "left_semi").select("locus", "seq", "allele", "lp")
+
+
+def _kept(by_sequence: DataFrame, keep: DataFrame) -> DataFrame:
+    """Scores of the alleles kept only; loci without any go."""
+    own = keep.groupBy("locus").agg(F.collect_set("allele").alias("own"))
+    return by_sequence.join(own, "locus").select("locus", "seq", F.filter("s", lambda x: F.array_contains("own", x["allele"])).alias("s"))
 
 
 def _genotyped(pooled: DataFrame, by_sequence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The best genotype of each sample, and each pooled sequence with the allele that it is given to."""
-    reads = pooled.join(by_sequence, ["locus", "seq"])
+    # Dealt by sample before each pair of alleles has a row: scores are shuffled, not genotypes.
+    parts = int(pooled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reads = pooled.join(by_sequence, ["locus", "seq"]).repartition(parts, "locus", "sample")
     pair = lambda x, y: F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y))) - math.log(2)
     of_b = F.transform("s", lambda y, b: F.transform(F.slice("s", F.lit(1), b + 1), lambda x: F.struct(x["allele"].alias("gt_a"), y["allele"].alias("gt_b"), pair(x["lp"], y["lp"]).alias("lp"))))
     rows = reads.select("locus", "sample", "n", F.inline(F.flatten(of_b)))
@@ -108,34 +127,33 @@ def to_fixpoint(
 
     ref = loci.join(pooled.select("locus").distinct(), "locus", "left_semi").select("locus", F.lit(0).cast("long").alias("allele"), F.col("ref").alias("aseq"), F.lit(0).alias("round"))
     ref = written(ref, "alleles")
-    strong = agg.allele_support(spans, "seq").where("candidate").select("locus", "seq").join(ref.select("locus", F.col("aseq").alias("seq")), ["locus", "seq"], "left_anti")
+    strong = agg.allele_support(pooled, "seq", "n").where("candidate").select("locus", "seq").join(ref.select("locus", F.col("aseq").alias("seq")), ["locus", "seq"], "left_anti")
     new = written(ref.unionByName(_numbered(strong, ref, 0).withColumn("allele", F.col("allele").cast("long"))), "alleles")
     discard(ref)
-    alleles, scores, finals, lost = new, [], [], []
-    active = new.select("locus").distinct()
-    number = 0
+    alleles, scores, finals, lost, done = new, [], [], [], []
+    state, number = seqs, 0
     while True:
-        scored = seqs.join(new, "locus").join(periods, "locus").select("locus", "seq", "allele", score(F.col("seq"), F.col("aseq"), F.col("period")).alias("lp"))
-        scores.append(written(scored, "scores"))
-        every = scores[0] if len(scores) == 1 else _union(scores).join(active, "locus", "left_semi")
-        own = pooled if number == 0 else pooled.join(active, "locus", "left_semi")
-        best, given = _genotyped(own, _by_sequence(every, alleles))
+        state = written(_scored(state, new, periods, score), "scores")
+        scores.append(_spread(state) if number == 0 else _new_only(state, new))
+        own = pooled if number == 0 else pooled.join(new.select("locus").distinct(), "locus", "left_semi")
+        best, given = _genotyped(own, state)
         odd = given.withColumn("whole", F.sum("n").over(totals)).where((F.col("step") != 0) & (F.col("n") >= least) & (F.col("n") >= share * F.col("whole")))
         odd = odd.select("locus", "seq").distinct().join(alleles.select("locus", F.col("aseq").alias("seq")), ["locus", "seq"], "left_anti")
         found = written(_numbered(odd, alleles, number + 1).withColumn("allele", F.col("allele").cast("long")), "alleles")
         over = found.where(F.col("allele") >= most).select("locus").distinct()
         lost.append(written(over, "lost"))
-        finals.append(best.join(found.select("locus").distinct(), "locus", "left_anti"))
+        going = found.select("locus").distinct()
+        finals.append(best.join(going, "locus", "left_anti"))
+        done.append(state.join(going, "locus", "left_anti"))
         new = found.join(lost[-1], "locus", "left_anti")
         if new.isEmpty():
             break
         number += 1
         alleles = alleles.unionByName(new)
-        active = new.select("locus").distinct()
     given_up = _union(lost)
     genotypes = _union(finals)
     alleles = alleles.join(given_up, "locus", "left_anti")
-    every = _union(scores)
+    every = _union(done)
     if prune:
         alive = pooled.join(given_up, "locus", "left_anti")
         keep = written(_called(genotypes, alleles), "kept")
@@ -166,19 +184,18 @@ def _again(genotypes: DataFrame, pooled: DataFrame, scores: DataFrame, alleles:
     gone = written(gone, "affected")
     if gone.isEmpty():
         return genotypes, keep
-    own = scores.join(gone, "locus", "left_semi").join(keep, ["locus", "allele"], "left_semi")
-    best, _ = _genotyped(pooled.join(gone, "locus", "left_semi"), _by_sequence(own, keep))
+    own = _kept(scores.join(gone, "locus", "left_semi"), keep)
+    best, _ = _genotyped(pooled.join(gone, "locus", "left_semi"), own)
     return genotypes.join(gone, "locus", "left_anti").unionByName(best), keep
 
 
 def _again_given(genotypes: DataFrame, pooled: DataFrame, scores: DataFrame, keep: DataFrame) -> DataFrame:
     """Alleles that some read is given to without stutter."""
-    called = genotypes.select("locus", "sample", "gt_a", "gt_b")
-    reads = pooled.join(called, ["locus", "sample"])
-    sized = scores.join(keep.select("locus", "allele", F.length("aseq").alias("size")), ["locus", "allele"])
-    each = reads.join(sized, ["locus", "seq"]).where((F.col("allele") == F.col("gt_a")) | (F.col("allele") == F.col("gt_b")))
-    order = F.row_number().over(Window.partitionBy("locus", "sample", "seq").orderBy(-F.round("lp", 9), "allele"))
-    return each.withColumn("k", order).where("k = 1").where(F.length("seq") == F.col("size")).select("locus", "allele").distinct()
+    reads = pooled.join(genotypes.select("locus", "sample", "gt_a", "gt_b"), ["locus", "sample"]).join(_kept(scores, keep), ["locus", "seq"])
+    called = F.filter("s", lambda x: (x["allele"] == F.col("gt_a")) | (x["allele"] == F.col("gt_b")))
+    first = F.array_min(F.transform(called, lambda x: F.struct((-F.round(x["lp"], 9)).alias("lp"), x["allele"].alias("allele"), x["size"].alias("size"))))
+    each = reads.select("locus", "seq", first.alias("first"))
+    return each.where(F.length("seq") == F.col("first.size")).select("locus", "first.allele").distinct()
 
 
 def _renumbered(genotypes: DataFrame, alleles: DataFrame, keep: DataFrame, given_up: DataFrame, scores: list[DataFrame]) -> Fixpoint:
