@@ -136,6 +136,51 @@ def align(read: str, ref: str, match: float = 2.0, mismatch: float = -2.0, gap_o
     return score, run_lengths(reversed(ops))
 
 
+def align_on_diagonals(reads: list[str], refs: list[str], match: float = 2.0, mismatch: float = -2.0, gap_open: float = 5.0, gap_extend: float = 0.125, rows: int = 2048) -> list[tuple[float, str] | None]:
+    """`align` (with free ends of the reference) of the pairs whose best alignment lies on one diagonal, or on two that
+    one deletion links with every base equal; None for all others, which `align` has to settle.
+
+    Both kinds are scored in full. A pair counts as settled only if its best score is above what any other alignment
+    could have (a gap and a mismatch, an inserted base, two gaps) and only one kind has it. Of equal ends the leftmost
+    is taken and the deletion stands as far left as it can, as there.
+    """
+    out: list[tuple[float, str] | None] = [None] * len(reads)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(reads, refs, strict=True)):
+        if 0 < len(a) <= len(b) and a.isascii() and b.isascii() and gap_extend > 0 and match > mismatch:
+            groups.setdefault((len(a), len(b)), []).append(i)
+    for (n, m), members in groups.items():
+        least = max(n * match - gap_open - (match - mismatch), (n - 1) * match - gap_open, n * match - 2 * gap_open)
+        for low in range(0, len(members), rows):
+            own = members[low : low + rows]
+            a = np.frombuffer("".join(reads[i] for i in own).upper().encode(), np.uint8).reshape(-1, n)
+            b = np.frombuffer("".join(refs[i] for i in own).upper().encode(), np.uint8).reshape(-1, m)
+            equal = np.lib.stride_tricks.sliding_window_view(b, n, axis=1) == a[:, None]  # [pair, diagonal, base]
+            wrong = n - equal.sum(2)
+            at = wrong.argmin(1)
+            k = wrong[np.arange(len(own)), at]
+            plain = n * match - (match - mismatch) * k
+            before = np.where(wrong > 0, equal.argmin(2), n)
+            behind = np.where(wrong > 0, equal[:, :, ::-1].argmin(2), n)
+            gap, to = np.zeros(len(own), int), np.zeros(len(own), int)
+            for d in range(1, m - n + 1):
+                if n * match - gap_open - gap_extend * (d - 1) <= least:
+                    break
+                fits = before[:, :-d] + behind[:, d:] >= n
+                new = (gap == 0) & (k > 0) & fits.any(1)
+                gap[new], to[new] = d, fits[new].argmax(1) + d
+            linked = np.where(gap > 0, n * match - gap_open - gap_extend * (gap - 1), -np.inf)
+            known = (np.maximum(plain, linked) > least) & (plain != linked) & ~((a == 78).any(1) | (b == 78).any(1))
+            for r in np.flatnonzero(known).tolist():
+                if linked[r] > plain[r]:
+                    s = n - int(behind[r, to[r]])
+                    out[own[r]] = float(linked[r]), f"{s}={gap[r]}D{n - s}="
+                else:
+                    runs = "".join("=" if x else "X" for x in equal[r, at[r]].tolist()) if k[r] else None
+                    out[own[r]] = float(plain[r]), run_lengths(runs) if runs else f"{n}="
+    return out
+
+
 def run_lengths(ops) -> str:
     out: list[list] = []
     for op in ops:

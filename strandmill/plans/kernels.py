@@ -37,7 +37,9 @@ def scl_11(s, d):
     """Alignments of reads to their neighbourhood. The reads lie end to end over the whole sequence, 63 bases each (the
     last one fewer) less the middle three; pos is a read's first base, from 0. The neighbourhood has 10 bases before
     and 17 after."""
-    pieces = pj.sequences(s, d).select("doc_id", F.regexp_extract_all("seq", F.lit("(.{1,63})"), 1).alias("p"))
+    # Aligning takes long for the bytes of a text, so texts are dealt evenly, not as their files lie.
+    texts = pj.sequences(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")))
+    pieces = texts.select("doc_id", F.regexp_extract_all("seq", F.lit("(.{1,63})"), 1).alias("p"))
 
     def tile(x, i):
         read = F.concat(F.substring(x, 1, 30), F.substring(x, 34, 30))
