@@ -89,6 +89,88 @@ def learn_stutter(diffs: np.ndarray, sample: np.ndarray, period: int, p1: np.nda
     return None
 
 
+def learn_stutter_many(alleles: np.ndarray, counts: np.ndarray, present: np.ndarray, period: np.ndarray) -> list[dict | None]:
+    """`learn_stutter` without phases for many loci that have equally many alleles, all rounds of all loci together;
+    a locus that has settled leaves.
+
+    alleles: [locus, allele], the length difference of each, 0 first, none twice. counts: [locus, sample, allele], how
+    many reads of the sample have it. present: [locus, sample], whether there is such a sample.
+    """
+    n_loci, n = alleles.shape
+    out: list[dict | None] = [None] * n_loci
+    keys = ("in_geom", "in_up", "in_down", "out_geom", "out_up", "out_down")
+    counts, people = np.asarray(counts, float), present.sum(1)
+    depth = counts.sum(2)
+    weight = 1 + (counts / np.where(depth > 0, depth, 1)[:, :, None]).sum(1)
+    prior = np.log(weight / weight.sum(1, keepdims=True))
+    step = alleles[:, :, None] - alleles[:, None, :]  # [locus, difference read, allele]
+    whole = np.trunc(step / period[:, None, None]).astype(int)
+    frame, up = step - whole * period[:, None, None] == 0, step > 0
+    kind = np.where(step == 0, 0, np.where(frame, np.where(up, 1, 2), np.where(up, 3, 4)))
+    size = np.where(frame, np.abs(whole), np.abs(step - whole)).astype(float)
+    of_kind = (kind[:, None] == np.arange(5)[None, :, None, None]).reshape(n_loci, 5, n * n).astype(float)
+    flat, size = kind.reshape(n_loci, -1), size.reshape(n_loci, -1)
+    model, last, at = np.tile([EM_START[c] for c in keys], (n_loci, 1)), np.full(n_loci, -np.inf), np.arange(n_loci)
+    # Genotypes are unordered here: post is that of either order, `ways` how many there are, `within` their alleles.
+    one, two = np.triu_indices(n)
+    ways, within = np.where(one == two, 1.0, 2.0), np.zeros((len(one), n))
+    within[np.arange(len(one)), one] = within[np.arange(len(one)), two] = 1
+    # beyond so many steps, chances of the least likely ones would vanish before they are added
+    spread = size.max() > 80
+
+    def give(done: np.ndarray, values: np.ndarray) -> None:
+        for i in np.flatnonzero(done):
+            out[at[i]] = dict(zip(keys, values[i].tolist(), strict=True))
+
+    for _ in range(EM_ROUNDS):
+        in_geom, in_up, in_down, out_geom, out_up, out_down = model.T
+        same = np.log(1 - in_up - in_down - out_up - out_down)
+        first = np.stack([same, *(np.log(x) + np.log(g) for x, g in ((in_up, in_geom), (in_down, in_geom), (out_up, out_geom), (out_down, out_geom)))], axis=1)
+        more = np.stack([np.zeros(len(at)), *(np.log(1 - g) for g in (in_geom, in_geom, out_geom, out_geom))], axis=1)
+        like = (np.take_along_axis(first, flat, 1) + (size - 1) * np.take_along_axis(more, flat, 1)).reshape(-1, n, n)
+        if spread:
+            both = np.logaddexp(like[:, :, one], like[:, :, two])
+        else:
+            top = like.max(2)
+            chance = np.exp(like - top[:, :, None])
+            pair = chance[:, :, one] + chance[:, :, two]
+            both = np.log(pair)
+            both += top[:, :, None]
+        joint = (prior[:, one] + prior[:, two])[:, None] + counts @ both + math.log(0.5) * counts.sum(2, keepdims=True)
+        most = joint.max(2, keepdims=True)
+        post = np.exp(joint - most)
+        total = (post @ ways)[:, :, None]
+        now = ((np.log(total) + most)[:, :, 0] * present).sum(1)
+        post *= present[:, :, None] / total
+        prior = np.log(np.maximum(post.sum(1) @ within / people[:, None], 1e-300))
+        held = counts.transpose(0, 2, 1) @ post
+        if spread:
+            w = np.zeros(like.shape)
+            for x in range(n):
+                with_x = np.flatnonzero(within[:, x])
+                w[:, :, x] = (held[:, :, with_x] * np.exp(like[:, :, x, None] - both[:, :, with_x])).sum(2)
+        else:
+            w = chance * ((held / pair) @ within)
+        w = 2 * w.reshape(-1, n * n)
+        by_kind = (of_kind @ w[:, :, None])[:, :, 0]
+        sized = (of_kind @ (w * size)[:, :, None])[:, :, 0]
+        in_eq, in_up, in_down, out_up, out_down = by_kind.T + 1
+        seen = in_up + in_down + in_eq + out_up + out_down
+        new = np.stack([np.minimum(0.999, (in_up + in_down) / (sized[:, 1] + sized[:, 2] + 2.1)), in_up / seen, in_down / seen, np.minimum(0.999, (out_up + out_down) / (sized[:, 3] + sized[:, 4] + 2.1)), out_up / seen, out_down / seen], axis=1)
+        fell = now < last + 1e-10
+        with np.errstate(invalid="ignore"):
+            settled = ~fell & (((now - last < EM_ABS) & ((last - now) / last < EM_FRACTION)) | (np.abs(new - model) < EM_STEP).all(1))
+        give(fell, model)
+        give(settled, new)
+        stay = ~(fell | settled)
+        if not stay.any():
+            break
+        model, last = new, now
+        if not stay.all():
+            at, model, last, prior, counts, present, people, flat, size, of_kind = (x[stay] for x in (at, model, last, prior, counts, present, people, flat, size, of_kind))
+    return out
+
+
 def align(read: str, ref: str, match: float = 2.0, mismatch: float = -2.0, gap_open: float = 5.0, gap_extend: float = 0.125, free_ref_ends: bool = True) -> tuple[float, str]:
     """Affine-gap alignment of the whole read to the reference: score and a CIGAR of =, X, I and D.
 
