@@ -12,7 +12,7 @@ from ..operators import columns, joins, ranges
 from ..operators import reads as rd
 from ..sources import projection as pj
 from ..sources import vcf_index
-from ..sources.shared import fresh
+from ..sources.shared import fresh, written
 from .relational import _DISTS, _distances, query
 
 
@@ -158,14 +158,9 @@ _LEFT_BY = {
     select rid, case when k > 0 then head || (m1 - k) || 'M' || n || op || (m2 + k) || 'M' || tail else cigar end as aligned from moved""",
 )
 def scl_15(s, d):
-    """CIGARs of all reads with indels as far left as they go; equal reads of a locus are worked on once."""
-    r = _alns(s, d).where("cigar <> ''").select("rid", "locus", "pos", "cigar", "bases", "ref", "ref_start")
-    keys = ["locus", "pos", "cigar", "bases"]
-    # A read takes long for its bytes, so partitions are not joined by size.
-    r = r.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), *keys)
-    once = r.groupBy(*keys).agg(F.first("ref").alias("ref"), F.first("ref_start").alias("ref_start"))
-    aligned = once.select(*keys, cg.left_aligned(F.col("cigar"), F.col("bases"), F.col("pos"), F.col("ref"), F.col("ref_start")).alias("aligned"))
-    return r.select("rid", *keys).join(aligned, keys).select("rid", "aligned")
+    """CIGARs of all reads with indels as far left as they go."""
+    aligned = cg.left_aligned(F.col("cigar"), F.col("bases"), F.col("pos"), F.col("ref"), F.col("ref_start"))
+    return _alns(s, d).where("cigar <> ''").select("rid", aligned.alias("aligned"))
 
 
 _GAPS = "ins as (select locus, s.at as place, max(s.n) as size from (select locus, unnest(w) as s from walk) where s.op = 'I' group by 1, 2), gaps as (select locus, map_from_entries(list({'k': place, 'v': size})) as gaps from ins group by 1), bounds as (select locus, min(pos) as first, max(end_pos) as last from walk group by 1), laid as (select w.*, first, last, gaps from walk w join bounds using (locus) left join gaps using (locus))"
@@ -189,7 +184,9 @@ def scl_25(s, d):
 def _shown(s, d):
     """Every second read of every locus, and the reference in the columns that these reads need."""
     k = F.row_number().over(Window.partitionBy("locus").orderBy("pos", "rid"))
-    reads = _alns(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "locus").where("cigar <> ''").withColumn("k", k).where("k % 2 = 0").drop("k")
+    reads = _alns(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "locus").where("cigar <> ''").withColumn("k", k).where("k % 2 = 0")
+    # Rows, layout and reference read them: they are made once.
+    reads = written(reads.select("rid", "locus", "chrom", "sample", "pos", "end_pos", "cigar", "bases"), "shown")
     laid = columns.layout(reads).withColumn("ref", pj.reference("first", "cast(last - first as int)"))
     reference = columns.reference_row(F.col("ref"), F.col("first"), F.col("first"), F.col("last"), F.col("gaps"))
     return reads, laid.select("locus", reference.alias("reference"))
@@ -205,7 +202,7 @@ def snk_12(s, d):
 def snk_08(s, d):
     """Lines of alignment rows as table cells: contig, first and last place, sample, read, cells."""
     reads, reference = _shown(s, d)
-    laid = columns.overlaid(reads).join(reads.select("rid", "chrom", "sample"), "rid").join(reference, "locus")
+    laid = columns.overlaid(reads, "chrom", "sample").join(reference, "locus")
     return laid.select("chrom", F.col("first").alias("start"), F.col("last").alias("stop"), "sample", "rid", columns.html_row(F.col("row"), F.col("reference")).alias("cells"))
 
 
@@ -379,11 +376,7 @@ def snk_14(s, d):
 @query("win_04", "select doc_id, k, run[1] as base, cast(length(run) as bigint) as n, cast(sum(length(run)) over (partition by doc_id order by k) - length(run) as bigint) as start from (select doc_id, unnest(runs) as run, unnest(range(1, len(runs) + 1)) as k from (select doc_id, regexp_extract_all(seq, 'A+|C+|G+|T+') as runs from seqs))")
 def win_04(s, d):
     """Homopolymers of every sequence: a base at start + i has i equal ones to its left and n - 1 - i to its right."""
-    runs = pj.sequences(s, d).select("doc_id", F.regexp_extract_all("seq", F.lit("A+|C+|G+|T+"), F.lit(0)).alias("runs"))
-    rows = runs.select("doc_id", F.posexplode("runs").alias("k", "run"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length("run").cast("long")
-    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("k"), F.left("run", F.lit(1)).alias("base"), n.alias("n"), F.coalesce(F.sum(n).over(before), F.lit(0)).cast("long").alias("start"))
+    return columns.homopolymers(pj.sequences(s, d).select("doc_id", "seq"))
 
 
 # Chances of an insertion or deletion after a homopolymer of 1 to 10 bases; beyond, they grow in steps.
