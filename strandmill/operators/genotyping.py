@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import haplotypes as hp
 from ..functions import read_ops as ro
+from ..functions.cigars import texts
 from . import aggregates as agg
 from .reads import cigar_text, ro_split
 
@@ -31,7 +32,9 @@ def _add(rows: DataFrame, inputs: list[str], new: str, types: list[pa.DataType],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict = {}
-            values = [batch.column(batch.schema.names.index(c)).to_pylist() for c in inputs]
+            columns = [batch.column(batch.schema.names.index(c)) for c in inputs]
+            # Flat columns without nulls go by way of numpy, which takes a fraction of the time.
+            values = [texts(x) if not x.null_count and not pa.types.is_nested(x.type) else x.to_pylist() for x in columns]
             out = []
             for v in zip(*values, strict=True):
                 key = repr(v)

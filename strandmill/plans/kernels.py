@@ -64,7 +64,7 @@ def scl_18(s, d):
 
 def scl_14(s, d):
     """CIGARs that tell matches from mismatches, and bases without clips."""
-    return gt.matching_reads(pj.alignments(s, d).where("cigar <> ''")).select("rid", "matched", "kept")
+    return gt.matching_reads(pj.alignments(s, d).where("cigar <> ''").select("rid", "pos", "cigar", "bases", "ref_start", "ref")).select("rid", "matched", "kept")
 
 
 def _to_fixpoint(s, d):
