@@ -67,11 +67,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts the lineage and survives a lost executor."""
+#: Spark deletes the shuffles of a statement when it ends, not when the driver happens to collect its garbage.
+_FREE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage and survives a lost executor. free: the shuffles
+    that made it are deleted at once; `df` is not to be run again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_CONF, "false")
+    spark.conf.set(_FREE_CONF, "true" if free else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

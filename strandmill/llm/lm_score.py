@@ -1,12 +1,14 @@
 """Stupid-backoff scores from n-gram count tables that are partitioned by hash.
 
-Documents are dealt to batches by a hash of id and text. A batch counts its n-grams of every order and sends each
-distinct one once, with its count, to the bucket of its hash; that combining keeps a frequent n-gram down to one
-entry for each batch. A bucket adds the counts up and answers every batch in the order it was asked, so the join of
-count tables and exploded n-grams needs neither the n-grams sent back nor a row for each. The batch, joined with its
-answers, sums the scores of its documents. There are as many buckets as batches, a number that follows the words of
-the corpus: what is sent is a row for each pair of them, as in any shuffle, so raise `batch_words` with the memory
-of a worker where the corpus is very large.
+Documents are dealt to batches by a hash of id and text. A batch becomes one row: its ids, the distinct hashes of its
+words, and for each place the number of its word; texts move once and are hashed once. Order by order, a batch counts
+its n-grams and sends each distinct one once, with its count, to the bucket of its hash; that combining keeps a
+frequent n-gram down to one entry for each batch. A bucket adds the counts up and answers every batch in the order it
+was asked, so the join of count tables and exploded n-grams needs neither the n-grams sent back nor a row for each.
+The answers to an order are written and its requests deleted before the next order is asked, so the disk holds the
+requests of one order, however many there are. The batch, joined with its answers, sums the scores of its documents.
+There are as many buckets as batches, a number that follows the words of the corpus: what is sent is a row for each
+pair of them, as in any shuffle, so raise `batch_words` with the memory of a worker where the corpus is very large.
 
 A word w after context c scores count(c w) / count(c) if c w occurs, else ALPHA times its score after the context
 less its first word; a word of no other count scores as one in all words and one. With `held_out`, a document's own
@@ -16,33 +18,34 @@ counts are taken off, so that it is scored as unseen text.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, pack, rolling, shuffle_partitions, texts_of, unpack
+from .common import hash_words, pack, rolling, shuffle_partitions, texts_of, unpack, written
 
 ALPHA = 0.4
 BATCH_WORDS, LEAST_WORDS = 600_000, 50_000
 
 
-def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For n = 1 .. order the hash of the n-gram that ends at each word (0 where the text is too short), and each
-    text's first word."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and how many each text has."""
     split = [t.split() for t in texts]
-    first = np.cumsum([0, *map(len, split)])
-    words = hash_words([w for s in split for w in s])
-    place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
-    out = []
-    for n in range(1, order + 1):
-        h = np.zeros(len(words), np.uint64)
-        if len(words) >= n:
-            h[n - 1 :] = np.maximum(rolling(words, n), np.uint64(1))
-        h[place < n - 1] = 0
-        out.append(h)
-    return out, first
+    return hash_words([w for s in split for w in s]), np.array([len(s) for s in split], np.int64)
+
+
+def grams(words: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n-gram that ends at each word, 0 where the text is too short."""
+    h = np.zeros(len(words), np.uint64)
+    if len(words) >= n:
+        h[n - 1 :] = np.maximum(rolling(words, n), np.uint64(1))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h[place < n - 1] = 0
+    return h
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,11 +56,11 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray,
     return unique[order], count[order], np.searchsorted(home[order], np.arange(buckets + 1))
 
 
-def scores(orders: list[np.ndarray], first: np.ndarray, counts: list[np.ndarray], total: int, alpha: float, held_out: bool) -> tuple[np.ndarray, np.ndarray]:
+def scores(orders: list[np.ndarray], sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float, held_out: bool) -> tuple[np.ndarray, np.ndarray]:
     """The sum of log scores and the number of backoffs of each text; counts: for each order and word the corpus count."""
-    n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    size = np.diff(first)[doc]
+    n = len(sizes)
+    doc = np.repeat(np.arange(n), sizes)
+    size = sizes[doc]
     if held_out:
         left = []
         for h, c in zip(orders, counts, strict=True):
@@ -103,55 +106,71 @@ def score(
     least = min(shuffle_partitions(docs.sparkSession), math.ceil(total / LEAST_WORDS))
     n = batches or max(1, least, math.ceil(total / batch_words))
     dealt = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("order", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-
-    def ask(group: pa.Table) -> pa.Table:
-        hashes, _ = grams(texts_of(group["text"].combine_chunks()), order)
-        batch = group["batch"][0].as_py()
-        rows = []
-        for k, h in enumerate(hashes):
-            unique, count, cut = by_bucket(h, n)
-            for b in range(n):
-                own = slice(cut[b], cut[b + 1])
-                if cut[b] < cut[b + 1]:
-                    rows.append((b, batch, k, pack(np.diff(unique[own], prepend=np.uint64(0))), pack(count[own])))
-        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(asked)], schema=asked)
+    kind = base.schema["doc_id"].dataType.simpleString()
 
-    answered = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("counts", pa.binary())])
+    def gather(group: pa.Table) -> pa.Table:
+        ids = group["doc_id"].combine_chunks()
+        words, sizes = words_of(texts_of(group["text"].combine_chunks()))
+        unique, number = np.unique(words, return_inverse=True)
+        packed = (pack(sizes), pack(np.diff(unique, prepend=np.uint64(0))), pack(number))
+        return pa.table([group["batch"][:1], pa.ListArray.from_arrays([0, len(ids)], ids), *(pa.array([x], pa.binary()) for x in packed)], names=["batch", "ids", "sizes", "words", "numbers"])
 
-    def answer(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["order"], r["batch"]))
-        out = []
-        for k in range(order):
-            own = [r for r in rows if r["order"] == k]
-            if own:
-                hashes = [np.cumsum(unpack(r["grams"])) for r in own]
-                _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-                sums = np.bincount(inverse, np.concatenate([unpack(r["counts"]) for r in own])).astype(np.int64)[inverse]
-                ends = np.cumsum([0, *map(len, hashes)])
-                out += [(r["batch"], r["bucket"], k, pack(sums[ends[i] : ends[i + 1]])) for i, r in enumerate(own)]
-        return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(answered)], schema=answered)
+    def spread(sizes: bytes, words: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.cumsum(unpack(words))[unpack(numbers).astype(np.int64)], unpack(sizes).astype(np.int64)
 
-    kind = base.schema["doc_id"].dataType.simpleString()
+    asked = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    answered = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("order", pa.int32()), ("counts", pa.binary())])
+
+    def ask(k: int):
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for row in part.to_pylist():
+                    unique, count, cut = by_bucket(grams(*spread(row["sizes"], row["words"], row["numbers"]), k), n)
+                    rows = []
+                    for b in np.flatnonzero(np.diff(cut)).tolist():
+                        own = slice(cut[b], cut[b + 1])
+                        rows.append((b, row["batch"], pack(np.diff(unique[own], prepend=np.uint64(0))), pack(count[own])))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(asked)], schema=asked)
+
+        return run
+
+    def answer(k: int):
+        def run(group: pa.Table) -> pa.Table:
+            rows = sorted(group.to_pylist(), key=lambda r: r["batch"])
+            hashes = [np.cumsum(unpack(r["grams"])) for r in rows]
+            _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+            sums = np.bincount(inverse, np.concatenate([unpack(r["counts"]) for r in rows])).astype(np.int64)[inverse]
+            ends = np.cumsum([0, *map(len, hashes)])
+            out = [(r["batch"], r["bucket"], k, pack(sums[ends[i] : ends[i + 1]])) for i, r in enumerate(rows)]
+            return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(answered)], schema=answered)
+
+        return run
 
     def finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = texts_of(group["text"].combine_chunks()) if group.num_rows else []
-        hashes, first = grams(texts, order)
+        done = []
         got = {(r["order"], r["bucket"]): r["counts"] for r in answers.to_pylist()}
-        counts = []
-        for k, h in enumerate(hashes):
-            unique, _, cut = by_bucket(h, n)
-            sums = [unpack(got[k, b]).astype(np.int64) for b in range(n) if cut[b] < cut[b + 1]]
-            sums = np.concatenate(sums) if sums else np.zeros(0, np.int64)
-            by_hash = np.argsort(unique)
-            at = np.searchsorted(unique[by_hash], h)
-            counts.append(np.where(h > 0, sums[by_hash][np.minimum(at, len(sums) - 1)], 0) if len(sums) else np.zeros(len(h), np.int64))
-        logs, backoffs = scores(hashes, first, counts, total, alpha, held_out)
-        sizes = np.diff(first)
+        for row in group.drop_columns(["ids"]).to_pylist():
+            words, sizes = spread(row["sizes"], row["words"], row["numbers"])
+            hashes = [grams(words, sizes, k) for k in range(1, order + 1)]
+            counts = []
+            for k, h in enumerate(hashes, 1):
+                unique, _, cut = by_bucket(h, n)
+                sums = [unpack(got[k, b]).astype(np.int64) for b in np.flatnonzero(np.diff(cut)).tolist()]
+                sums = np.concatenate(sums) if sums else np.zeros(0, np.int64)
+                by_hash = np.argsort(unique)
+                at = np.searchsorted(unique[by_hash], h)
+                counts.append(np.where(h > 0, sums[by_hash][np.minimum(at, len(sums) - 1)], 0) if len(sums) else np.zeros(len(h), np.int64))
+            done.append((sizes, *scores(hashes, sizes, counts, total, alpha, held_out)))
+        sizes, logs, backoffs = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
         with np.errstate(invalid="ignore", divide="ignore"):
             mean = pa.array(logs / sizes, mask=sizes == 0) if len(sizes) else pa.array([], pa.float64())
-        return pa.table([group["doc_id"], pa.array(sizes, pa.int64()), pa.array(backoffs, pa.int64()), pa.array(logs, pa.float64()), mean], names=["doc_id", "n_words", "n_backoffs", "log_score", "mean_log_score"])
-
-    requests = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch int, order int, grams binary, counts binary")
-    answers = requests.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, order int, counts binary")
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_backoffs long, log_score double, mean_log_score double")
+        ids = group["ids"].combine_chunks().flatten()
+        return pa.table([ids, pa.array(sizes, pa.int64()), pa.array(backoffs, pa.int64()), pa.array(logs, pa.float64()), mean], names=["doc_id", "n_words", "n_backoffs", "log_score", "mean_log_score"])
+
+    batched = written(dealt.groupBy("batch").applyInArrow(gather, f"batch int, ids array<{kind}>, sizes binary, words binary, numbers binary"), "lm-batches", free=True)
+    answers = []
+    for k in range(1, order + 1):
+        requests = batched.drop("ids").mapInArrow(ask(k), "bucket int, batch int, grams binary, counts binary")
+        answers.append(written(requests.groupBy("bucket").applyInArrow(answer(k), "batch int, bucket int, order int, counts binary"), "lm-answers", free=True))
+    every = reduce(DataFrame.unionByName, answers)
+    return batched.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(finish, f"doc_id {kind}, n_words long, n_backoffs long, log_score double, mean_log_score double")
