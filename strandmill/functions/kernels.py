@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -386,44 +387,79 @@ class DeBruijn:
     """k-mers as nodes, (k + 1)-mers as weighted edges."""
 
     def __init__(self, k: int, ref: str):
-        self.k, self.edges = k, {}
+        self.k, self.edges = k, Counter()
         self.source, self.sink = ref[:k], ref[-k:]
         self.add(ref)
 
     def add(self, seq: str, weight: int = 1) -> None:
-        for i in range(len(seq) - self.k):
-            e = seq[i : i + self.k], seq[i + 1 : i + self.k + 1]
-            self.edges[e] = self.edges.get(e, 0) + weight
+        n = self.k + 1
+        new = [seq[i : i + n] for i in range(len(seq) - self.k)]
+        if weight == 1:
+            self.edges.update(new)
+        else:
+            for e in new:
+                self.edges[e] += weight
 
     def prune(self, least: float) -> None:
-        self.edges = {e: w for e, w in self.edges.items() if w >= least}
+        self.edges = Counter({e: w for e, w in self.edges.items() if w >= least})
+
+    @classmethod
+    def pruned(cls, k: int, ref: str, seqs: list[str], weights: list[int], least: float) -> DeBruijn:
+        """The graph of ref and all sequences after prune(least)."""
+        graph = cls(k, ref)
+        edges = heavy_windows([ref, *seqs], [1, *weights], k + 1, least)
+        if edges is None:
+            for seq, w in zip(seqs, weights, strict=True):
+                graph.add(seq, w)
+            graph.prune(least)
+        else:
+            graph.edges = Counter(edges)
+        return graph
 
     def after(self) -> dict[str, list[tuple[str, int]]]:
         out: dict[str, list] = {}
-        for (a, b), w in sorted(self.edges.items()):
-            out.setdefault(a, []).append((b, w))
+        for e in sorted(self.edges):
+            out.setdefault(e[:-1], []).append((e[1:], self.edges[e]))
         return out
 
     def is_cyclic(self) -> bool:
         degree: dict[str, int] = {}
-        after = self.after()
-        for a, b in self.edges:
+        after: dict[str, list[str]] = {}
+        for e in self.edges:
+            a, b = e[:-1], e[1:]
+            after.setdefault(a, []).append(b)
             degree[b] = degree.get(b, 0) + 1
             degree.setdefault(a, 0)
         free, seen = [n for n, d in degree.items() if not d], 0
         while free:
             n = free.pop()
             seen += 1
-            for b, _ in after.get(n, ()):
+            for b in after.get(n, ()):
                 degree[b] -= 1
                 if not degree[b]:
                     free.append(b)
         return seen < len(degree)
 
+    def to_sink(self) -> set[str]:
+        """The nodes from which the sink can be reached."""
+        before: dict[str, list[str]] = {}
+        for e in self.edges:
+            before.setdefault(e[1:], []).append(e[:-1])
+        found, open_ = {self.sink}, [self.sink]
+        while open_:
+            new = [a for a in before.get(open_.pop(), ()) if a not in found]
+            found.update(new)
+            open_ += new
+        return found
+
     def paths(self, most: int = 10) -> list[tuple[str, int]]:
-        """Up to `most` paths from source to sink, those of the largest smallest edge first: (sequence, that edge)."""
+        """Up to `most` paths from source to sink, those of the largest smallest edge first: (sequence, that edge).
+        What does not lead to the sink is not followed."""
         import heapq
 
+        live = self.to_sink()
+        if self.source not in live:
+            return []
         after, out, order = self.after(), [], 0
         heap = [(-(1 << 60), 0, self.source, self.source)]
         while heap and len(out) < most:
@@ -432,13 +468,40 @@ class DeBruijn:
                 out.append((seq, -low))
                 continue
             for b, w in after.get(node, ()):
-                order += 1
-                heapq.heappush(heap, (max(low, -w), order, b, seq + b[-1]))
+                if b in live:
+                    order += 1
+                    heapq.heappush(heap, (max(low, -w), order, b, seq + b[-1]))
         return out
 
 
+def heavy_windows(seqs: list[str], weights: list[int], n: int, least: float) -> dict[str, int] | None:
+    """Substrings of length n whose weights sum to `least` at least; None if they don't fit 63 bits each."""
+    text = "".join(seqs)
+    if not text.isascii():
+        return None
+    raw = np.frombuffer(text.encode(), np.uint8)
+    code = np.cumsum(np.bincount(raw, minlength=128) > 0) - 1
+    bits = max(1, int(code[-1]).bit_length())
+    if n * bits > 63:
+        return None
+    m = len(raw) - n + 1
+    if m <= 0:
+        return {}
+    letters, h = code[raw], np.zeros(m, np.int64)
+    for j in range(n):
+        h = h << bits | letters[j : j + m]
+    sizes = np.array([len(s) for s in seqs])
+    at = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes)[:m] >= np.arange(m) + n)
+    _, first, inverse = np.unique(h[at], return_index=True, return_inverse=True)
+    total = np.bincount(inverse, np.repeat(weights, sizes)[at])
+    kept = np.flatnonzero(total >= least)
+    return {text[i : i + n]: int(w) for i, w in zip(at[first[kept]].tolist(), total[kept].tolist(), strict=True)}
+
+
 def smallest_acyclic_k(ref: str, low: int = 10, high: int = 15) -> int | None:
+    """The graph of one sequence is acyclic where no k-mer occurs twice."""
     for k in range(low, min(high, len(ref) - 1) + 1):
-        if not DeBruijn(k, ref).is_cyclic():
+        n = len(ref) - k + 1
+        if len({ref[i : i + k] for i in range(n)}) == n:
             return k
     return None

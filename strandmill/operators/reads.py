@@ -213,10 +213,7 @@ def flank_paths(reads: DataFrame, k_min: int = 10, k_max: int = 15, least: float
         size = k.smallest_acyclic_k(ref, k_min, k_max)
         if size is None:
             return schema.empty_table()
-        graph = k.DeBruijn(size, ref)
-        for bases, n in sorted(zip(group["bases"].to_pylist(), group["n"].to_pylist(), strict=True)):
-            graph.add(bases, n)
-        graph.prune(least)
+        graph = k.DeBruijn.pruned(size, ref, group["bases"].to_pylist(), group["n"].to_pylist(), least)
         found = [] if graph.is_cyclic() else graph.paths(most)
         locus = group["locus"][0].as_py()
         return pa.Table.from_arrays([pa.array([locus] * len(found), pa.int64()), pa.array([p for p, _ in found], pa.string()), pa.array([w for _, w in found], pa.int64())], schema=schema)

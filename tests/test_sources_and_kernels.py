@@ -2,6 +2,7 @@ import gzip
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -149,6 +150,34 @@ def test_small_kernels():
     assert k.DeBruijn(3, "ACGACGACG").is_cyclic() and k.smallest_acyclic_k(ref) == 10
 
 
+@pytest.mark.parametrize("letters", ["ACGT", "A", "ACGTNacgtn", "ACG\u00e9"])
+def test_pruned_graph_equals_added_edges(letters):
+    rng = random.Random(3)
+    for size in (1, 4, 10, 15):
+        ref = "".join(rng.choices(letters, k=40))
+        seqs = ["", *(ref[i : i + rng.randrange(30)] + "".join(rng.choices(letters, k=rng.randrange(4))) for i in range(20))]
+        weights = [rng.randrange(1, 4) for _ in seqs]
+        graph = k.DeBruijn(size, ref)
+        for seq, w in zip(seqs, weights, strict=True):
+            graph.add(seq, w)
+        graph.prune(2)
+        assert k.DeBruijn.pruned(size, ref, seqs, weights, 2).edges == graph.edges
+
+
+def test_paths_follow_only_what_leads_to_the_sink():
+    """Twenty bubbles of equal weight behind which no sink comes: 2 ** 20 beginnings of paths, none of them a path."""
+    graph = k.DeBruijn(3, "AAAZZZ")
+    graph.edges.clear()
+    names = [chr(0x100 + i) for i in range(81)]
+    graph.source = "".join(names[:3])
+    for i in range(20):
+        a = names[i * 4 : i * 4 + 7]
+        graph.add("".join(a))
+        graph.add("".join([*a[:3], chr(0x400 + i), *a[4:]]))
+    began = time.process_time()
+    assert not graph.is_cyclic() and graph.paths() == [] and time.process_time() - began < 0.5
+
+
 def test_interval_join_against_brute_force(spark):
     rng = random.Random(2)
     a = [(i, "c1" if rng.random() < 0.8 else "c2", x := rng.randint(0, 900), x + rng.randint(1, 200)) for i in range(150)]
