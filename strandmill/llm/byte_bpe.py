@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_slices, settle, texts_of
+from .common import bounded_batches, byte_slices, held, texts_of
 
 NEVER = 1 << 40
 MAX_TRANSITIONS, MAX_PAIRS, LONG_PIECE, LOOKAHEAD = 100_000, 300_000, 48, 1024
@@ -355,18 +355,14 @@ class Decoder:
         return "�" if rest else ""
 
 
-_LOADED: dict = {}
-
-
 def coders(ranks_path: str, pattern: str, lone_space: bool) -> tuple[Encoder, Decoder]:
     """The two machines of this worker; they are built once and grow as texts come."""
-    key = (ranks_path, pattern, lone_space)
-    if key not in _LOADED:
-        _LOADED.clear()
-        settle()
+
+    def make() -> tuple[Encoder, Decoder]:
         ranks = read_ranks(ranks_path)
-        _LOADED[key] = Encoder(ranks, pattern, lone_space), Decoder(ranks)
-    return _LOADED[key]
+        return Encoder(ranks, pattern, lone_space), Decoder(ranks)
+
+    return held(("coders", ranks_path, pattern, lone_space), make)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, lone_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ import gc
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,25 @@ def settle() -> None:
         trim(0)
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """What this worker keeps from task to task, made once; it keeps one thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        settle()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Frees what tasks of another operator have left in this worker."""
+    if _HELD:
+        _HELD.clear()
+        settle()
+
+
 def byte_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts take up `limit` bytes together, or of one longer text."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded_batches, byte_slices, discard, hash_words, ids_of, mix64, rolling, shuffle_partitions, texts_of, unused, written
+from .common import NO_ID, bounded_batches, byte_slices, discard, hash_words, ids_of, let_go, mix64, rolling, shuffle_partitions, texts_of, unused, written
 from .components import connected_components
 
 COORDS, SMALL, DEPTH, BLOCK = 64, 48, 4, 512
@@ -92,6 +92,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in byte_slices(batch):
                 sets = shingle_sets(texts_of(part.column("text")), words)

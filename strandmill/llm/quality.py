@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_slices, texts_of, written
+from .common import bounded_batches, byte_slices, let_go, texts_of, written
 from .decontaminate import words_of
 
 LABELLED, ROUNDS, SURE, LIFT, EXTRA, MODEL_WORDS = 12_000, 3, 0.97, 3.0, 0.5, 20_000
@@ -287,6 +287,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple:
     rows = rows.groupBy("id", *HEADS).agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("id", *HEADS, "d.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in (p for batch in batches for p in byte_slices(batch)):
             words, lay, cells = _seen(part)
             yield pa.RecordBatch.from_arrays(
@@ -327,6 +328,7 @@ def _judged(docs: DataFrame, heads: dict[str, Head], known: frozenset) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["head", "view", "key", "ones", "zeros"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         heads, known = shared.value
         counts: dict[tuple[str, str], dict[bytes, list[int]]] = {(h, v): {} for h in heads for v in ("cell", "word")}
         for part in (p for batch in batches for p in byte_slices(batch)):
@@ -416,6 +418,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     heads = docs.sparkSession.sparkContext.broadcast(train(picked, labels.select("doc_id", *HEADS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in (p for batch in batches for p in byte_slices(batch)):
             p = _score_batch(part, heads.value)
             yield pa.RecordBatch.from_arrays(
@@ -436,6 +439,7 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     heads = docs.sparkSession.sparkContext.broadcast(train(docs.select(*_COLS), labels.select("doc_id", *HEADS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in (p for batch in batches for p in byte_slices(batch)):
             yield part.filter(pa.array(keeps(_score_batch(part, heads.value), heads.value)))
 
