@@ -387,7 +387,8 @@ def near_join(
         if not n_large:
             break
         rows = _split(large, threshold)
-    found = reduce(DataFrame.union, links, spark.createDataFrame([], "a binary, b binary"))
+    none = spark.range(0).select(*(F.lit(None).cast("binary").alias(c) for c in ("a", "b")))
+    found = reduce(DataFrame.union, links, none)
 
     groups = written(connected_components(found).withColumnRenamed("node", "key"), "groups")
     members = groups.join(groups.groupBy("component").agg(F.count("*").alias("size")), "component")

@@ -374,7 +374,8 @@ def _taught(docs: DataFrame, learners: dict[str, Learner], known: frozenset, lea
         ratio = sum(F.when(o > 0, o * F.log(o / ((a + b) * F.lit(e)))).otherwise(F.lit(0.0)) for o, e in ((a, share), (b, 1 - share)))
         words = counts.where((F.col("head") == h) & (F.col("view") == "word") & (F.col("key") != F.lit(b""))).withColumn("ratio", 2 * each * ratio)
         strong = words.where((F.col("ratio") >= least) & (each * (a + b) >= LEAST_DOCUMENTS)).orderBy(F.desc("ratio"), "key").limit(MODEL_WORDS)
-        in_model = docs.sparkSession.createDataFrame([(bytearray(w),) for w in head.words], "key binary")
+        # By Arrow, as rows would go through a Python worker of another kind, which executors then keep.
+        in_model = docs.sparkSession.createDataFrame(pa.table({"key": pa.array(list(head.words), pa.binary())}))
         both = strong.select("key", "ones", "zeros").union(words.join(F.broadcast(in_model), "key", "left_semi").select("key", "ones", "zeros"))
         out[h].words = {bytes(r["key"]): (r["ones"], r["zeros"]) for r in both.collect()}
     return out

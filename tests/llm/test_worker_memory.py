@@ -40,3 +40,25 @@ def test_stages_free_what_the_encoder_keeps(spark, tmp_path, monkeypatch):
         assert byte_bpe.coders(str(ranks), ".", False) is first and len(common._HELD) == 1
         list(task(iter([])))
         assert not common._HELD
+
+
+def test_no_rows_of_the_driver_pass_a_python_worker(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, None, "en", "s", 5)], DOCS)
+    rows = [("quality", "word", b"", 50, 50), ("quality", "word", b"a", 40, 1), ("quality", "word", b"b", 2, 2)]
+    counts = spark.createDataFrame(rows, "head string, view string, key binary, ones long, zeros long")
+    learner = SimpleNamespace(head=quality.Head(words={b"b": 1.0, b"c": 1.0}), knows=True, fit_on=range(200))
+    monkeypatch.setattr(quality, "_judged", lambda *_: counts)
+    made, create = [], type(spark).createDataFrame
+
+    def noted(self, *args, **options):
+        made.append(create(self, *args, **options))
+        return made[-1]
+
+    monkeypatch.setattr(type(spark), "createDataFrame", noted)
+    assert quality._taught(docs, {"quality": learner}, frozenset())["quality"].words == {b"a": (40, 1), b"b": (2, 2)}
+    assert sorted(r.class_id for r in near_join.near_join(docs).collect()) == [1, 2]
+    assert near_join.near_join(docs.limit(0)).count() == 0
+    for out in made:
+        assert "PythonRDD" not in out._jdf.queryExecution().toRdd().toDebugString()
