@@ -71,8 +71,10 @@ def _to_fixpoint(s, d):
     """Repeats and their padding, as reads hold them, genotyped until no allele is added."""
     pad = hp.PAD
     loci = pj.regions(s, d).select("locus", "period", "start", "stop", pj.reference(f"start - {pad}", f"stop - start + {2 * pad}").alias("ref"))
-    r = pj.alignments(s, d).where("cigar <> ''").join(loci.select("locus", (F.col("start") - pad).alias("low"), (F.col("stop") + pad).alias("high")), "locus")
-    held = cg.sequence_between(cg.steps(F.col("cigar"), F.col("pos")), F.col("bases"), F.col("pos"), F.col("end_pos"), F.col("low"), F.col("high"))
+    ends = loci.select("locus", (F.col("start") - pad).alias("low"), (F.col("stop") + pad).alias("high"))
+    # Loci are joined before there are bases, so that only reads that span them get any, and none are shuffled.
+    r = pj.alignments_of(pj.reads(s, d).join(ends, "locus"), "low", "high").where("cigar <> ''")
+    held = cg.bases_between(*map(F.col, ("cigar", "bases", "pos", "end_pos", "low", "high")))
     spans = r.where("pos < low and end_pos > high").select("locus", "sample", held.alias("seq"))
     return fixpoint.to_fixpoint(spans, loci.select("locus", "period", "ref"), fixpoint.stutter_score(gt.MODEL))
 
