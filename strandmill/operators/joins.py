@@ -50,6 +50,21 @@ def snps_in_reads(reads: DataFrame, snps: DataFrame, width: int = 128) -> DataFr
     return overlap_join(spans, points, ["sample", "chrom"], ("pos", "_last"), ("snp_pos", "snp_end"), width).drop("_last", "snp_end")
 
 
+def snps_of_reads(reads: DataFrame, snps: DataFrame, width: int = 1024) -> DataFrame:
+    """Every read once, with the places of the SNPs of its sample between pos and end_pos, both inclusive, as an array
+    (snps; empty or null without any), and the bin in which it begins (_bin).
+
+    SNPs are gathered by (sample, chrom, bin), and lie in all bins from which the longest read reaches them; a read is
+    in one bin only and has all of its SNPs in one row, so nothing is summed over bins, nor needs the read's bases.
+    """
+    longest = F.broadcast(reads.agg(F.coalesce(F.max(F.col("end_pos") - F.col("pos")), F.lit(0)).alias("_most")))
+    near = snps.select("sample", "chrom", "pos").crossJoin(longest)
+    bins = F.explode(F.sequence(F.floor((F.col("pos") - F.greatest("_most", F.lit(0))) / width), F.floor(F.col("pos") / width)))
+    held = near.select("sample", "chrom", "pos", bins.alias("_bin")).groupBy("sample", "chrom", "_bin").agg(F.collect_list("pos").alias("_places"))
+    met = reads.withColumn("_bin", F.floor(F.col("pos") / width)).join(held, ["sample", "chrom", "_bin"], "left")
+    return met.withColumn("snps", F.filter("_places", lambda p: p.between(F.col("pos"), F.col("end_pos")))).drop("_places")
+
+
 def outside_regions(snps: DataFrame, regions: DataFrame, pad: int = 15, width: int = 256) -> DataFrame:
     """SNPs that lie in no region widened by pad on both sides (ends included)."""
     points = snps.select(*snps.columns, F.floor(F.col("pos") / width).alias("_bin"))

@@ -318,8 +318,14 @@ def prj_04(s, d):
     ref = F.expr(pj._BASE.format("div").replace("p +", "snp_pos +"))
     first = F.when(F.col("snp_pos") % 2 == 0, 1).otherwise(-1)
     lean = F.sum(F.when(F.col("base") == ref, first).when(F.col("base") == F.translate(ref, "ACGT", "TGCA"), -first).otherwise(0))
-    hit = _snp_bases(s, d).groupBy("rid").agg(lean.alias("lean"))
-    t = pj.reads(s, d).select("rid", "locus", "sample").join(hit, "rid", "left").groupBy("locus", "sample").agg(*(F.count_if(c).alias(n) for n, c in (("a", F.col("lean") > 0), ("b", F.col("lean") < 0))))
+    # Reads meet the places of SNPs before they have bases, each in the bin it begins in; equal rids begin in one place.
+    met = joins.snps_of_reads(pj.reads(s, d).withColumn("end_pos", pj.aligned_end()), pj.het_snps(s, d))
+    r = pj.alignments_of(met, "_bin", "snps")
+    over = F.posexplode_outer(F.when(F.col("cigar") != "", F.col("snps"))).alias("k", "snp_pos")
+    hit = r.select("rid", "locus", "sample", "chrom", "_bin", "pos", "cigar", "bases", over)
+    based = hit.withColumn("base", F.when(F.col("snp_pos").isNotNull(), cg.base_at(cg.steps(F.col("cigar"), F.col("pos")), F.col("bases"), F.col("snp_pos"))))
+    each = based.groupBy("sample", "chrom", "_bin", "rid", "locus").agg(lean.alias("lean"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("n"))
+    t = each.groupBy("locus", "sample").agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(n) for n, c in (("a", F.col("lean") > 0), ("b", F.col("lean") < 0))))
     return t.select("locus", "sample", F.concat_ws("|", "a", "b").alias("psnp"), (F.col("a") + F.col("b")).alias("dsnp"))
 
 
