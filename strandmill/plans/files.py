@@ -17,16 +17,31 @@ _READ = "rid, chrom, pos, case when cigar = '' then pos else end_pos end as end_
 _NEAR = " or ".join(f"(chrom = '{c}' and pos < {b} and end_pos > {a})" for c, a, b in REGIONS)
 
 
-def _reads(s, d):
-    """All reads in the columns of a BAM file, named by their id, with sample and library as a read group."""
-    r = pj.alignments_of(pj.reads(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions"))))
+def _named(r):
+    """Reads with their name and flag, by which those of a place are ordered."""
+    return r.withColumn("name", F.col("rid")).withColumn("flag", F.when(pj.unaligned(), 4).otherwise(0))
+
+
+def _records_of(r):
+    """Reads in the columns of a BAM file, with sample and library as a read group."""
+    r = pj.alignments_of(r, "name", "flag")
     tags = F.map_filter(F.create_map(F.lit("RG"), F.concat_ws(".", "sample", "library"), F.lit("HP"), F.col("hp").cast("string")), lambda k, v: v.isNotNull())
-    flag = F.when(F.col("cigar") == "", 4).otherwise(0)
-    out = r.select(
-        F.col("rid").alias("name"), flag.alias("flag"), "chrom", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), g.cigar_elements(F.col("cigar")).alias("cigar"),
+    return r.select(
+        "name", "flag", "chrom", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), g.cigar_elements(F.col("cigar")).alias("cigar"),
         F.lit("*").alias("mate_chrom"), F.lit(-1).alias("mate_pos"), "bases", "quals", tags.alias("tags"), "library",
     )
-    return written(out, "alignments")
+
+
+def _reads(s, d):
+    """All reads in the columns of a BAM file, named by their id, as a table."""
+    return written(_records_of(_named(pj.reads(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions"))))), "alignments")
+
+
+def _reads_file(s, d):
+    """All reads in one sorted BAM file; they are put in order before they have bases."""
+    path = fresh(s, "reads") + ".bam"
+    bam.write_bam(_named(pj.reads(s, d)), path, CONTIGS, made=_records_of)
+    return path
 
 
 def _back(rows):
@@ -36,17 +51,13 @@ def _back(rows):
 @query("src_01", f"select {_READ} from (select * replace (case when cigar = '' then pos + 1 else end_pos end as end_pos) from alns) where {_NEAR}")
 def src_01(s, d):
     """Reads that overlap regions, from one sorted BAM file and its index."""
-    path = fresh(s, "reads") + ".bam"
-    bam.write_bam(_reads(s, d), path, CONTIGS)
-    return _back(bam.read_bam(s, path, REGIONS))
+    return _back(bam.read_bam(s, _reads_file(s, d), REGIONS))
 
 
 @query("src_03", f"select {_READ} from alns where chrom = 'chr3'")
 def src_03(s, d):
     """Reads of a whole chromosome: the filter reaches the index."""
-    path = fresh(s, "reads") + ".bam"
-    bam.write_bam(_reads(s, d), path, CONTIGS)
-    return _back(bam.read_bam(s, path).where("chrom = 'chr3'"))
+    return _back(bam.read_bam(s, _reads_file(s, d)).where("chrom = 'chr3'"))
 
 
 @query("src_04", "select rid, pos, library, row_number() over (partition by chrom order by pos, library, rid) as ord from reads")

@@ -352,17 +352,19 @@ class BamWriter(BlockedWriter):
         return bgzf.Index([own.get(c, bgzf.Contig()) for c in self.contigs]).to_bytes()
 
 
-def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], lines: list[str] | None = None, join: bool = True, parts: int | None = None) -> None:
+def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], lines: list[str] | None = None, join: bool = True, parts: int | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Writes reads (the columns of read_bam; file and end_pos are not read) in order of contigs, places, names and flags.
 
     path: a file with its .bai beside it, or with join=False a folder of such files. `lines`: the header's text besides
     its @SQ lines. Reads without a place have the contig `*` and come last. A contig that the header lacks is an error.
+    made: gives ordered reads the columns that they lack; then only chrom, pos, name, flag and what it needs are shuffled.
+    It leaves rows in their order.
     """
     head = [line for line in lines or [] if not line.startswith("@SQ")]
     text = [*[x for x in head if x.startswith("@HD")], *[f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs], *[x for x in head if not x.startswith("@HD")]]
-    rows = reads.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(_SCHEMA) if f.name not in ("file", "end_pos")))
-    ordered = in_order(rows, [c for c, _ in contigs], ["pos", "name", "flag"], parts)
-    write_blocked(ordered, BamSource, path, header_bytes(text, contigs), join, contigs=json.dumps([c for c, _ in contigs]))
+    whole = lambda r: r.select(*(F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(_SCHEMA) if f.name not in ("file", "end_pos")))
+    ordered = in_order(reads if made else whole(reads), [c for c, _ in contigs], ["pos", "name", "flag"], parts)
+    write_blocked(whole(made(ordered)) if made else ordered, BamSource, path, header_bytes(text, contigs), join, contigs=json.dumps([c for c, _ in contigs]))
 
 
 class BamSource(DataSource):

@@ -93,9 +93,11 @@ class BlockedWriter(DataSourceArrowWriter):
             at = out.written
             for m in parts:
                 indexes.append(Index.parse(m.index).shifted(at))
-                with store.open_input_stream(store_of(m.path)[1], compression=None) as source:
+                part = store_of(m.path)[1]
+                with store.open_input_stream(part, compression=None) as source:
                     while piece := source.read(8 << 20):
                         sink.write(piece)
+                store.delete_file(part)  # else all bytes would lie there twice
                 at += m.size
             sink.write(bgzf.END)
         self._index(store, target, bgzf.joined(indexes))

@@ -114,6 +114,11 @@ def alignments_on_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments_of(reads(spark, sf_dir).join(loci, "locus"), "start", "stop").drop("library")
 
 
+def unaligned() -> F.Column:
+    """Whether a row of `reads` has no CIGAR."""
+    return F.col("qual") % 23 == 0
+
+
 def aligned_end() -> F.Column:
     """Where the alignment of a row of `reads` ends."""
     return F.col("pos") + 10 + F.col("qual") % 30 + F.greatest(-F.col("bp_diff"), F.lit(0)) + 40
@@ -129,7 +134,7 @@ def alignments_of(rows: DataFrame, *more: str) -> DataFrame:
     k = F.col("qual") % 20
     changed = F.when(F.col("qual") % 5 == 0, F.concat(F.substring("plain", F.lit(1), k), F.translate(F.substring("plain", k + 1, F.lit(1)), "ACGT", "TGCA"), F.substring("plain", k + 2, F.lit(999)))).otherwise(F.col("plain"))
     quals = F.expr("concat(repeat('!', qual % 4), repeat('I', cast(length(bases) - qual % 4 - ((pos + 64) % 3) * 16 as int)), repeat('#', cast(((pos + 64) % 3) * 16 as int)))")
-    r = r.withColumn("clip", clip).withColumn("cigar", F.when(F.col("qual") % 23 == 0, "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
+    r = r.withColumn("clip", clip).withColumn("cigar", F.when(unaligned(), "").otherwise(cigar)).withColumn("plain", plain).withColumn("bases", changed).withColumn("quals", quals)
     r = r.withColumn("end_pos", aligned_end()).withColumn("ref_start", F.col("pos") - 15).withColumn("ref", reference("pos - 15", "m1 + del + 70"))
     hp = F.when(F.col("qual") % 3 > 0, F.col("qual") % 3)
     return r.select("rid", "rname", "mate", "locus", "sample", "chrom", "pos", "end_pos", "cigar", "bases", "quals", "ref_start", "ref", "bp_diff", hp.alias("hp"), "library", *more)
